@@ -10,6 +10,7 @@ from catalog.duck import AS_OF, sql
 from catalog.registry import query
 from skyledger.operators import filters as fl
 from skyledger.operators import history as hi
+from skyledger.skew import fits_broadcast, join_checked
 from skyledger.sources.testdata import AS_OF as NOW
 
 YEAR_AGO = NOW - timedelta(days=365)
@@ -20,12 +21,17 @@ def contexts(t):
     return fl.contexts(t.subscriptions(), t.queries(), t.filters())
 
 
+def few_subscriptions(t):
+    """There are at most as many branches as subscriptions."""
+    return fits_broadcast(t.subscriptions().select("subscription_id"))
+
+
 def samples(t, since=YEAR_AGO, until=NOW):
     """Context rows and the run samples of their branches in a time range."""
     rows = contexts(t)
     obs = hi.time_range(t.observations(since, until), since, until)
     features = fl.itinerary_features(t.itineraries(since, until), t.segments(since, until))
-    return rows, hi.run_minima(obs, features, fl.branches(rows))
+    return rows, hi.run_minima(obs, features, fl.branches(rows), small=few_subscriptions(t))
 
 
 _BUCKETS = """min(price)::BIGINT AS lowest_price_minor, max(price)::BIGINT AS highest_price_minor,
@@ -69,7 +75,7 @@ def _matching(t, condition):
     features = fl.itinerary_features(t.itineraries(), t.segments())
     described = t.offers().join(features, "itinerary_id")
     rows = contexts(t)
-    pairs = fl.join_checked(described, fl.branches(rows), ["query_id", "currency"]).where(condition)
+    pairs = join_checked(described, fl.branches(rows), ["query_id", "currency"], small=few_subscriptions(t)).where(condition)
     counted = pairs.groupBy("branch_key").agg(
         F.count(F.lit(1)).alias("offers"), F.min("total_price_minor").alias("lowest_price_minor")
     )
@@ -121,7 +127,7 @@ SELECT subscription_id, count(*) AS offers, min(total_price_minor) AS lowest_pri
 def filter_all(t):
     rows = contexts(t)
     features = fl.itinerary_features(t.itineraries(), t.segments())
-    passing = fl.apply_fare_filters(t.offers(), features, fl.branches(rows))
+    passing = fl.apply_fare_filters(t.offers(), features, fl.branches(rows), small=few_subscriptions(t))
     counted = passing.groupBy("branch_key").agg(
         F.count(F.lit(1)).alias("offers"), F.min("total_price_minor").alias("lowest_price_minor")
     )

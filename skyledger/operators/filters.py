@@ -139,10 +139,12 @@ def itinerary_match() -> Column:
     )
 
 
-def apply_fare_filters(offers: DataFrame, features: DataFrame, branch_rows: DataFrame) -> DataFrame:
+def apply_fare_filters(
+    offers: DataFrame, features: DataFrame, branch_rows: DataFrame, *, small: bool | None = None
+) -> DataFrame:
     """Pairs of branch and offer where the offer passes the branch's wishes."""
     described = offers.join(features, "itinerary_id")
-    return join_checked(described, branch_rows, ["query_id", "currency"]).where(
+    return join_checked(described, branch_rows, ["query_id", "currency"], small=small).where(
         itinerary_match() & within("max_price_minor", "total_price_minor")
     )
 

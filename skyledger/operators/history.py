@@ -43,7 +43,7 @@ def run_floor(observations: DataFrame) -> DataFrame:
     )
 
 
-def simple_minima(floor: DataFrame, branch_rows: DataFrame) -> DataFrame:
+def simple_minima(floor: DataFrame, branch_rows: DataFrame, small: bool | None = None) -> DataFrame:
     """Run samples of branches without itinerary wishes.
 
     The floor already is one row per run, so a branch costs one row per run.
@@ -51,17 +51,19 @@ def simple_minima(floor: DataFrame, branch_rows: DataFrame) -> DataFrame:
     price = F.when(F.col("direct_only"), F.col("direct_price")).otherwise(F.col("any_price"))
     wanted = branch_rows.select("branch_key", "query_id", "currency", "direct_only", "max_price_minor")
     return (
-        join_checked(floor, wanted, ["query_id", "currency"])
+        join_checked(floor, wanted, ["query_id", "currency"], small=small)
         .withColumn("price_minor", price)
         .where(F.col("price_minor").isNotNull() & within("max_price_minor", "price_minor"))
         .select("branch_key", "run_id", "observed_at", "price_minor")
     )
 
 
-def scanned_minima(observations: DataFrame, features: DataFrame, branch_rows: DataFrame) -> DataFrame:
+def scanned_minima(
+    observations: DataFrame, features: DataFrame, branch_rows: DataFrame, small: bool | None = None
+) -> DataFrame:
     """Run samples of branches whose wishes need itineraries and segments."""
     described = observations.join(features, "itinerary_id")
-    passing = join_checked(described, branch_rows, ["query_id", "currency"]).where(
+    passing = join_checked(described, branch_rows, ["query_id", "currency"], small=small).where(
         itinerary_match()
         & (~F.col("direct_only") | F.col("is_direct"))
         & within("max_price_minor", "total_price_minor")
@@ -71,10 +73,15 @@ def scanned_minima(observations: DataFrame, features: DataFrame, branch_rows: Da
     )
 
 
-def run_minima(observations: DataFrame, features: DataFrame, branch_rows: DataFrame) -> DataFrame:
-    """One price sample per (branch, run): the cheapest price that passes."""
-    simple = simple_minima(run_floor(observations), branch_rows.where("NOT needs_scan"))
-    scanned = scanned_minima(observations, features, branch_rows.where("needs_scan"))
+def run_minima(
+    observations: DataFrame, features: DataFrame, branch_rows: DataFrame, *, small: bool | None = None
+) -> DataFrame:
+    """One price sample per (branch, run): the cheapest price that passes.
+
+    ``small`` tells that the branches are known to fit a broadcast.
+    """
+    simple = simple_minima(run_floor(observations), branch_rows.where("NOT needs_scan"), small)
+    scanned = scanned_minima(observations, features, branch_rows.where("needs_scan"), small)
     return simple.unionByName(scanned)
 
 

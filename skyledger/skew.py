@@ -76,8 +76,13 @@ def join_checked(
     how: str = "inner",
     *,
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Broadcast ``side`` when a bounded count proves it small, else salt the join."""
-    if fits_broadcast(side, max_rows):
+    """Broadcast ``side`` when a bounded count proves it small, else salt the join.
+
+    A caller that has already counted a table with at least as many rows passes
+    the outcome as ``small`` and saves the second count.
+    """
+    if fits_broadcast(side, max_rows) if small is None else small:
         return facts.join(F.broadcast(side), list(on), how)
     return salted_join(facts, side, on, how)
