@@ -12,6 +12,12 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_FOUND = T.ArrayType(
+    T.StructType([T.StructField("path", T.StringType()), T.StructField("node", T.StringType())])
+)
 
 
 def parsed(text: Column) -> Column:
@@ -93,7 +99,7 @@ def find_objects(text: Column, all_of: Sequence[Sequence[str]]) -> Column:
     """Objects at any depth that hold a key of every group, in document order."""
     groups = [frozenset(group) for group in all_of]
 
-    @F.pandas_udf("array<struct<path:string,node:string>>")
+    @F.pandas_udf(_FOUND)
     def run(texts: pd.Series) -> pd.Series:
         return _matches(
             texts, lambda _, node: isinstance(node, dict) and all(g & node.keys() for g in groups)
@@ -106,7 +112,7 @@ def find_lists(text: Column, names: Sequence[str]) -> Column:
     """Lists at any depth stored under one of the names, in document order."""
     wanted = frozenset(names)
 
-    @F.pandas_udf("array<struct<path:string,node:string>>")
+    @F.pandas_udf(_FOUND)
     def run(texts: pd.Series) -> pd.Series:
         return _matches(texts, lambda name, node: name in wanted and isinstance(node, list))
 
@@ -126,7 +132,7 @@ def first_code(text: Column, names: Sequence[str], length: int = 3) -> Column:
                 return str(value).strip().upper()
         return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         found = _matches(texts, lambda _, node: usable(node) is not None)
         return found.map(lambda hits: usable(json.loads(hits[0]["node"])) if hits else None)
@@ -147,7 +153,7 @@ def _shape(node: object) -> object:
     return "string" if isinstance(node, str) else "number"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def payload_shape(texts: pd.Series) -> pd.Series:
     """Value-free description of each JSON text: sorted keys and type names."""
 
@@ -178,7 +184,7 @@ def _richness(root: object) -> int:
     return total
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def payload_richness(texts: pd.Series) -> pd.Series:
     """How much structure a JSON text holds: objects count 1, list items 16."""
 

@@ -33,6 +33,7 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     *,
+    weights: DataFrame | None = None,
     hot_keys: int = HOT_KEYS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -40,14 +41,14 @@ def salted_join(
 
     ``how`` is seen from ``facts``: inner, left, left_semi or left_anti. The list
     of hot keys is a top-k and so has a fixed bound; only that list is broadcast.
+    ``weights`` (keys and a count ``weight``) spares the pass that counts the keys
+    when the caller has such a table anyway.
     """
     on = list(on)
+    if weights is None:
+        weights = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("weight"))
     hot = (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .orderBy(F.desc("__n"))
-        .limit(hot_keys)
-        .select(*on, F.lit(True).alias("__hot"))
+        weights.orderBy(F.desc("weight")).limit(hot_keys).select(*on, F.lit(True).alias("__hot"))
     )
     no_key = F.lit(False)
     for key in on:
