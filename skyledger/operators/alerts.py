@@ -12,6 +12,7 @@ from skyledger.functions.money import drop_basis_points
 from skyledger.functions.times import add_seconds
 from skyledger.operators.filters import WISHES, itinerary_match, requires_itinerary_scan, within
 from skyledger.operators.history import RUN_KEYS
+from skyledger.session import cut_lineage
 from skyledger.skew import join_checked
 
 # The rule types that are evaluated.
@@ -125,7 +126,8 @@ def previous_minimum(best: DataFrame, windows: DataFrame) -> DataFrame:
     keys = ["branch_key", "window_days"]
     price = F.col("price_minor")
     number = F.datediff(F.to_date("observed_at"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    runs = best.join(windows, "branch_key").withColumn("number", number)
+    # Read five times below, so it is written once instead of being priced again.
+    runs = cut_lineage(best.join(windows, "branch_key").withColumn("number", number))
     own = runs.select(*keys, "run_id", "number", F.col("observed_at").alias("at"), price.alias("price"),
                       F.lit(False).alias("probe"))
     first_day = runs.where("window_days IS NOT NULL").select(

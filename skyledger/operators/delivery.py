@@ -57,21 +57,36 @@ def allowed_at(local: Column, quiet_start: Column, quiet_end: Column, weekdays:
     return (weekdays.isNull() | F.array_contains(weekdays, F.weekday(local))) & awake
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to an expression that needs it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def wall_clock_instants(local: Column, zone: Column) -> Column:
     """UTC instants of a wall-clock time: one, two in a repeated hour.
 
     A time that a clock change leaves out moves to the first minute that exists.
     """
-    there = _local(_instant(local, zone), zone)
-    skipped = F.greatest(F.timestamp_diff("MINUTE", local, there), F.lit(0))
-    steps = F.transform(F.sequence(F.lit(0).cast("bigint"), skipped), lambda m: _plus(local, "MINUTE", m))
-    real = F.array_min(F.filter(steps, lambda x: _local(_instant(x, zone), zone) == x))
-    first = _instant(real, zone)
-    next_day = _plus(first, "DAY", 1)
-    offset = F.timestamp_diff("SECOND", next_day, _local(next_day, zone))
-    second = _plus(real, "SECOND", -offset)
-    again = F.when(_local(second, zone) == real, second)
-    return F.array_compact(F.array(first, again))
+
+    def existing(there: Column) -> Column:
+        steps = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.timestamp_diff("MINUTE", local, there)),
+            lambda m: _plus(local, "MINUTE", m),
+        )
+        moved = F.array_min(F.filter(steps, lambda x: _local(_instant(x, zone), zone) == x))
+        return F.when(there == local, local).otherwise(moved)
+
+    def with_later(real: Column, first: Column) -> Column:
+        next_day = _plus(first, "DAY", 1)
+        offset = F.timestamp_diff("SECOND", next_day, _local(next_day, zone))
+        later = _bind(_plus(real, "SECOND", -offset), lambda x: F.when(
+            (x != first) & (_local(x, zone) == real), x))
+        return F.array_compact(F.array(first, later))
+
+    return _bind(
+        _bind(_local(_instant(local, zone), zone), existing),
+        lambda real: _bind(_instant(real, zone), lambda first: with_later(real, first)),
+    )
 
 
 def next_delivery_at(
@@ -91,10 +106,13 @@ def next_delivery_at(
         return F.flatten(F.transform(minutes, lambda m: wall_clock_instants(
             _plus(_plus(midnight, "DAY", day), "MINUTE", m), zone)))
 
-    days = F.sequence(F.lit(0), F.lit(SEARCH_DAYS - 1))
-    candidates = F.flatten(F.transform(days, openings))
-    reachable = F.filter(
-        candidates,
-        lambda c: (c >= moment) & allowed_at(_local(c, zone), quiet_start, quiet_end, weekdays),
-    )
-    return F.when(free | allowed_at(here, quiet_start, quiet_end, weekdays), moment).otherwise(F.array_min(reachable))
+    def first_opening(start: int, stop: int) -> Column:
+        candidates = F.flatten(F.transform(F.sequence(F.lit(start), F.lit(stop)), openings))
+        return F.array_min(F.filter(
+            candidates,
+            lambda c: (c >= moment) & allowed_at(_local(c, zone), quiet_start, quiet_end, weekdays),
+        ))
+
+    # Later days can only give later times, so they are looked at only when needed.
+    found = F.coalesce(first_opening(0, 1), first_opening(2, 4), first_opening(5, SEARCH_DAYS - 1))
+    return F.when(free | allowed_at(here, quiet_start, quiet_end, weekdays), moment).otherwise(found)
