@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,35 +30,39 @@ def first_key(value: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_variant_get(value, f"$['{key}']", "variant") for key in keys])
 
 
-def is_null_value(value: Column) -> Column:
-    """True for a missing key and for a JSON null."""
-    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
+def type_of(value: Column) -> Column:
+    """Type name of a VARIANT value: OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number type."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
 
 
-def kind(value: Column) -> Column:
-    """Rough JSON type: object, array, string, number, boolean, null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None))
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .otherwise("number")
-    )
-
-
-def as_text(value: Column) -> Column:
-    """Text of a string or number; booleans, nulls and containers give null."""
-    return F.when(
-        kind(value).isin("string", "number"), F.try_variant_get(value, "$", "string")
-    )
+def is_number(type_name: Column) -> Column:
+    return type_name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
 def as_list(value: Column) -> Column:
     """Array of VARIANT, or null when the value is not a list."""
-    return F.when(kind(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+
+
+def with_scalars(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Replace VARIANT columns by ``<name>_type`` and ``<name>_text``.
+
+    They become columns of their own so that later expressions refer to a value
+    that was read once. The text is null for containers, booleans and nulls.
+    """
+    typed = df.select("*", *[type_of(F.col(name)).alias(f"{name}_type") for name in names])
+    kept = [c for c in typed.columns if c not in names]
+    texts = []
+    for name in names:
+        kind = F.col(f"{name}_type")
+        text = F.try_variant_get(F.col(name), "$", "string")
+        texts.append(F.when((kind == "STRING") | is_number(kind), text).alias(f"{name}_text"))
+    return typed.select(*kept, *texts)
+
+
+def is_given(name: str) -> Column:
+    """The field is there and not null (on the columns of ``with_scalars``)."""
+    return F.coalesce(F.col(f"{name}_type") != "VOID", F.lit(False))
 
 
 def _children(node: object) -> Iterator[tuple[str, object]]:
