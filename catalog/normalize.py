@@ -17,12 +17,17 @@ from skyledger.sources.testdata import AIRLINES, AIRPORT_HOURS, AIRPORTS, _pick
 _SCALED = "CASE WHEN money = 'JPY' THEN cast(price AS decimal(18,2)) ELSE cast(price / 100.0BD AS decimal(18,2)) END"
 
 
+def spread_lines(t):
+    """Lines over all cores: a small file is one split, and parsing is costly per row."""
+    return t._lines().repartition("itinerary_id")
+
+
 def calendar_captures(t):
     """One payload per offer: a plain day, the next day in another form with a price
     text, the first day again at a higher price, and a day that is no date."""
     higher = "CASE WHEN money = 'JPY' THEN cast(price + 100 AS decimal(18,2)) ELSE cast((price + 100) / 100.0BD AS decimal(18,2)) END"
     day = "cast(l_shipdate AS date)"
-    return t._lines().selectExpr(
+    return spread_lines(t).selectExpr(
         "run_id", "itinerary_id AS capture_id", "'EUR' AS default_currency",
         f"""concat('{{"status":0,"data":{{"inner":[{{"currencyCode":"', lower(money), '"}}],"list":',
           '[{{"departDate":"', {day}, 'T00:00:00","price":', {_SCALED},
@@ -69,7 +74,7 @@ def _segment_json(variant: int) -> str:
 
 def itinerary_captures(t):
     """One payload per itinerary, in two dialects by its part."""
-    lines = t._lines()
+    lines = spread_lines(t)
     dialect = []
     for variant in (0, 1):
         length = "120 + cast(l_quantity * 10 AS bigint)"

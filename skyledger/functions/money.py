@@ -13,16 +13,13 @@ def decimal_to_minor(major: Column, currency: Column) -> Column:
     """Round a non-negative decimal HALF_UP to minor units of its currency."""
     scale = F.when(currency.isin(*WHOLE_CURRENCIES), F.lit(1)).otherwise(F.lit(100))
     exact = major.cast("decimal(38,18)")
-    minor = F.round(exact * scale.cast("decimal(3,0)"), 0)
-    return F.when(exact >= 0, minor.try_cast("bigint"))
+    return F.round(F.when(exact >= 0, exact) * scale.cast("decimal(3,0)"), 0).try_cast("bigint")
 
 
 def to_minor_units(raw: Column, currency: Column) -> Column:
     """Minor units of a price text such as ``CNY 2,180``; null when not a price."""
     digits = F.regexp_replace(raw, r"[^0-9.\-]", "")
-    return decimal_to_minor(
-        F.when(digits.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), digits).try_cast("decimal(38,18)"), currency
-    )
+    return decimal_to_minor(digits.try_cast("decimal(38,18)"), currency)
 
 
 def percent_change(current: Column, previous: Column) -> Column:

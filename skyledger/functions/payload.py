@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_FOUND = T.ArrayType(
-    T.StructType([T.StructField("path", T.StringType()), T.StructField("node", T.StringType())])
-)
+_FOUND = T.ArrayType(T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("node", T.StringType()),
+    T.StructField("code", T.StringType()),
+]))
 
 
 def parsed(text: Column) -> Column:
@@ -78,70 +79,59 @@ def _dump(node: object) -> str:
     return json.dumps(node, ensure_ascii=True, separators=(",", ":"))
 
 
-def _matches(texts: pd.Series, accept) -> pd.Series:
-    """For each JSON text, the accepted nodes in document order, outermost first."""
+def _walk(root: object, accept) -> Iterator[tuple[str, object]]:
+    """Accepted nodes in document order; nothing below an accepted node is looked at."""
+    pending = [("$", "", root)]
+    while pending:
+        path, name, node = pending.pop()
+        if accept(name, node):
+            yield path, node
+        else:
+            below = [(path + step, step[1:], child) for step, child in _children(node)]
+            pending.extend(reversed(below))
 
-    def search(text: str | None) -> list[dict[str, str]]:
-        try:
-            pending = [("$", "", json.loads(text))] if text is not None else []
-        except ValueError:
-            pending = []
-        found = []
-        while pending:
-            path, name, node = pending.pop()
-            if accept(name, node):
-                found.append({"path": path, "node": _dump(node)})
-            else:
-                below = [(path + step, step[1:], child) for step, child in _children(node)]
-                pending.extend(reversed(below))
-        return found
-
-    return texts.map(search)
-
-
-def find_objects(text: Column, all_of: Sequence[Sequence[str]]) -> Column:
-    """Objects at any depth that hold a key of every group, in document order."""
-    groups = [frozenset(group) for group in all_of]
 
-    @F.pandas_udf(_FOUND)
-    def run(texts: pd.Series) -> pd.Series:
-        return _matches(
-            texts, lambda _, node: isinstance(node, dict) and all(g & node.keys() for g in groups)
-        )
+def _code_of(node: object, names: Sequence[str], length: int) -> str | None:
+    """Code of the given length under the first present name of an object."""
+    value = next((node[n] for n in names if n in node), None) if isinstance(node, dict) else None
+    if isinstance(value, dict):
+        value = next((value[n] for n in ("code", "airportCode", "airlineCode") if n in value), None)
+    code = "" if value is None or isinstance(value, bool) else str(value).strip().upper()
+    return code if len(code) == length else None
 
-    return run(text)
 
+def _searcher(accept, code_names: Sequence[str]):
+    names = tuple(code_names)
 
-def find_lists(text: Column, names: Sequence[str]) -> Column:
-    """Lists at any depth stored under one of the names, in document order."""
-    wanted = frozenset(names)
+    def search(text: str | None) -> list[dict[str, object]]:
+        try:
+            root = json.loads(text) if text is not None else None
+        except ValueError:
+            root = None
+        coded = _walk(root, lambda _, node: _code_of(node, names, 3) is not None)
+        code = next((_code_of(node, names, 3) for _, node in coded), None)
+        return [{"path": path, "node": _dump(node), "code": code} for path, node in _walk(root, accept)]
 
     @F.pandas_udf(_FOUND)
     def run(texts: pd.Series) -> pd.Series:
-        return _matches(texts, lambda name, node: name in wanted and isinstance(node, list))
-
-    return run(text)
+        return texts.map(search)
 
+    return run
 
-def first_code(text: Column, names: Sequence[str], length: int = 3) -> Column:
-    """First code of the given length found under one of the names, at any depth."""
-    names = list(names)
 
-    def usable(node: object) -> str | None:
-        if isinstance(node, dict):
-            value = next((node[name] for name in names if name in node), None)
-            if isinstance(value, dict):
-                value = next((value[k] for k in ("code", "airportCode", "airlineCode") if k in value), None)
-            if value is not None and not isinstance(value, bool) and len(str(value).strip()) == length:
-                return str(value).strip().upper()
-        return None
+def find_objects(text: Column, all_of: Sequence[Sequence[str]], code_names: Sequence[str]) -> Column:
+    """Objects at any depth that hold a key of every group, in document order, each
+    with the first three-letter code that the payload has under ``code_names``."""
+    groups = [frozenset(group) for group in all_of]
+    return _searcher(
+        lambda _, node: isinstance(node, dict) and not any(map(node.keys().isdisjoint, groups)), code_names
+    )(text)
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        found = _matches(texts, lambda _, node: usable(node) is not None)
-        return found.map(lambda hits: usable(json.loads(hits[0]["node"])) if hits else None)
 
-    return run(text)
+def find_lists(text: Column, list_names: Sequence[str], code_names: Sequence[str]) -> Column:
+    """As ``find_objects``, for the lists stored under one of ``list_names``."""
+    wanted = frozenset(list_names)
+    return _searcher(lambda name, node: name in wanted and isinstance(node, list), code_names)(text)
 
 
 def _shape(node: object) -> object:

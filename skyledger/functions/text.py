@@ -12,8 +12,7 @@ CONTROL_PREFIX = r"^[\t\r]"
 
 def clean_text(value: Column) -> Column:
     """Trim; empty text becomes null."""
-    trimmed = F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def clean_code(value: Column) -> Column:
@@ -23,9 +22,8 @@ def clean_code(value: Column) -> Column:
 
 def non_negative_int(value: Column) -> Column:
     """Whole non-negative number or null."""
-    text = F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")
-    number = F.when(text.rlike(r"^[+-]?\d+$"), text).try_cast("bigint")
-    return F.when(number >= 0, number)
+    digits = F.regexp_extract(value.cast("string"), r"^\s*\+?(\d+)\s*$", 1)
+    return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
 def clean_code_list(values: Column) -> Column:

@@ -13,78 +13,67 @@ DOTNET_DATE = r"^/Date\((-?\d+)([+-]\d{4})?\)/$"
 HOURS = r"(\d+)\s*(?:h|hour|小时)"
 MINUTES = r"(\d+)\s*(?:m|min|minute|分钟)"
 
-_FIRST_DAY = -719162  # 0001-01-01
-_LAST_DAY = 2932896  # 9999-12-31
+# Milliseconds of 0001-01-01 and of the end of 9999-12-31.
+_FIRST_MS, _LAST_MS = -62135596800000, 253402300799999
 
 
-def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+# A column function repeats its input wherever it needs it, and Spark evaluates
+# every copy. The functions below therefore use each input as few times as they can.
+
+
+def _found(text: Column, pattern: str, group: int) -> Column:
+    """Matched group, or null without a match (a cast of empty text is slow)."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def _signed_minutes(offset: Column) -> Column:
+    """Minutes of an offset such as ``+0800``; null for an empty text."""
+    number = offset.try_cast("int")
+    return F.call_function("div", number, F.lit(100)) * 60 + number % 100
 
 
 def parse_fare_date(raw: Column) -> Column:
     """ISO date (first 10 characters) or ``/Date(ms+hhmm)/`` at its own offset."""
-    text = _strip(raw)
-    millis = F.regexp_extract(text, DOTNET_DATE, 1).try_cast("bigint")
-    offset = F.regexp_extract(text, DOTNET_DATE, 2)
-    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
-    minutes = F.coalesce(
-        sign
-        * (
-            F.substring(offset, 2, 2).try_cast("int") * 60
-            + F.substring(offset, 4, 2).try_cast("int")
-        ),
-        F.lit(0),
-    )
-    day = F.floor((F.floor(millis / 1000) + minutes * 60) / 86400)
-    day = F.when(day.between(_FIRST_DAY, _LAST_DAY), day).cast("int")
-    head = F.substring(text, 1, 10)
-    iso = F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head)
-    compact = F.when(
-        head.rlike(r"^\d{8}$"),
-        F.concat_ws("-", F.substring(head, 1, 4), F.substring(head, 5, 2), F.substring(head, 7, 2)),
-    )
-    return F.when(text.rlike(DOTNET_DATE), F.date_add(F.lit("1970-01-01").cast("date"), day)).otherwise(
-        F.coalesce(iso, compact).try_cast("date")
-    )
+    text = F.trim(raw)
+    millis = _found(text, DOTNET_DATE, 1).try_cast("bigint")
+    minutes = F.coalesce(_signed_minutes(_found(text, DOTNET_DATE, 2)), F.lit(0))
+    shifted = F.when(millis.between(_FIRST_MS, _LAST_MS), millis) + minutes * 60_000
+    dotnet = F.date_from_unix_date(F.floor(shifted / 86_400_000).cast("int"))
+    # Only the two full ISO forms; a cast alone would also take shorter texts.
+    iso = _found(text, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+    compact = F.regexp_replace(F.substring(text, 1, 10), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
+    digits = text.rlike(r"^\d{8}$")
+    return F.when(text.startswith("/"), dotnet).when(digits, compact).otherwise(iso)
 
 
 def is_null_date_marker(raw: Column) -> Column:
     """A ``/Date(ms)/`` before 1970 stands for "no date"."""
-    millis = F.regexp_extract(_strip(raw), DOTNET_DATE, 1).try_cast("bigint")
+    millis = _found(F.trim(raw), DOTNET_DATE, 1).try_cast("bigint")
     return F.coalesce(millis < 0, F.lit(False))
 
 
 def parse_minutes(raw: Column) -> Column:
     """Minutes from digits or from texts such as ``3h 5m``; null if unknown."""
-    text = F.lower(_strip(raw))
-    hours = F.regexp_extract(text, HOURS, 1).try_cast("bigint")
-    minutes = F.regexp_extract(text, MINUTES, 1).try_cast("bigint")
-    parts = F.when(
-        hours.isNotNull() | minutes.isNotNull(),
-        F.coalesce(hours, F.lit(0)) * 60 + F.coalesce(minutes, F.lit(0)),
-    )
-    number = F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text).try_cast("decimal(20,6)")
-    whole = F.when(number >= 0, F.floor(number).cast("bigint"))
-    return F.when(number.isNotNull(), whole).otherwise(parts)
+    text = F.lower(raw)
+    plain = _found(text, r"^\s*(\d+)\s*$", 1).try_cast("bigint")
+    hours = _found(text, HOURS, 1).try_cast("bigint")
+    minutes = _found(text, MINUTES, 1).try_cast("bigint")
+    # Either part may be missing, but not both.
+    parts = F.coalesce(hours * 60 + F.coalesce(minutes, F.lit(0)), minutes)
+    return F.coalesce(plain, parts)
 
 
 def parse_schedule(raw: Column, zone: Column) -> Column:
     """Struct of raw text, local time, offset in minutes (if given) and zone."""
-    trimmed = _strip(raw)
-    text = F.regexp_replace(F.regexp_replace(trimmed, "/", "-"), "Z", "+00:00")
-    offset = F.regexp_extract(text, r"[T ].*([+-]\d{2}:?\d{2})$", 1)
-    local = F.regexp_replace(text, r"([T ].*)[+-]\d{2}:?\d{2}$", "$1")
-    shaped = F.when(local.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), local)
-    digits = F.regexp_replace(offset, ":", "")
-    minutes = F.when(
-        digits != "",
-        F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1)
-        * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")),
+    text = F.regexp_replace(F.translate(F.trim(raw), "/", "-"), "Z", "+00:00")
+    offset = _found(text, r"[T ].*([+-]\d{2}:?\d{2})$", 1)
+    local = _found(
+        text, r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?)([+-]\d{2}:?\d{2})?$", 1
     )
     return F.struct(
-        trimmed.alias("raw"),
-        shaped.try_cast("timestamp_ntz").alias("local"),
-        minutes.alias("offset_minutes"),
+        F.trim(raw).alias("raw"),
+        local.try_cast("timestamp_ntz").alias("local"),
+        _signed_minutes(F.translate(offset, ":", "")).alias("offset_minutes"),
         zone.alias("zone"),
     )
 
