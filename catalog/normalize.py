@@ -37,6 +37,14 @@ def calendar_captures(t):
           '"}},{{"date":"', {day}, '","price":', {higher}, '}},{{"date":"n/a","price":1}}]}}}}') AS payload""")
 
 
+def plain_captures(t):
+    """One small payload per offer, for the stream."""
+    return t._lines().selectExpr(
+        "run_id", "itinerary_id AS capture_id", "'EUR' AS default_currency",
+        f"""concat('{{"currency":"', money, '","priceList":[{{"departDate":"', cast(l_shipdate AS date), '","price":',
+          {_SCALED}, '}}]}}') AS payload""")
+
+
 def _segment_json(variant: int) -> str:
     """Flights of all legs; the two variants name their fields differently."""
     place = "(leg * (stops + 1) + hop)"

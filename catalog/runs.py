@@ -112,16 +112,19 @@ def run_diagnostics(t):
     return ru.run_diagnostics(issues(t)).withColumn("from_last", F.col("from_last").cast("bigint"))
 
 
+# Captured payloads, one per event, in five forms; one of them is no JSON.
+CAPTURED = (
+    "event_id", "observed_at", "'alpha' AS provider", "concat('/search/', query_id % 3) AS endpoint",
+    """CASE event_type
+         WHEN 'click' THEN concat('{"status":0,"data":', props, '}')
+         WHEN 'view' THEN concat('{"status":"ok","data":{"items":[', props, ',{"k":null}]}}')
+         WHEN 'purchase' THEN '{"flag":true,"data":{"items":[]}}'
+         WHEN 'signup' THEN props ELSE concat('no json ', props) END AS payload""",
+)
+
+
 def captured_shapes(t):
-    """Captured payloads, one per event, in five forms; one of them is no JSON."""
-    return t.events().selectExpr(
-        "event_id", "observed_at", "'alpha' AS provider", "concat('/search/', query_id % 3) AS endpoint",
-        """CASE event_type
-             WHEN 'click' THEN concat('{"status":0,"data":', props, '}')
-             WHEN 'view' THEN concat('{"status":"ok","data":{"items":[', props, ',{"k":null}]}}')
-             WHEN 'purchase' THEN '{"flag":true,"data":{"items":[]}}'
-             WHEN 'signup' THEN props ELSE concat('no json ', props) END AS payload""",
-    )
+    return t.events().selectExpr(*CAPTURED)
 
 
 _SHAPE_OF = """CASE event_type
