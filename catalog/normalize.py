@@ -11,6 +11,7 @@ from skyledger.functions import text as tx
 from skyledger.functions import times as tm
 from skyledger.functions.money import to_minor_units
 from skyledger.operators import normalize as no
+from skyledger.session import cut_lineage
 from skyledger.sources import captures as cp
 from skyledger.sources.testdata import AIRLINES, AIRPORT_HOURS, AIRPORTS, _pick
 
@@ -27,14 +28,14 @@ def calendar_captures(t):
     text, the first day again at a higher price, and a day that is no date."""
     higher = "CASE WHEN money = 'JPY' THEN cast(price + 100 AS decimal(18,2)) ELSE cast((price + 100) / 100.0BD AS decimal(18,2)) END"
     day = "cast(l_shipdate AS date)"
-    return spread_lines(t).selectExpr(
+    return cut_lineage(spread_lines(t).selectExpr(
         "run_id", "itinerary_id AS capture_id", "'EUR' AS default_currency",
         f"""concat('{{"status":0,"data":{{"inner":[{{"currencyCode":"', lower(money), '"}}],"list":',
           '[{{"departDate":"', {day}, 'T00:00:00","price":', {_SCALED},
           CASE WHEN l_linenumber = 7 THEN '' ELSE concat(',"totalPrice":', {_SCALED}) END,
           '}},{{"departureDate":"/Date(', datediff({day}, DATE'1970-01-01') * 86400000L + 57600000L,
           '+0800)/","lowestPrice":"', money, ' ', format_number({_SCALED}, 2), '","returnDate":"', date_add({day}, 8),
-          '"}},{{"date":"', {day}, '","price":', {higher}, '}},{{"date":"n/a","price":1}}]}}}}') AS payload""")
+          '"}},{{"date":"', {day}, '","price":', {higher}, '}},{{"date":"n/a","price":1}}]}}}}') AS payload"""))
 
 
 def plain_captures(t):
@@ -106,9 +107,9 @@ def itinerary_captures(t):
                        {_segment_json(1)}, 'offers', array({offer}, {broken}))"""
             body = f"named_struct('pages', array(named_struct('itineraries', array({item}))))"
         dialect.append(f"to_json({body})")
-    return lines.selectExpr(
+    return cut_lineage(lines.selectExpr(
         "run_id", "itinerary_id AS capture_id", "'CNY' AS default_currency",
-        f"CASE WHEN l_partkey % 2 = 0 THEN {dialect[0]} ELSE {dialect[1]} END AS payload")
+        f"CASE WHEN l_partkey % 2 = 0 THEN {dialect[0]} ELSE {dialect[1]} END AS payload"))
 
 
 _DAY = "l_shipdate::DATE"

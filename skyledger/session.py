@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Small shuffles still use all cores; parsing is costly per row, not per byte.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # The JVM never compiles methods above 8000 bytes; with this limit Spark splits
     # the code of wide projections into methods that are compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
