@@ -83,6 +83,11 @@ def best_offers(
     )
 
 
+def _running(order):
+    """From the first row up to the current one and its equals."""
+    return order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def _days_low(days: DataFrame) -> DataFrame:
     """Lowest daily price over the whole days of each look-back.
 
@@ -106,9 +111,10 @@ def _days_low(days: DataFrame) -> DataFrame:
         F.col("number").alias("starts"),
     )
     rows = data.unionByName(ends).unionByName(starts).withColumn("block", block)
-    order = Window.partitionBy(*keys, "block").orderBy("place")
-    up_to = F.min("day_low").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    onward = F.min("day_low").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both minima run forward over a sort: an open-ended frame would restart per row.
+    block_rows = Window.partitionBy(*keys, "block")
+    up_to = F.min("day_low").over(_running(block_rows.orderBy("place")))
+    onward = F.min("day_low").over(_running(block_rows.orderBy(F.desc("place"))))
     answered = rows.withColumn("low", F.when(F.col("ends").isNotNull(), up_to).otherwise(onward)).where(
         "ends IS NOT NULL OR starts IS NOT NULL"
     )
@@ -135,9 +141,10 @@ def previous_minimum(best: DataFrame, windows: DataFrame) -> DataFrame:
         F.timestamp_add("DAY", -F.col("window_days"), F.col("observed_at")).alias("at"),
         F.lit(None).cast("bigint").alias("price"), F.lit(True).alias("probe"),
     )
-    order = Window.partitionBy(*keys, "number").orderBy(F.unix_micros(F.col("at").cast("timestamp")))
-    earlier = F.min("price").over(order.rangeBetween(Window.unboundedPreceding, -1))
-    onward = F.min("price").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    day_rows = Window.partitionBy(*keys, "number")
+    earlier = F.min("price").over(day_rows.orderBy(micros).rangeBetween(Window.unboundedPreceding, -1))
+    onward = F.min("price").over(_running(day_rows.orderBy(micros.desc())))
     partial = own.unionByName(first_day).withColumn("low", F.when(F.col("probe"), onward).otherwise(earlier))
     per_run = partial.groupBy(*keys, "run_id").agg(F.min("low").alias("partial_low"))
     whole = _days_low(runs.groupBy(*keys, "number").agg(F.min(price).alias("day_low")))
