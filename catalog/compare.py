@@ -20,6 +20,7 @@ from skyledger.operators import latest as la
 from skyledger.operators import runs as ru
 from skyledger.operators import trends as tr
 from skyledger.operators import writes as wr
+from skyledger.operators.paging import first_pages
 from skyledger.plans import reports as re
 from skyledger.sources.testdata import AS_OF as NOW
 
@@ -239,3 +240,18 @@ SELECT code, name FROM directory WHERE contains(lower(code), 'nation_1') OR cont
   OR contains(lower(name), 'nation_1')""", directory=_DIRECTORY))
 def location_search(t):
     return it.location_search(directory(t), " Nation_1").select("code", "name")
+
+
+@query("view_page", sql("""
+SELECT user_id, view_id, created_at, page_row, has_more FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, view_id DESC) AS page_row,
+    count(*) OVER (PARTITION BY user_id) > 10 AS has_more
+  FROM (SELECT view_id, user_id, created_at FROM view_item v JOIN sub s ON s.subscription_id = v.view_id * 5
+        WHERE position = 0)) WHERE page_row <= 10"""))
+def view_page(t):
+    """A view belongs to the owner of its first route."""
+    owners = t.subscriptions().where("subscription_id % 5 = 0").selectExpr(
+        "subscription_id div 5 AS view_id", "user_id", "created_at")
+    views = t.comparison_items().select("view_id").distinct().join(owners, "view_id")
+    return first_pages(views, ["user_id"], ["created_at", "view_id"], 10, descending=True).select(
+        "user_id", "view_id", "created_at", "page_row", "has_more")

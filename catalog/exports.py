@@ -161,3 +161,11 @@ def append_new(t):
     overlap = rows.where(F.col("observed_at") >= F.lit(datetime(1997, 1, 1)).cast("timestamp_ntz"))
     batch = overlap.unionByName(overlap)
     return target.unionByName(wr.append_new(target, batch, ["observed_at", "run_id", "obs_id"]))
+
+
+@query("missing_hot_months", sql("""
+SELECT m::DATE AS month FROM (SELECT unnest(generate_series(DATE '1994-11-01', DATE '1996-01-01', INTERVAL 1 MONTH)) AS m)
+WHERE m NOT IN (SELECT date_trunc('month', finished_at) FROM run WHERE finished_at IS NOT NULL)"""))
+def missing_hot_months(t):
+    hot = t.runs().where("finished_at IS NOT NULL").select(ob.month_of(F.col("finished_at")).alias("month")).distinct()
+    return ob.require_complete_months(hot, date(1994, 11, 20), date(1996, 1, 5))

@@ -141,3 +141,33 @@ def filter_routing(t):
         "subscription_id", fl.requires_itinerary_scan().alias("needs_scan"),
         fl.supports_daily_aggregate().alias("daily_ok"),
     )
+
+
+@query("history_raw_page", sql(f"""
+SELECT subscription_id, run_id, observed_at, price AS price_minor, page_row, total > 5 AS has_more FROM (
+  SELECT *, count(*) OVER (PARTITION BY subscription_id) AS total,
+    row_number() OVER (PARTITION BY subscription_id ORDER BY observed_at, run_id) AS page_row
+  FROM sample WHERE {_WINDOW}) WHERE page_row <= 5"""))
+def history_raw_page(t):
+    rows, minima = samples(t)
+    return hi.for_subscriptions(hi.history_pages(minima, 5), rows)
+
+
+@query("history_day_page", sql(f"""
+SELECT subscription_id, bucket, lowest_price_minor, page_row, total > 5 AS has_more FROM (
+  SELECT *, count(*) OVER (PARTITION BY subscription_id) AS total,
+    row_number() OVER (PARTITION BY subscription_id ORDER BY bucket) AS page_row
+  FROM (SELECT subscription_id, date_trunc('day', observed_at)::TIMESTAMP AS bucket,
+          min(price)::BIGINT AS lowest_price_minor FROM sample WHERE {_WINDOW} GROUP BY 1, 2)) WHERE page_row <= 5"""))
+def history_day_page(t):
+    rows, minima = samples(t)
+    pages = hi.bucket_pages(hi.history_buckets(minima, "day", "branch_key"), 5)
+    return hi.for_subscriptions(pages, rows).select(
+        "subscription_id", "bucket", "lowest_price_minor", "page_row", "has_more")
+
+
+@query("owner_counts", sql("""
+SELECT subscription_id, name, needs_scan FROM context WHERE user_id = 7"""))
+def owner_counts(t):
+    return fl.owner_scope(contexts(t), 7).select(
+        "subscription_id", "name", fl.requires_itinerary_scan().alias("needs_scan"))

@@ -11,7 +11,7 @@ from skyledger.functions import text as tx
 from skyledger.functions import times as tm
 from skyledger.functions.money import to_minor_units
 from skyledger.operators import normalize as no
-from skyledger.session import cut_lineage
+from skyledger.session import cut_lineage, work_dir
 from skyledger.sources import captures as cp
 from skyledger.sources.testdata import AIRLINES, AIRPORT_HOURS, AIRPORTS, _pick
 
@@ -350,3 +350,17 @@ def distinct_queries(t):
     """Searches that differ only in spelling are one."""
     rows = no.canonical_queries(searches(t).withColumn("cabin", F.concat("cabin", F.col("query_id").cast("string"))))
     return no.distinct_queries(rows).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_captures", sql(f"""
+SELECT page_id::VARCHAR AS capture_id, split_part(replace(replace(url0, 'user:pw@', ''), 'API.example', 'api.example'), '?', 1)
+  AS url, status, length(html) AS size
+FROM (SELECT page_id, html, {_URL} AS url0, {_STATUS}::BIGINT AS status FROM pages)"""))
+def read_captures(t):
+    """Responses are landed as JSON lines and read back with whole page bodies."""
+    path = work_dir(t.spark, "landed")
+    t.raw("pages").selectExpr(
+        "cast(page_id AS string) AS capture_id", f"concat({_URL}, '?q=', url) AS url",
+        f"cast({_STATUS} AS bigint) AS status", "html AS payload").write.json(path)
+    return cp.read_captures(t.spark, path).select(
+        "capture_id", "url", "status", F.length("payload").cast("bigint").alias("size"))

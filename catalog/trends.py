@@ -181,3 +181,13 @@ SELECT query_id, currency, is_direct, departure_date AS service_date,
 FROM obs JOIN leg USING (query_id) WHERE position = 0 GROUP BY ALL"""))
 def service_date_prices(t):
     return tr.service_date_prices(t.observations(), t.legs())
+
+
+@query("maintenance_page", sql("""
+SELECT observation_date, query_id, row_number() OVER (ORDER BY observation_date, query_id) AS page_row, true AS has_more
+FROM (SELECT query_id, unnest(generate_series(DATE '1998-04-01', DATE '1998-06-30', INTERVAL 1 DAY))::DATE
+      AS observation_date FROM query)
+WHERE (observation_date, query_id) > (DATE '1998-04-03', 20) ORDER BY observation_date, query_id LIMIT 500"""))
+def maintenance_page(t):
+    days = tr.tracked_days(t.subscriptions(), FIRST, LAST)
+    return tr.maintenance_page(days, 500, (date(1998, 4, 3), 20))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.times import bucket_start
 from skyledger.operators.filters import itinerary_match, within
+from skyledger.operators.paging import first_pages
 from skyledger.skew import join_checked
 
 RUN_KEYS = ("query_id", "currency", "run_id", "observed_at")
@@ -108,6 +109,16 @@ def history_buckets(minima: DataFrame, resolution: str, *keys: str) -> DataFrame
     )
 
 
+def history_pages(minima: DataFrame, limit: int) -> DataFrame:
+    """The first page of raw samples of every branch, by time and run."""
+    return first_pages(minima, ["branch_key"], ["observed_at", "run_id"], limit)
+
+
+def bucket_pages(buckets: DataFrame, limit: int) -> DataFrame:
+    """The first page of hour or day buckets of every branch."""
+    return first_pages(buckets, ["branch_key"], ["bucket"], limit)
+
+
 def for_subscriptions(per_branch: DataFrame, context_rows: DataFrame, how: str = "inner") -> DataFrame:
     """Give every subscription the rows of its branch."""
     members = context_rows.select("subscription_id", "branch_key")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.money import average, percent_change
 from skyledger.functions.times import bucket_start, check_days, full_utc_days
 from skyledger.operators.history import run_floor, run_minima, simple_minima, time_range
+from skyledger.operators.paging import page
 from skyledger.skew import join_checked
 
 DAILY_KEYS = ("query_id", "observation_date", "currency", "direct_only")
@@ -63,6 +64,13 @@ def tracked_days(subscriptions: DataFrame, start: date, end: date) -> DataFrame:
     return subscriptions.select("query_id").distinct().withColumn("observation_date", F.explode(days))
 
 
+def maintenance_page(
+    query_days: DataFrame, limit: int, after: tuple[date, int] | None = None
+) -> DataFrame:
+    """The next query days to rebuild, by date and query, behind a stored cursor."""
+    return page(query_days, ["observation_date", "query_id"], limit, after, most=10_000)
+
+
 def trend_coverage(query_days: DataFrame, observations: DataFrame) -> DataFrame:
     """Proof that a query day was rebuilt, also when nothing was observed on it."""
     source = observations.where("is_lowest") if "is_lowest" in observations.columns else observations
