@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.hashing import fingerprint
 from skyledger.functions.money import drop_basis_points
 from skyledger.functions.times import add_seconds
-from skyledger.operators.filters import WISHES, itinerary_match, requires_itinerary_scan, within
+from skyledger.operators.filters import WISHES, distinct_branches, itinerary_match, within
 from skyledger.operators.history import RUN_KEYS
 from skyledger.session import cut_lineage
 from skyledger.skew import join_checked
@@ -40,11 +40,8 @@ def rule_contexts(rules: DataFrame, context_rows: DataFrame) -> DataFrame:
 
 
 def rule_branches(rule_rows: DataFrame) -> DataFrame:
-    return (
-        rule_rows.select("branch_key", *WISHES)
-        .dropDuplicates(["branch_key"])
-        .withColumn("needs_scan", requires_itinerary_scan())
-    )
+    """The distinct branches of the rules."""
+    return distinct_branches(rule_rows)
 
 
 def best_offers(

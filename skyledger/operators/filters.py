@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.hashing import fingerprint
+from skyledger.session import cut_lineage
 from skyledger.skew import join_checked
 
 WISHES = (
@@ -52,15 +53,23 @@ def contexts(subscriptions: DataFrame, queries: DataFrame, filters: DataFrame) -
     return joined.withColumn("branch_key", fingerprint(**{name: F.col(name) for name in WISHES}))
 
 
-def branches(context_rows: DataFrame) -> DataFrame:
-    """The distinct branches of the contexts."""
-    return (
-        context_rows.select("branch_key", *WISHES)
+def distinct_branches(rows: DataFrame) -> DataFrame:
+    """The distinct branches of rows that hold wishes, written once.
+
+    They decide which sources are read at all, and every source joins them.
+    """
+    return cut_lineage(
+        rows.select("branch_key", *WISHES)
         .dropDuplicates(["branch_key"])
         .withColumn("needs_scan", requires_itinerary_scan())
     )
 
 
+def branches(context_rows: DataFrame) -> DataFrame:
+    """The distinct branches of the contexts."""
+    return distinct_branches(context_rows)
+
+
 def itinerary_features(itineraries: DataFrame, segments: DataFrame) -> DataFrame:
     """One row per itinerary with all that the wishes look at.
 

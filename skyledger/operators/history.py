@@ -79,11 +79,14 @@ def run_minima(
 ) -> DataFrame:
     """One price sample per (branch, run): the cheapest price that passes.
 
-    ``small`` tells that the branches are known to fit a broadcast.
+    ``small`` tells that the branches are known to fit a broadcast. Itineraries and
+    segments are left alone when no branch asks for them.
     """
     simple = simple_minima(run_floor(observations), branch_rows.where("NOT needs_scan"), small)
-    scanned = scanned_minima(observations, features, branch_rows.where("needs_scan"), small)
-    return simple.unionByName(scanned)
+    wishing = branch_rows.where("needs_scan")
+    if wishing.isEmpty():
+        return simple
+    return simple.unionByName(scanned_minima(observations, features, wishing, small))
 
 
 def history_summary(minima: DataFrame, *keys: str) -> DataFrame:

@@ -11,6 +11,7 @@ from skyledger.functions.money import average, percent_change
 from skyledger.functions.times import bucket_start, check_days, full_utc_days
 from skyledger.operators.history import run_floor, run_minima, simple_minima, time_range
 from skyledger.operators.paging import page
+from skyledger.session import cut_lineage
 from skyledger.skew import join_checked
 
 DAILY_KEYS = ("query_id", "observation_date", "currency", "direct_only")
@@ -137,14 +138,17 @@ def trend_contributions(
     """Partial daily points per branch from the cheapest exact source.
 
     Covered branches read daily rows for whole days and raw rows only for the two
-    edges of the range. All other branches read raw rows. The time bounds of the
-    edges are literals, so the edge scans prune to the months of their two days.
+    edges of the range. All other branches read raw rows; when there are none, the
+    raw rows of the whole range are not scanned. The time bounds of the edges are
+    literals, so the edge scans prune to the months of their two days.
     """
     start, end = full_utc_days(since, as_of)
-    routed = split_by_coverage(branch_rows, coverage, since, as_of)
+    routed = cut_lineage(split_by_coverage(branch_rows, coverage, since, as_of))
     covered, uncovered = routed.where("covered"), routed.where("NOT covered")
     raw = time_range(observations, since, as_of)
-    parts = [daily_points(run_minima(raw, features, uncovered, small=small))]
+    parts = []
+    if start == end or covered.isEmpty() or not uncovered.isEmpty():
+        parts.append(daily_points(run_minima(raw, features, uncovered, small=small)))
     if start < end:
         day = F.col("observation_date")
         rows = daily.where((day >= F.lit(start.date())) & (day < F.lit(end.date())))
