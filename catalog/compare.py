@@ -20,7 +20,7 @@ from skyledger.operators import latest as la
 from skyledger.operators import runs as ru
 from skyledger.operators import trends as tr
 from skyledger.operators import writes as wr
-from skyledger.operators.paging import first_pages
+from skyledger.operators.paging import first_pages, least
 from skyledger.plans import reports as re
 from skyledger.sources.testdata import AS_OF as NOW
 
@@ -212,15 +212,13 @@ def operations_view(t):
     return re.operations_view(counts, signals, t.subscriptions(), t.queries())
 
 
-_DIRECTORY = """SELECT 'NATION_' || n_nationkey AS code, r_name AS city, 'Port ' || n_nationkey AS name,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'city' ELSE 'airport' END AS kind FROM nation JOIN region ON n_regionkey = r_regionkey
-  WHERE n_nationkey < 20"""
+_DIRECTORY = """SELECT CASE WHEN n_regionkey = 4 THEN 'OLD_' ELSE 'NATION_' END || n_nationkey AS code, r_name AS city, 'Port ' || n_nationkey AS name,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'city' ELSE 'airport' END AS kind FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 
 def directory(t):
-    return t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).where(
-        "n_nationkey < 20").selectExpr(
-        "concat('NATION_', n_nationkey) AS code", "r_name AS city", "concat('Port ', n_nationkey) AS name",
+    return t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
+        "concat(CASE WHEN n_regionkey = 4 THEN 'OLD_' ELSE 'NATION_' END, n_nationkey) AS code", "r_name AS city", "concat('Port ', n_nationkey) AS name",
         "CASE WHEN n_nationkey % 2 = 0 THEN 'city' ELSE 'airport' END AS kind", "r_name AS country",
         "array(concat('alias ', n_nationkey % 3), lower(n_name)) AS aliases")
 
@@ -237,7 +235,7 @@ def readable_location(t):
 
 @query("location_search", sql("""
 SELECT code, name FROM directory WHERE contains(lower(code), 'nation_1') OR contains(lower(city), 'nation_1')
-  OR contains(lower(name), 'nation_1')""", directory=_DIRECTORY))
+  OR contains(lower(name), 'nation_1') OR contains('nation_' || substr(name, 6), 'nation_1')""", directory=_DIRECTORY))
 def location_search(t):
     return it.location_search(directory(t), " Nation_1").select("code", "name")
 
@@ -250,8 +248,8 @@ SELECT user_id, view_id, created_at, page_row, has_more FROM (
         WHERE position = 0)) WHERE page_row <= 10"""))
 def view_page(t):
     """A view belongs to the owner of its first route."""
-    owners = t.subscriptions().where("subscription_id % 5 = 0").selectExpr(
-        "subscription_id div 5 AS view_id", "user_id", "created_at")
+    routes = t.subscriptions().selectExpr("subscription_id div 5 AS view_id", "subscription_id", "user_id", "created_at")
+    owners = least(routes, ["view_id"], ["subscription_id"], ["user_id", "created_at"])
     views = t.comparison_items().select("view_id").distinct().join(owners, "view_id")
     return first_pages(views, ["user_id"], ["created_at", "view_id"], 10, descending=True).select(
         "user_id", "view_id", "created_at", "page_row", "has_more")

@@ -166,7 +166,7 @@ TABLES = {
   FROM (SELECT n_nationkey::BIGINT AS user_id, unnest([0, 1, 2])::BIGINT AS slot FROM nation)""",
     "rule_channel": """
   SELECT c_custkey AS rule_id, (c_nationkey * 3 + c_custkey % 3)::BIGINT AS channel_id
-  FROM customer WHERE c_custkey % 2 = 0""",
+  FROM customer WHERE c_acctbal >= 4000""",
     "alert_event": """
   SELECT run_id AS event_id, o_custkey AS rule_id, o_custkey % 25 AS user_id, run_id, clock AS created_at
   FROM run0 WHERE status = 'failed'""",

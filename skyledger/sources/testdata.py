@@ -255,7 +255,7 @@ class FareTables:
         )
 
     def rule_channels(self) -> DataFrame:
-        return self.raw("customer").where("c_custkey % 2 = 0").selectExpr(
+        return self.raw("customer").where("c_acctbal >= 4000").selectExpr(
             "c_custkey AS rule_id", "cast(c_nationkey * 3 + c_custkey % 3 AS bigint) AS channel_id"
         )
 
