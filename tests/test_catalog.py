@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from catalog import check
+from catalog import check, registry
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 QUICK = (
@@ -15,7 +15,7 @@ QUICK = (
     "collection_health", "due_by_query", "reuse_or_create_run", "deliverable", "rule_targets", "view_state",
     "classify_responses", "missing_months", "stream_latest_snapshot",
 )
-NAMES = sorted(entry.queries()) if os.environ.get("CATALOG_ALL") else QUICK
+NAMES = sorted(registry.QUERIES) if os.environ.get("CATALOG_ALL") else QUICK
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
@@ -33,4 +33,4 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_an_answer():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.ORACLES) == set(registry.QUERIES)
