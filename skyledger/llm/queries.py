@@ -62,3 +62,28 @@ def op5_token_ids(spark, sf_dir):
         common.table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"), end=2, drops_space=True
     )
     return tokens.read_ids(manifest, folder)
+
+
+@query("op4_packing")
+def op4_packing(spark, sf_dir):
+    from skyledger.llm import packing
+
+    pieces = common.written(
+        packing.token_pieces(
+            common.table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end=2, drops_space=False
+        ).withColumn("item", F.monotonically_increasing_id()),
+        "pieces",
+    )
+    places = packing.pack(pieces.select("item", "length"))
+    return pieces.join(places, "item").drop("item")
+
+
+@query("op9_mixing")
+def op9_mixing(spark, sf_dir):
+    from skyledger.llm import mixing
+
+    docs = common.table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.withColumn("row", F.col("doc_id")), "row")
+    return mixed.select(
+        F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
