@@ -70,19 +70,20 @@ def commit_file(fs: pafs.FileSystem, path: str, data: bytes) -> None:
 
 
 def range_cuts(
-    df: DataFrame, key: str, weight: Column, target: int, *, buckets: int = 4096, rounds: int = 6
+    df: DataFrame, key: str, weight: Column, target: int, *, buckets: int = 4096, rounds: int = 6, most: int = 1 << 16
 ) -> list[int]:
     """Lower bounds of key ranges that hold about ``target`` of ``weight`` each.
 
     The bounds come from exact sums per key interval, so they depend on the rows alone and
     not on their order or partitions. Intervals that hold more than ``target`` are divided
     again, in at most ``rounds`` jobs whose results are ``buckets`` rows at most. A single
-    key is never divided. Null keys belong to the first range. The list grows with the
-    total weight divided by ``target`` and with nothing else.
+    key is never divided. Null keys belong to the first range. There are about ``most``
+    ranges at most; beyond that ``target`` grows, so the list has a fixed bound.
     """
-    bounds = df.agg(F.min(key), F.max(key)).first()
+    bounds = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     if bounds is None or bounds[0] is None:
         return []
+    target = max(target, -(-int(bounds[2]) // most))
     edges = [(int(bounds[0]), int(bounds[1]))]
     sums: dict[int, int] = {}
     for _ in range(rounds):

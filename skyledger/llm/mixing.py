@@ -9,6 +9,7 @@ of all groups meet again, level by level, until each source has one, which is ro
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from skyledger.skew import join_checked
 GROUP = 2048
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
+#: A document with more than this part of the words after it is drawn first.
+LARGE = 0.02
 #: Stands for a null key inside groups, as pandas has no null integers.
 NULL_KEY = -(1 << 63)
 
@@ -65,10 +68,43 @@ def source_targets(
     )
 
 
+def _largest_first(sizes: np.ndarray, odds: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Draw the documents, largest first, that hold a notable part of their source's words.
+
+    Such a document would be left over at the end and miss the target by up to half its
+    words. What the draw gives or takes is moved to or from all documents after it, in
+    proportion to the room they have, so the expected sum of words stays.
+    """
+    odds = odds.copy()
+    for k in range(len(sizes) - 1):
+        rest, p = slice(k + 1, None), odds[k]
+        if sizes[k] <= LARGE * sizes[rest].sum():
+            break
+        if p <= 1e-12 or p >= 1 - 1e-12:
+            continue
+        room = float((sizes[rest] * (1 - odds[rest])).sum())
+        held = float((sizes[rest] * odds[rest]).sum())
+        up = draws[k] < p
+        if up and (1 - p) * sizes[k] > held:
+            up = False
+        if not up and p * sizes[k] > room:
+            up = (1 - p) * sizes[k] <= held
+            if not up:
+                break
+        if up:
+            odds[rest] -= odds[rest] * ((1 - p) * sizes[k] / held)
+        else:
+            odds[rest] += (1 - odds[rest]) * (p * sizes[k] / room)
+        odds[k] = float(up)
+    return odds
+
+
 def _duels(group: pd.DataFrame) -> pd.DataFrame:
     """Decide all documents of a group but one; ``copies`` is whole where ``open`` is false."""
     group = group.sort_values(["size", "u", "row"], ascending=[False, True, True], kind="stable")
     sizes, odds, draws = group["size"].tolist(), group["copies"].tolist(), group["u"].tolist()
+    if group["alone"].iloc[0]:
+        odds = _largest_first(np.array(sizes, float), np.array(odds), group["u"].to_numpy()).tolist()
     carry = None
     for k in range(len(sizes)):
         if odds[k] <= 1e-12 or odds[k] >= 1 - 1e-12:
@@ -105,7 +141,8 @@ def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targe
     part says and count for nothing. A null source is a source. Equal rows are rounded each
     for itself. No rows: no rows. Draws and groups follow from hashes of the row's texts and
     ids, so a rerun, also with other partitions, decides alike as long as ``key`` stays.
-    A source's taken words miss its target by half of one document at most. Rows that are equal in key and text share a group.
+    A source's taken words miss its target by half of one document at most; where one group
+    holds a source, its large documents are drawn first, so that document is a small one. Rows that are equal in key and text share a group.
     """
     sizes = common.written(
         docs.select(
@@ -126,11 +163,12 @@ def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targe
         .withColumn("copies", F.when(F.col("size") > 0, F.greatest(rate - whole, F.lit(0.0))).otherwise(0.0))
         .withColumn("u", F.shiftrightunsigned(F.col("h"), 11).cast("double") / F.lit(float(1 << 53)))
         .withColumn("bucket", F.pmod(F.col("h"), F.ceil(F.col("source_n") / group)).cast("bigint"))
-        .select("row", "name", "size", "source_size", "target", "whole", "copies", "u", "bucket")
+        .withColumn("alone", F.col("source_n") <= group)
+        .select("row", "name", "size", "source_size", "target", "whole", "copies", "u", "bucket", "alone")
     )
     kind = (
         "row bigint, name string, size bigint, source_size bigint, target double, whole bigint, copies double, "
-        "u double, bucket bigint, open boolean"
+        "u double, bucket bigint, alone boolean, open boolean"
     )
     decided, buckets = [], -(-most // group)
     level = rows
@@ -142,7 +180,9 @@ def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targe
             decided.append(left.withColumn("copies", F.round("copies")))
             break
         buckets = -(-buckets // group)
-        level = left.withColumn("bucket", F.floor(F.col("bucket") / group).cast("bigint")).drop("open")
+        level = left.withColumns(
+            {"bucket": F.floor(F.col("bucket") / group).cast("bigint"), "alone": F.lit(False)}
+        ).drop("open")
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)

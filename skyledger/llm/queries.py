@@ -87,3 +87,10 @@ def op9_mixing(spark, sf_dir):
     return mixed.select(
         F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query("op10_prefix_fingerprints")
+def op10_prefix_fingerprints(spark, sf_dir):
+    from skyledger.llm import prefixhash
+
+    return prefixhash.fingerprints(common.table(spark, sf_dir, "documents"))

@@ -207,7 +207,7 @@ def _block(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
     )
 
 
-MANIFEST = "shard int, file string, documents bigint, ids bigint, bytes bigint, sha256 string, blocks array<bigint>"
+MANIFEST = "shard int, number int, file string, documents bigint, ids bigint, bytes bigint, sha256 string, blocks array<bigint>"
 
 
 def write_ids(
@@ -217,10 +217,13 @@ def write_ids(
     *,
     end: int,
     drops_space: bool,
-    shard_bytes: int = 32 << 20,
+    shard_bytes: int = 8 << 20,
+    file_bytes: int = 64 << 20,
     block_ids: int = BLOCK_IDS,
 ) -> DataFrame:
-    """Write the ids of ``doc_id, text`` in ascending doc_id order, one file per shard.
+    """Write the ids of ``doc_id, text`` in ascending doc_id order, files in shards.
+
+    A file is closed by the block that takes it past ``file_bytes``.
 
     A null text is empty and has the end id alone. Documents without doc_id come first.
     Equal doc_ids are ordered by text. No rows: no files. Other columns are ignored. Returns the
@@ -235,13 +238,13 @@ def write_ids(
         encoder = CachedTokenizer(tokenizer, drops_space)
         fs, base = common.store(folder)
         schema = pa.schema([
-            ("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()),
+            ("shard", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()),
             ("bytes", pa.int64()), ("sha256", pa.string()), ("blocks", pa.list_(pa.int64())),
         ])
         state = {"shard": None}
 
-        def begin(shard):
-            state.update(shard=shard, data=[MAGIC], size=len(MAGIC), blocks=[], docs=0, total=0, ids=[], held=0, names=[])
+        def begin(shard, number):
+            state.update(shard=shard, number=number, data=[MAGIC], size=len(MAGIC), blocks=[], docs=0, total=0, ids=[], held=0, names=[])
 
         def flush():
             if state["names"]:
@@ -257,9 +260,9 @@ def write_ids(
             if state["shard"] is None:
                 return None
             flush()
-            data, name = b"".join(state["data"]), f"ids-{state['shard']:06d}.s8b"
+            data, name = b"".join(state["data"]), f"ids-{state['shard']:06d}-{state['number']:05d}.s8b"
             common.commit_file(fs, f"{base}/{name}", data)
-            row = (state["shard"], name, state["docs"], state["total"], len(data), hashlib.sha256(data).hexdigest(), state["blocks"])
+            row = (state["shard"], state["number"], name, state["docs"], state["total"], len(data), hashlib.sha256(data).hexdigest(), state["blocks"])
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -267,10 +270,11 @@ def write_ids(
             names = batch.column("doc_id").to_pylist()
             encoded = encoder.encode_all(batch.column("text").to_pylist(), end)
             for shard, name, ids in zip(shards, names, encoded):
-                if shard != state["shard"]:
+                if shard != state["shard"] or state["size"] >= file_bytes:
+                    number = state["number"] + 1 if shard == state["shard"] else 0
                     if (done := close()) is not None:
                         yield done
-                    begin(shard)
+                    begin(shard, number)
                 if state["held"] and state["held"] + len(ids) > block_ids:
                     flush()
                 state["names"].append(NULL_ID if name is None else name)
@@ -296,8 +300,8 @@ def read_ids(manifest: DataFrame, folder: str, *, keep_ids: bool = False) -> Dat
     ``start`` counts the ids of all documents before. The running sum is over one row per
     file; the rows of a file are read block by block, one block in memory.
     """
-    before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("shard", "file", "bytes", "blocks", F.coalesce(before, F.lit(0)).alias("base"))
+    before = F.sum("ids").over(Window.orderBy("shard", "number").rowsBetween(Window.unboundedPreceding, -1))
+    files = manifest.select("shard", "number", "file", "bytes", "blocks", F.coalesce(before, F.lit(0)).alias("base"))
     schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     kinds = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if keep_ids:

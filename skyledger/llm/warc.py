@@ -107,7 +107,7 @@ def write_archives(
     pages: DataFrame,
     folder: str,
     *,
-    shard_bytes: int = 64 << 20,
+    shard_bytes: int = 16 << 20,
     file_bytes: int = 16 << 20,
     level: int = 6,
     minimum: int = REVISIT_BYTES,
