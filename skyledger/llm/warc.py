@@ -30,31 +30,22 @@ RECORDS = (
 )
 
 
-def with_revisits(pages: DataFrame, minimum: int = REVISIT_BYTES) -> DataFrame:
-    """Columns page_id, url, html, digest, and ``first_id`` of the equal payload it revisits.
+def revisits(rows: DataFrame, minimum: int = REVISIT_BYTES) -> DataFrame:
+    """``page_id, digest, first_id`` of the rows that revisit an equal payload.
 
-    ``first_id`` is null for responses: short payloads, and the smallest page_id of each
-    payload. Rows that repeat that page_id with that payload are responses too; a row
-    without page_id revisits the smallest one. Only digests that occur twice are joined, and only narrow rows are
-    grouped, so a payload that a third of all pages share costs one partial sum per task.
+    Responses are short payloads and the smallest page_id of each payload. Rows that repeat
+    that page_id with that payload are responses too; a row without page_id revisits the
+    smallest one. Payloads do not take part, and digests are counted before the join, so a
+    payload that a third of all pages share costs one partial sum per task.
     """
-    rows = pages.select(
-        F.col("page_id").cast("bigint").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html"), F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    long_enough = F.octet_length("html") >= minimum
+    narrow = rows.where(F.octet_length("html") >= minimum).select("page_id", "digest")
     repeated = (
-        rows.where(long_enough)
-        .groupBy("digest")
+        narrow.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"))
-        .where("n > 1")
+        .where("n > 1 AND first_id IS NOT NULL")
         .drop("n")
     )
-    return rows.join(repeated, "digest", "left").withColumn(
-        "first_id",
-        F.when(long_enough & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")),
-    )
+    return narrow.join(repeated, "digest").where("NOT page_id <=> first_id").select("page_id", "digest", "first_id").distinct()
 
 
 def _uri(url: str | None, page_id: int | None) -> str:
@@ -107,7 +98,7 @@ def write_archives(
     pages: DataFrame,
     folder: str,
     *,
-    shard_bytes: int = 16 << 20,
+    shard_bytes: int = 4 << 20,
     file_bytes: int = 16 << 20,
     level: int = 6,
     minimum: int = REVISIT_BYTES,
@@ -120,7 +111,11 @@ def write_archives(
     A file is closed by the record that takes it past ``file_bytes`` of compressed size, so
     one longer record makes one longer file. A task holds one file in memory.
     """
-    rows = common.written(with_revisits(pages, minimum), "warc-rows")
+    rows = pages.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html"), F.lit("")).alias("html"),
+    ).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     weight = F.octet_length("html").cast("bigint") + F.lit(400)
     cuts = common.range_cuts(rows, "page_id", weight, shard_bytes)
     common.store(folder)[0].create_dir(common.store(folder)[1], recursive=True)
@@ -129,6 +124,7 @@ def write_archives(
         schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
         fs, base = common.store(folder)
         held, size, records, shard, number, done = [], 0, 0, None, 0, []
+        marked, first_id = None, None
 
         def close():
             nonlocal held, size, records, number
@@ -142,11 +138,17 @@ def write_archives(
 
         for batch in batches:
             for row in batch.to_pylist():
+                if row["first_id"] is not None:
+                    # The rows of this page and payload follow.
+                    marked, first_id = (row["page_id"], row["digest"]), row["first_id"]
+                    continue
                 if row["shard"] != shard:
                     close()
                     shard, number = row["shard"], 0
                 data = _member(
-                    record_bytes(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["first_id"]), level
+                    record_bytes(row["page_id"], row["url"], row["html"].encode(), row["digest"],
+                                 first_id if marked == (row["page_id"], row["digest"]) else None),
+                    level,
                 )
                 held.append(data)
                 size, records = size + len(data), records + 1
@@ -156,10 +158,17 @@ def write_archives(
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
+    # Payloads are shuffled once; the note that a page is a revisit travels to its shard and
+    # sorts right before it.
+    notes = revisits(rows, minimum).select(
+        "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first_id"
+    )
     dealt = (
-        rows.withColumn("shard", common.shard_of("page_id", cuts))
+        rows.withColumn("first_id", F.lit(None).cast("bigint"))
+        .unionByName(notes)
+        .withColumn("shard", common.shard_of("page_id", cuts))
         .repartition(len(cuts) + 1, "shard")
-        .sortWithinPartitions("shard", "page_id", "digest", "url")
+        .sortWithinPartitions("shard", "page_id", "digest", F.col("first_id").desc_nulls_last(), "url")
         .select("shard", "page_id", "url", "html", "digest", "first_id")
     )
     # The manifest is a written table: its own commit is the commit of the whole archive.
