@@ -94,3 +94,13 @@ def op10_prefix_fingerprints(spark, sf_dir):
     from skyledger.llm import prefixhash
 
     return prefixhash.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    from skyledger.llm import rules
+
+    judged = rules.judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
