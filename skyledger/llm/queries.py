@@ -104,3 +104,15 @@ def op3_quality_rules(spark, sf_dir):
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op2_language_mixture")
+def op2_language_mixture(spark, sf_dir):
+    from skyledger.llm import langid
+
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4) == 2
+    # A null doc_id has no remainder, so its row is not held out.
+    rows = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = langid.train(rows.where("NOT held_out").select("text", "lang"))
+    return langid.identify(rows.select("doc_id", "held_out", "text"), model).drop("text")
