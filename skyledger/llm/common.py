@@ -139,13 +139,12 @@ def shard_of(key: str, cuts: list[int]) -> Column:
 
 def _rank(value: Column, bounds: Column, n: int) -> Column:
     """How many of the ascending bounds are at or below the value, by halving."""
-    low = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        there = low + step
-        low = F.when((there <= n) & (F.get(bounds, there - 1) <= value), there).otherwise(low)
-        step >>= 1
-    return low
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+
+    def halve(low, step):
+        return F.when((low + step <= n) & (F.get(bounds, low + step - 1) <= value), low + step).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), halve)
 
 
 # ---------------------------------------------------------------- texts as buffers

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm import common
-from skyledger.llm.tokens import CachedTokenizer, crc_of
+from skyledger.llm.tokens import cached_tokenizer, crc_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Items of a cell, on average; a cell is the unit that one island packs.
@@ -39,10 +39,10 @@ def token_pieces(
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedTokenizer(tokenizer, drops_space)
+        encoder = cached_tokenizer(tokenizer, drops_space)
         for batch in batches:
             names, rows = batch.column("doc_id").to_pylist(), []
-            for name, ids in zip(names, encoder.encode_all(batch.column("text").to_pylist(), end)):
+            for name, ids in zip(names, encoder.encode_all(batch.column("text"), end)):
                 first = len(ids) % capacity or min(capacity, len(ids))
                 start, piece = 0, 0
                 while start < len(ids):

@@ -116,3 +116,12 @@ def op2_language_mixture(spark, sf_dir):
     rows = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     model = langid.train(rows.where("NOT held_out").select("text", "lang"))
     return langid.identify(rows.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    from skyledger.llm import quality
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.judged(docs.select("doc_id", "text"), model).drop("text")

@@ -12,7 +12,10 @@ array operations.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,16 +37,41 @@ MAGIC = b"S8B1"
 NULL_ID = -(1 << 63)
 #: Ids that a block holds at most, unless one document has more.
 BLOCK_IDS = 1 << 16
-#: Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 400_000
+#: Spans whose ids a worker remembers; then it starts anew.
+CACHE_SPANS = 1_000_000
+
+
+#: Classes of bytes between which every pre-tokenization in use cuts: letters, digits and
+#: marks that begin no contraction. Letters are those of ASCII and two-byte Latin-1 ones.
+_OTHER, _LETTER, _DIGIT, _MARK = 0, 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[list(b".,!?%&*$#|:;")] = _MARK
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_STEM = re.compile("( ?)[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for the UTF-8 bytes of a character.
+
+    Printable bytes stand for themselves; the others, in order, for the letters from 256 on.
+    """
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x100)}
 
 
 class CachedTokenizer:
-    """Ids of texts by the tokenizers library, one call per distinct piece of text.
+    """Ids of texts by the tokenizers library, which sees each distinct span of text once.
 
-    Texts are cut where the tokenizer's own pre-tokenization always cuts, so ids of the
-    pieces joined are the ids of the whole text: at ASCII white space if its normalizer
-    drops white space (``drops_space``), else before a space with a letter or digit after it.
+    Texts are cut into spans only where the tokenizer's own pre-tokenization always cuts, so
+    the ids of the spans joined are the ids of the whole text: at ASCII white space if its
+    normalizer drops white space (``drops_space``), else before a space or line end with a letter or digit
+    after it; and between plain letters, digits and marks. Spans are found by 64-bit hashes.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -51,83 +79,174 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.drops_space = Tokenizer.from_file(path), drops_space
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = json.dumps([parts["normalizer"], parts["pre_tokenizer"]])
+        self.lowers = '"Lowercase"' in kinds
+        self.plain = parts["model"]["type"] == "BPE" and '"ByteLevel"' in kinds
+        self.special = [t["content"].encode() for t in parts["added_tokens"]]
+        self.letters = _byte_letters()
         self._clear()
 
     def _clear(self):
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.count, self.used = 0, 0
+        self.flat = np.zeros(1 << 16, np.uint32)
         self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        # An open hash table; slot numbers are the top bits of a hash, 0 marks a free slot.
+        self.bits = 16
+        self.keys, self.places = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of known spans, -1 for others."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(hashes))
+        mask = (1 << self.bits) - 1
+        while len(left):
+            there = self.keys[slot]
+            same = there == hashes[left]
+            out[left[same]] = self.places[slot[same]]
+            go = ~same & (there != 0)
+            left, slot = left[go], (slot[go] + 1) & mask
+        return out
 
-    def _learn(self, new: list[str]):
-        encoded = self.tokenizer.encode_batch_fast(
-            new if self.drops_space else [w[1:] if w[0] == "\0" else " " + w for w in new], add_special_tokens=False
-        )
-        ids = [e.ids for e in encoded]
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray):
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(hashes))
+        mask = (1 << self.bits) - 1
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            taken, one = np.unique(slot[free], return_index=True)
+            chosen = free[one]
+            self.keys[taken] = hashes[left[chosen]]
+            self.places[taken] = numbers[left[chosen]]
+            go = np.ones(len(left), bool)
+            go[chosen] = False
+            left, slot = left[go], (slot[go] + 1) & mask
+
+    def _learn(self, hashes: np.ndarray, spans: list[bytes]):
+        ids: list[list[int]] = []
+        hard = []
+        for k, span in enumerate(spans):
+            text = span.decode()
+            if self.plain and _STEM(text):
+                # Plain letters, maybe after a space, are one piece for the merges.
+                ids.append([t.id for t in self.tokenizer.model.tokenize(text.translate(self.letters))])
+            else:
+                hard.append((k, text))
+                ids.append([])
+        if hard:
+            encoded = self.tokenizer.encode_batch_fast([t for _, t in hard], add_special_tokens=False)
+            for (k, _), e in zip(hard, encoded):
+                ids[k] = e.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.known), int(sizes.sum())
+        n, new, total = self.count, len(spans), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(new) > len(self.first):
+        while n + new > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.length[n : n + len(new)] = sizes
-        self.first[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(new, range(n, n + len(new))))
-        self.used += total
-
-    def _pieces(self, text: str) -> list[str]:
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.length[n : n + new] = sizes
+        self.first[n : n + new] = self.used + np.cumsum(sizes) - sizes
+        self.count, self.used = n + new, self.used + total
+        if self.count * 2 > len(self.keys):
+            old = self.keys != 0
+            keys, places = self.keys[old], self.places[old]
+            self.bits = (4 * self.count).bit_length()
+            self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._insert(keys, places)
+        self._insert(hashes, np.arange(n, n + new))
+
+    def _spans(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the spans of some texts, ascending."""
+        n = len(raw)
+        kind = _CLASS[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[_LATIN[raw[lead + 1]]]
+        kind[lead] = kind[lead + 1] = _LETTER
+        cut = np.zeros(n + 1, bool)
+        cut[offsets] = True
+        cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] != _OTHER) & (kind[:-1] != _OTHER)
         if self.drops_space:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        import re
-
-        # A leading mark keeps the first piece, which has no space before it, apart.
-        return re.split(r" (?=[^\W_])", "\0" + text)
-
-    def encode(self, text: str, end: int | None = None) -> np.ndarray:
-        """The ids of one text as uint32, with ``end`` appended."""
-        parts: list[np.ndarray] = []
-        pieces = self._pieces(text)
-        for at in range(0, len(pieces), 1 << 17):
-            some = pieces[at : at + (1 << 17)]
-            if len(self.known) > CACHE_WORDS:
+            blank = (raw == 0x20) | (raw == 0x0A) | (raw == 0x09) | (raw == 0x0D)
+            cut[:-1] |= blank
+            cut[1:] |= blank
+            starts = np.flatnonzero(cut[:-1])
+            ends = np.append(starts[1:], n)
+            inside = ~blank[starts]
+            return starts[inside], ends[inside]
+        begins = (kind == _LETTER) | (kind == _DIGIT)
+        begins[1:][(raw[:-1] == 0xC3)] = False
+        # What a text begins with says nothing about the end of the text before it.
+        begins[offsets[offsets < n]] = False
+        line = raw[:-1] == 0x0A
+        cut[:-2] |= ((raw[:-1] == 0x20) | line) & begins[1:]
+        cut[1:-1] |= line & begins[1:]
+        starts = np.flatnonzero(cut[:-1])
+        return starts, np.append(starts[1:], n)
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts in one array, and how many there are before each text."""
+        if any(t in raw.tobytes() for t in self.special):
+            # A special token may reach over cuts: such texts go to the library whole.
+            ids = [
+                self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids
+                for a, b in zip(offsets.tolist(), offsets[1:].tolist())
+            ]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            return flat, np.append(0, np.cumsum(sizes))
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.lowers:
+            raw = raw.copy()
+            raw[(raw >= 0x41) & (raw <= 0x5A)] += 0x20
+            after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+            raw[after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]] += 0x20
+        starts, ends = self._spans(raw, offsets)
+        hashes = common.span_hashes(raw, starts, ends) | np.uint64(1)
+        number = self._find(hashes)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, one = np.unique(hashes[missing], return_index=True)
+            if self.count + len(new) > CACHE_SPANS:
                 self._clear()
-            new = list({w for w in some if w not in self.known})
-            if new:
-                self._learn(new)
-            index = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
-            first, length = self.first[index], self.length[index]
-            total = np.cumsum(length)
-            n = int(total[-1]) if len(total) else 0
-            parts.append(self.flat[np.arange(n) + np.repeat(first - total + length, length)])
-        if end is not None:
-            parts.append(np.array([end], np.uint32))
-        return np.concatenate(parts)
-
-    def encode_all(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
-        """The ids of some texts; words that are new are encoded in one call."""
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        split = [self._pieces(t) for t in texts]
-        if sum(map(len, split)) > CACHE_WORDS:
-            return [self.encode(t, end) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if new:
-            self._learn(new)
-        out = []
-        for pieces in split:
-            index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            first, length = self.first[index], self.length[index]
-            total = np.cumsum(length)
-            n = int(total[-1])
-            ids = np.empty(n + (end is not None), np.uint32)
-            ids[:n] = self.flat[np.arange(n) + np.repeat(first - total + length, length)]
-            if end is not None:
-                ids[n] = end
-            out.append(ids)
+                missing = np.arange(len(hashes))
+                new, one = np.unique(hashes, return_index=True)
+            picked = missing[one]
+            data = raw.tobytes()
+            self._learn(new, [data[a:b] for a, b in zip(starts[picked].tolist(), ends[picked].tolist())])
+            number[missing] = self._find(hashes[missing])
+        first, length = self.first[number], self.length[number]
+        total = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length, out=total[1:])
+        flat = self.flat[np.arange(total[-1]) + np.repeat(first - total[:-1], length)]
+        return flat, total[np.searchsorted(starts, offsets)]
+
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text as uint32, with ``end`` appended."""
+        raw, offsets = common.text_buffers(texts)
+        out, extra = [], end is not None
+        for a, b in common.chunks(offsets):
+            flat, places = self._encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            if extra:
+                flat = np.insert(flat, places[1:], end)
+                places = places + np.arange(len(places))
+            out.extend(flat[x:y] for x, y in zip(places.tolist(), places[1:].tolist()))
         return out
 
 
+_TOKENIZERS: dict[tuple[str, bool], CachedTokenizer] = {}
+
+
+def cached_tokenizer(path: str, drops_space: bool) -> CachedTokenizer:
+    """The worker's own tokenizer; its words stay known to later tasks of the worker."""
+    key = (path, drops_space)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = CachedTokenizer(path, drops_space)
+    return _TOKENIZERS[key]
+
+
 def crc_of(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
@@ -235,7 +354,7 @@ def write_ids(
     fs.create_dir(base, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedTokenizer(tokenizer, drops_space)
+        encoder = cached_tokenizer(tokenizer, drops_space)
         fs, base = common.store(folder)
         schema = pa.schema([
             ("shard", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()),
@@ -268,7 +387,7 @@ def write_ids(
         for batch in batches:
             shards = batch.column("shard").to_pylist()
             names = batch.column("doc_id").to_pylist()
-            encoded = encoder.encode_all(batch.column("text").to_pylist(), end)
+            encoded = encoder.encode_all(batch.column("text"), end)
             for shard, name, ids in zip(shards, names, encoded):
                 if shard != state["shard"] or state["size"] >= file_bytes:
                     number = state["number"] + 1 if shard == state["shard"] else 0
