@@ -20,9 +20,9 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Rows and bytes that one Arrow batch may bring to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Bytes of text that the vectorised helpers work on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -22,7 +22,15 @@ from skyledger.llm import common
 
 #: Documents that the lexicon and the scorers are fitted on, about; all others count in the
 #: statistics of votes and are judged.
-SAMPLE = 30_000
+SAMPLE = 9_000
+#: Bytes of the word beginnings that are features besides the whole word.
+PREFIXES = (4, 5, 6, 7, 8)
+#: A text is called toxic by a lexicon from this part of its words on, and clean below the other.
+LEXICON_HIGH, LEXICON_LOW, LEXICON_HITS = 0.008, 0.004, 2
+#: A learned insult is this many times as frequent in toxic documents.
+LEXICON_LIFT = 5.0
+#: Rates of words are multiplied by this, so that a notable rate is about 1.
+SCALE = 50.0
 #: Insults of a general word list that one labeller looks for. Fixed values.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: A learned insult has at least this likelihood ratio statistic for being more frequent in
@@ -40,7 +48,12 @@ EDGES = {
     "stutter": (0.02, 0.1, 0.3, 0.6, 0.9),
 }
 MEASURES = tuple(EDGES)
+INTERVALS = 8
 JUNK, TOXIC = "junk", "toxic"
+#: Weight of documents without votes of people, where others have them, and pseudo counts of
+#: the answers abstains, good, bad for bad and for good documents.
+UNSEEN = 0.05
+PSEUDO_BAD, PSEUDO_GOOD = np.array([0.5, 0.5, 2.0]), np.array([0.5, 2.0, 0.05])
 
 _WORD_BYTES = np.full(256, 0x20, np.uint8)
 for _low, _high in ((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)):
@@ -53,17 +66,54 @@ def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def _hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the different words (letters and digits) of each row, and words before each row."""
-    starts, ends, rows = common.word_spans(raw, offsets)
-    hashes = common.span_hashes(raw, starts, ends) >> np.uint64(32)
-    owner = np.repeat(np.arange(len(rows) - 1, dtype=np.uint64), np.diff(rows))
-    key = np.unique(owner << np.uint64(32) | hashes)
-    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(key >> np.uint64(32), np.arange(len(rows)))
+@dataclass
+class Described:
+    """Measures of some texts, and the features of their words.
+
+    ``n`` counts all words; ``rows`` counts the lower-case words of letters and digits before each text;
+    ``word`` numbers the different ones, each with the hashes ``feats``: the whole word, then its beginnings (0 if the
+    word is not longer).
+    """
+
+    m: np.ndarray
+    n: np.ndarray
+    rows: np.ndarray
+    word: np.ndarray
+    feats: np.ndarray
+
+    def per_text(self, of_word: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(self.word) + 1)
+        np.cumsum(of_word[self.word], out=sums[1:])
+        return sums[self.rows[1:]] - sums[self.rows[:-1]]
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All features of each text with their counts, and how many there are before each text."""
+        owner = np.repeat(np.arange(len(self.rows) - 1, dtype=np.uint64), np.diff(self.rows))
+        key = (owner[:, None] << np.uint64(32) | self.feats[self.word].astype(np.uint64)).ravel()
+        key, count = np.unique(key[(key & np.uint64(0xFFFFFFFF)) != 0], return_counts=True)
+        places = np.searchsorted(key >> np.uint64(32), np.arange(len(self.rows), dtype=np.uint64))
+        return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), count.astype(np.int32), places
 
-def described(texts: pa.Array, lowered: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per run of rows: measures, number of words, word hashes of all rows, places of the rows in them."""
+
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rows``, ``word`` and ``feats`` of some lower-case texts."""
+    starts, ends, rows = common.word_spans(raw, offsets)
+    hashes = common.span_hashes(raw, starts, ends)
+    _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    at = first[order]
+    feats = np.zeros((len(first), 1 + len(PREFIXES)), np.uint32)
+    feats[:, 0] = (hashes[first] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    for k, length in enumerate(PREFIXES):
+        longer = ends[at] - starts[at] > length
+        some = at[longer]
+        part = common.mix(common.span_hashes(raw, starts[some], starts[some] + length) + np.uint64(length))
+        feats[order[longer], k + 1] = (part >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return rows, word, feats
+
+
+def described(texts: pa.Array, lowered: pa.Array) -> Iterator[Described]:
+    """Runs of texts, one after the other."""
     raw, offsets = common.text_buffers(texts)
     low, low_offsets = common.text_buffers(lowered)
     for a, b in common.chunks(offsets):
@@ -86,8 +136,7 @@ def described(texts: pa.Array, lowered: pa.Array) -> Iterator[tuple[np.ndarray,
             twice[1:] = (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])
         words = np.maximum(1, n_words)
         lower, low_at = low[low_offsets[a] : low_offsets[b]], low_offsets[a : b + 1] - low_offsets[a]
-        hashes, places = _hash_words(_WORD_BYTES[lower], low_at)
-        yield (
+        yield Described(
             np.stack(
                 [
                     _per_row(symbol, at) / chars,
@@ -101,7 +150,7 @@ def described(texts: pa.Array, lowered: pa.Array) -> Iterator[tuple[np.ndarray,
                 ],
                 axis=1,
             ),
-            n_words, hashes, places,
+            n_words, *_words(_WORD_BYTES[lower], low_at),
         )
 
 
@@ -135,25 +184,27 @@ def _votes_junk(m: np.ndarray, n: np.ndarray) -> np.ndarray:
     ).astype(np.int8)
 
 
-def _contains(hashes: np.ndarray, places: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    if not len(lexicon):
-        return np.zeros(len(places) - 1, np.int64)
-    at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
-    return _per_row_of_words(lexicon[at] == hashes, places)
+def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(values.shape, bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
 def _hash_list(words: tuple[str, ...]) -> np.ndarray:
     raw, offsets = common.text_buffers(pa.array(words))
-    return np.unique(_hash_words(raw, offsets)[0])
+    return np.unique(_words(raw, offsets)[2][:, 0])
 
 
-def _votes_toxic(hashes: np.ndarray, places: np.ndarray, lexica: list[np.ndarray]) -> np.ndarray:
-    listed = _contains(hashes, places, _hash_list(INSULTS))
+def _votes_toxic(d: Described, lexica: list[np.ndarray]) -> np.ndarray:
+    listed = d.per_text(_within(d.feats[:, 0], _hash_list(INSULTS)))
+    words = np.maximum(1, np.diff(d.rows))
     # The list knows one language, so a text without its words may still be toxic.
-    columns = [np.where(listed > 0, 1, -1)]
+    columns = [np.where(listed >= LEXICON_HITS, 1, -1)]
     for lexicon in lexica:
-        hits = _contains(hashes, places, lexicon)
-        columns.append(np.where(hits > 0, 1, 0) if len(lexicon) else np.full(len(hits), -1))
+        hits = d.per_text(_within(d.feats, lexicon).any(axis=1))
+        rate = hits / words
+        vote = np.where((rate >= LEXICON_HIGH) & (hits >= LEXICON_HITS), 1, np.where(rate < LEXICON_LOW, 0, -1))
+        columns.append(vote if len(lexicon) else np.full(len(hits), -1))
     return np.stack(columns, axis=1).astype(np.int8)
 
 
@@ -161,9 +212,12 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) ->
     """Posterior of "bad" per vote pattern, by expectation-maximisation over all documents.
 
     Each labeller has a distribution over its three answers for good and for bad documents.
-    It starts out trusting that votes mean what they say. A small pseudo count keeps every
-    probability away from 0.
+    It starts out trusting that votes mean what they say, and pseudo counts say so too. Where
+    people have voted, documents that they have not seen weigh less, as they would otherwise
+    explain away a labeller that finds a rare fault.
     """
+    if (patterns[:, 0] >= 0).any():
+        counts = np.where(patterns[:, 0] >= 0, counts, counts * UNSEEN)
     total, width = counts.sum(), patterns.shape[1]
     answers = np.stack([patterns == v for v in (-1, 0, 1)], axis=2)
     voted = (patterns >= 0).sum(axis=1)
@@ -177,8 +231,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) ->
         logs = np.log(prior) - np.log1p(-prior)
         value = np.full(len(counts), logs)
         for k in range(width):
-            p = (bad @ answers[:, k] + 0.5) / (bad.sum() + 1.5)
-            q = (good @ answers[:, k] + 0.5) / (good.sum() + 1.5)
+            p = (bad @ answers[:, k] + PSEUDO_BAD) / (bad.sum() + PSEUDO_BAD.sum())
+            q = (good @ answers[:, k] + PSEUDO_GOOD) / (good.sum() + PSEUDO_GOOD.sum())
             value += answers[:, k] @ (np.log(p) - np.log(q))
         before, posterior = posterior, 1 / (1 + np.exp(-np.clip(value, -50, 50)))
         if np.abs(before - posterior).max() < 1e-6:
@@ -191,75 +245,88 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) ->
 
 @dataclass
 class Scorer:
-    """A sparse linear model over hashed features; ``keys`` ascend."""
+    """A sparse linear model: weights of word features by ascending ``keys``, of measure intervals, and a bias."""
 
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    measures: np.ndarray = field(default_factory=lambda: np.zeros(len(MEASURES) * INTERVALS))
     bias: float = 0.0
 
-    def odds(self, features: np.ndarray, places: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(features) + 1)
-        if len(self.keys) and len(features):
-            at = np.minimum(np.searchsorted(self.keys, features), len(self.keys) - 1)
-            np.cumsum(np.where(self.keys[at] == features, self.weights[at], 0.0), out=sums[1:])
-        return self.bias + sums[places[1:]] - sums[places[:-1]]
-
-
-def _features(m: np.ndarray, n: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features per row: its different words, and which interval each measure is in."""
-    sizes = np.diff(places)
-    extra = []
-    for k, name in enumerate(MEASURES):
-        extra.append((k + 1) * 100 + np.searchsorted(np.array(EDGES[name]), m[:, k], side="right"))
-    marks = common.mix(np.stack(extra, axis=1).astype(np.uint64)) | np.uint64(1 << 33)
-    width = len(MEASURES)
-    out_places = places + np.arange(len(places)) * width
-    out = np.empty(int(out_places[-1]), np.uint64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out[np.arange(len(hashes)) + row * width] = hashes
-    out[(out_places[1:, None] - width + np.arange(width)[None, :]).ravel()] = (marks & np.uint64((1 << 34) - 1)).ravel()
-    return out, out_places
+    def odds(self, d: Described) -> np.ndarray:
+        value = self.bias + self.measures[_intervals(d.m)].sum(axis=1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, d.feats), len(self.keys) - 1)
+            of_word = np.where(self.keys[at] == d.feats, self.weights[at], 0.0).sum(axis=1)
+            value += SCALE * d.per_text(of_word) / np.maximum(1, np.diff(d.rows))
+        return value
+
+
+def _intervals(m: np.ndarray) -> np.ndarray:
+    """The number of the interval that each measure is in."""
+    return np.stack(
+        [k * INTERVALS + np.searchsorted(np.array(EDGES[name]), m[:, k], side="right") for k, name in enumerate(MEASURES)], axis=1
+    )
+
+
+def likelihood_ratio(
+    features: np.ndarray, owner: np.ndarray, target: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per feature: its hash, how many documents have it, and the statistic of being more frequent
+    among the (softly) bad ones; and for each entry the number of its feature."""
+    keys, index, counts = np.unique(features, return_inverse=True, return_counts=True)
+    bad = np.bincount(index, weights=target[owner], minlength=len(keys))
+    expected = counts * target.mean()
+    ratio = np.where(bad > expected, 2 * bad * np.log(np.maximum(bad, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    return keys, counts, ratio, index
 
 
 def fit(
-    features: np.ndarray, places: np.ndarray, target: np.ndarray, *, support: int = 5, epochs: int = 12, l1: float = 5e-4, seed: int = 6
+    features: np.ndarray, rates: np.ndarray, places: np.ndarray, intervals: np.ndarray, target: np.ndarray,
+    *, ratio: float = 12.0, epochs: int = 40, l1: float = 1e-4, seed: int = 6,
 ) -> Scorer:
-    """Logistic regression on soft labels by adaptive gradient steps with a lasso penalty."""
+    """Logistic regression on soft labels by adaptive gradient steps with a lasso penalty.
+
+    Of the word features, those that are notably more frequent in bad documents take part.
+    """
     rows = len(target)
     if not rows:
         return Scorer()
-    keys, index, counts = np.unique(features, return_inverse=True, return_counts=True)
-    kept = counts >= min(support, rows)
+    owner = np.repeat(np.arange(rows), np.diff(places))
+    keys, _, value, index = likelihood_ratio(features, owner, target)
+    kept = value >= ratio
     number = np.cumsum(kept) - 1
-    keys, weights = keys[kept], np.zeros(int(kept.sum()))
-    of = np.repeat(np.arange(rows), np.diff(places))
     some = kept[index]
-    index, of = number[index[some]], of[some]
+    keys, width = keys[kept], int(kept.sum())
+    index, of, x = number[index[some]], owner[some], SCALE * rates[some]
     first = np.searchsorted(of, np.arange(rows + 1))
+    total = width + len(MEASURES) * INTERVALS
+    weights, square = np.zeros(total), np.full(total, 1e-6)
     base = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
-    bias, square, bias_square = float(np.log(base / (1 - base))), np.full(len(keys), 1e-8), 1e-8
+    bias, bias_square = float(np.log(base / (1 - base))), 1e-6
     rng = np.random.default_rng(seed)
-    size = 256
+    size = 128
     for _ in range(epochs):
         order = rng.permutation(rows)
         for at in range(0, rows, size):
             batch = order[at : at + size]
             lengths = first[batch + 1] - first[batch]
             ends = np.cumsum(lengths)
-            flat = index[np.arange(int(ends[-1])) + np.repeat(first[batch] - ends + lengths, lengths)]
-            who = np.repeat(np.arange(len(batch)), lengths)
-            odds = bias + np.bincount(who, weights=weights[flat], minlength=len(batch))
+            entry = np.arange(int(ends[-1])) + np.repeat(first[batch] - ends + lengths, lengths)
+            who = np.concatenate([np.repeat(np.arange(len(batch)), lengths), np.repeat(np.arange(len(batch)), len(MEASURES))])
+            flat = np.concatenate([index[entry], width + intervals[batch].ravel()])
+            weight_of = np.concatenate([x[entry], np.ones(len(batch) * len(MEASURES))])
+            odds = bias + np.bincount(who, weights=weights[flat] * weight_of, minlength=len(batch))
             slope = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target[batch]) / len(batch)
             names, place = np.unique(flat, return_inverse=True)
-            gradient = np.bincount(place, weights=slope[who])
+            gradient = np.bincount(place, weights=slope[who] * weight_of)
             square[names] += gradient * gradient
             rate = 0.3 / np.sqrt(square[names])
             moved = weights[names] - rate * gradient
             weights[names] = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * l1)
             bias_square += slope.sum() ** 2
             bias -= 0.3 / np.sqrt(bias_square) * slope.sum()
-    used = weights != 0
-    return Scorer(keys[used], weights[used], float(bias))
+    used = weights[:width] != 0
+    return Scorer(keys[used], weights[:width][used], weights[width:], float(bias))
 
 
 # ---------------------------------------------------------------- the operator
@@ -314,94 +381,105 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
     def describe(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lowered in pairs:
             parts = list(described(texts, lowered))
-            m = np.concatenate([p[0] for p in parts])
-            n = np.concatenate([p[1] for p in parts])
-            hashes = np.concatenate([p[2] for p in parts])
-            sizes = np.concatenate([np.diff(p[3]) for p in parts])
+            counted = [d.counted() for d in parts]
+            sizes = np.concatenate([np.diff(c[2]) for c in counted])
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            m = np.concatenate([d.m for d in parts])
             yield pa.StructArray.from_arrays(
                 [
                     pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())),
-                    pa.array(n, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes.astype(np.int64))),
+                    pa.array(np.concatenate([np.diff(d.rows) for d in parts]), pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([c[0] for c in counted]).view(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([c[1] for c in counted]))),
+                    pa.array(np.concatenate([_votes_text(_votes_junk(d.m, d.n)) for d in parts]), pa.string()),
                 ],
-                names=["m", "n", "words"],
+                names=["m", "n", "features", "counts", "junk"],
             )
 
-    described_by = F.arrow_udf(describe, "m array<double>, n bigint, words array<bigint>")
+    described_by = F.arrow_udf(describe, "m array<double>, n bigint, features array<int>, counts array<int>, junk string")
     got = (
         _texts(drawn)
         .select("doc_id", described_by("__text", "__low").alias("d"))
         .join(names, "doc_id", "left")
-        .select("doc_id", "d.m", "d.n", "d.words", "person_junk", "person_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
+        .select("doc_id", "d.*", "person_junk", "person_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
         .toArrow()
-        .combine_chunks()
     )
     got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()
-    count = got.num_rows
-    lists = got.column("words").combine_chunks()
-    hashes = np.asarray(lists.flatten(), dtype=np.int64).astype(np.uint32)
-    sizes = np.asarray(lists.value_lengths(), dtype=np.int64) if count else np.zeros(0, np.int64)
+    rows_got = got.num_rows
+    lists = got.column("features").combine_chunks()
+    features = np.asarray(lists.flatten(), dtype=np.int32).view(np.uint32)
+    sizes = np.asarray(lists.value_lengths(), dtype=np.int64) if rows_got else np.zeros(0, np.int64)
     places = np.append(0, np.cumsum(sizes)).astype(np.int64)
-    m = np.asarray(got.column("m").combine_chunks().flatten()).reshape(count, len(MEASURES))
-    n = got.column("n").to_numpy()
+    rates = np.asarray(got.column("counts").combine_chunks().flatten()) / np.repeat(np.maximum(1, got.column("n").to_numpy()), sizes)
+    m = np.asarray(got.column("m").combine_chunks().flatten()).reshape(rows_got, len(MEASURES))
     person = {
         JUNK: got.column("person_junk").fill_null(-1).to_numpy().astype(np.int8),
         TOXIC: got.column("person_toxic").fill_null(-1).to_numpy().astype(np.int8),
     }
     half = got.column("half").to_numpy()
-    lexica = [_lexicon(hashes, places, person[TOXIC], half == k) for k in (0, 1)]
+    lexica = [_lexicon(features, rates, places, person[TOXIC], half == k) for k in (0, 1)]
 
     shared = spark.sparkContext.broadcast(lexica)
 
     def vote(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lowered in pairs:
             junk, toxic = [], []
-            for m, n, hashes, places in described(texts, lowered):
-                junk.append(_votes_junk(m, n))
-                toxic.append(_votes_toxic(hashes, places, shared.value))
-            yield pa.StructArray.from_arrays(
-                [pa.array(["".join("?+-"[v + 1] for v in row) for row in np.concatenate(x).tolist()], pa.string()) for x in (junk, toxic)],
-                names=[JUNK, TOXIC],
-            )
+            for d in described(texts, lowered):
+                junk += _votes_text(_votes_junk(d.m, d.n))
+                toxic += _votes_text(_votes_toxic(d, shared.value))
+            yield pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (junk, toxic)], names=[JUNK, TOXIC])
 
     voted_by = F.arrow_udf(vote, "junk string, toxic string")
     mark = lambda c: F.when(F.col(c) == 1, "-").when(F.col(c) == 0, "+").otherwise("?")
+    voted = _texts(rows).select("doc_id", voted_by("__text", "__low").alias("v")).select("doc_id", "v.*")
+    voted = common.written(voted, "quality-votes")
+    marks = [mark(f"person_{kind}") for kind in (JUNK, TOXIC)]
     counted = (
-        _texts(rows)
-        .select("doc_id", voted_by("__text", "__low").alias("v"))
-        .join(people, "doc_id", "left")
-        .groupBy(F.concat(mark("person_junk"), "v.junk").alias("junk"), F.concat(mark("person_toxic"), "v.toxic").alias("toxic"))
+        voted.join(people, "doc_id", "left")
+        .groupBy(*[F.concat(x, kind).alias(kind) for x, kind in zip(marks, (JUNK, TOXIC))])
         .count()
         .toPandas()
     )
-    own = {JUNK: _votes_junk(m, n), TOXIC: _votes_toxic(hashes, places, lexica)}
-    features, feature_places = _features(m, n, hashes, places)
+    # Of rows that share an id, the worst votes count for the sample.
+    own_toxic = {}
+    drawn_votes = voted.join(F.broadcast(names.select("doc_id")), "doc_id", "left_semi").select("doc_id", TOXIC).toPandas()
+    for name, v in zip(drawn_votes["doc_id"], drawn_votes[TOXIC]):
+        own_toxic[name] = max(own_toxic.get(name, ""), v)
+    ids = got.column("doc_id").to_pylist()
+    own = {JUNK: got.column(JUNK).to_pylist(), TOXIC: [own_toxic[i] for i in ids]}
+    intervals = _intervals(m) if rows_got else np.zeros((0, len(MEASURES)), np.int64)
     scorers = {}
     for kind in (JUNK, TOXIC):
         sums = counted.groupby(kind, sort=True)["count"].sum()
-        patterns = np.array([["?+-".index(c) - 1 for c in p] for p in sums.index], np.int8).reshape(len(sums), -1)
         if not len(sums):
             scorers[kind] = Scorer()
             continue
-        posterior = dict(zip(map(tuple, patterns.tolist()), estimate(patterns, sums.to_numpy().astype(float)).tolist()))
-        votes = np.column_stack([person[kind], own[kind]]).tolist()
-        target = np.array([posterior[tuple(v)] for v in votes])
-        scorers[kind] = fit(features, feature_places, target)
+        patterns = np.array([["?+-".index(c) - 1 for c in p] for p in sums.index], np.int8)
+        posterior = dict(zip(sums.index, estimate(patterns, sums.to_numpy().astype(float)).tolist()))
+        votes = ["?+-"[p + 1] + v for p, v in zip(person[kind].tolist(), own[kind])]
+        scorers[kind] = fit(features, rates, places, intervals, np.array([posterior[v] for v in votes]))
     return Model(scorers, lexica)
 
 
-def _lexicon(hashes: np.ndarray, places: np.ndarray, person: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Words of documents that people call toxic and that other documents hardly have."""
+def _votes_text(votes: np.ndarray) -> list[str]:
+    """One letter per vote: ``?`` abstains, ``+`` good, ``-`` bad."""
+    return ["".join("?+-"[v + 1] for v in row) for row in votes.tolist()]
+
+
+def _lexicon(features: np.ndarray, rates: np.ndarray, places: np.ndarray, person: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Words and beginnings that are far more frequent in what people call toxic."""
     owner = np.repeat(np.arange(len(person)), np.diff(places))
-    toxic, clean = use & (person == 1), use & (person == 0)
-    if not toxic.any():
+    known = use & (person >= 0)
+    if not (known & (person == 1)).any() or not (known & (person == 0)).any():
         return np.zeros(0, np.uint32)
-    keys, index = np.unique(hashes, return_inverse=True)
-    bad = np.bincount(index, weights=toxic[owner], minlength=len(keys))
-    good = np.bincount(index, weights=clean[owner], minlength=len(keys))
-    expected = (bad + good) * (toxic.sum() / (toxic.sum() + clean.sum()))
-    ratio = np.where(bad > expected, 2 * bad * np.log(np.maximum(bad, 1) / np.maximum(expected, 1e-9)), 0.0)
-    return keys[(ratio >= LEXICON_RATIO) & (bad > good)]
+    some = known[owner]
+    number = np.cumsum(known) - 1
+    target = (person[known] == 1).astype(float)
+    of = number[owner[some]]
+    keys, _, ratio, index = likelihood_ratio(features[some], of, target)
+    bad = np.bincount(index, weights=rates[some] * target[of], minlength=len(keys)) / target.sum()
+    good = np.bincount(index, weights=rates[some] * (1 - target[of]), minlength=len(keys)) / (1 - target).sum()
+    return keys[(ratio >= LEXICON_RATIO) & (bad >= LEXICON_LIFT * good)]
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
@@ -420,12 +498,10 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     def score(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lowered in pairs:
             out = {JUNK: [], TOXIC: []}
-            for m, n, hashes, places in described(texts, lowered):
-                features, at = _features(m, n, hashes, places)
+            for d in described(texts, lowered):
                 for kind, values in out.items():
-                    odds = shared.value[kind].odds(features, at)
-                    value = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-                    values.append(np.where(n > 0, value, float(kind == JUNK)))
+                    value = 1 / (1 + np.exp(-np.clip(shared.value[kind].odds(d), -50, 50)))
+                    values.append(np.where(d.n > 0, value, float(kind == JUNK)))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
 
     scored_by = F.arrow_udf(score, "junk double, toxic double")
