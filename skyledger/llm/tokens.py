@@ -38,7 +38,7 @@ NULL_ID = -(1 << 63)
 #: Ids that a block holds at most, unless one document has more.
 BLOCK_IDS = 1 << 16
 #: Spans whose ids a worker remembers; then it starts anew.
-CACHE_SPANS = 1_000_000
+CACHE_SPANS = 250_000
 
 
 #: Classes of bytes between which every pre-tokenization in use cuts: letters, digits and
@@ -337,7 +337,7 @@ def write_ids(
     end: int,
     drops_space: bool,
     shard_bytes: int = 8 << 20,
-    file_bytes: int = 64 << 20,
+    file_bytes: int = 16 << 20,
     block_ids: int = BLOCK_IDS,
 ) -> DataFrame:
     """Write the ids of ``doc_id, text`` in ascending doc_id order, files in shards.
