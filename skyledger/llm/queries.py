@@ -125,3 +125,13 @@ def op6_quality_classifier(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
     return quality.judged(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query("op7_subword_lattice")
+def op7_subword_lattice(spark, sf_dir):
+    from skyledger.llm import lattice
+
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 7) == 2
+    rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
+    return lattice.scored(rows, _vocabulary("piece_bpe_32k.model"))
