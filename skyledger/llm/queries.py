@@ -135,3 +135,30 @@ def op7_subword_lattice(spark, sf_dir):
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 7) == 2
     rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
     return lattice.scored(rows, _vocabulary("piece_bpe_32k.model"))
+
+
+@query(
+    "op8_chosen_path",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+    THEN [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]
+    ELSE [array_to_string(words, ' ')] END) AS x
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+j AS (
+  SELECT c.a, c.b, c.c = p.n AND c.c = q.n AS same FROM c JOIN n p ON p.doc_id = c.a JOIN n q ON q.doc_id = c.b
+  WHERE 5 * c.c >= 4 * (p.n + q.n - c.c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, j.b FROM r JOIN j ON r.b = j.a),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n_links, min(CASE WHEN same THEN b END) AS other FROM j GROUP BY a)
+SELECT w.doc_id, k.class_id, least(w.doc_id, coalesce(l.other, w.doc_id)) AS copy_id, coalesce(l.n_links, 0) AS n_links
+FROM w JOIN k ON k.a = w.doc_id LEFT JOIN l ON l.a = w.doc_id""",
+)
+def op8_chosen_path(spark, sf_dir):
+    from skyledger.llm import chosenpath
+
+    return chosenpath.near_classes(common.table(spark, sf_dir, "documents")).drop("text_key")
