@@ -281,14 +281,15 @@ def near_classes(
     docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL,
     branch: float = BRANCH, depth: int = DEPTH,
 ) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text``): doc_id, class_id, copy_id, n_links, text_key.
+    """One row per row of ``docs`` (``doc_id, text``): doc_id, class_id, copy_id, n_links, and keys.
 
     Links join rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``threshold``;
     ``n_links`` counts the other rows linked to a row, copies included. ``class_id`` is the
     smallest doc_id among rows connected by links, ``copy_id`` that among rows with an equal set.
     A text of fewer words, but at least one, is one shingle. Null texts and texts without words are in
     no link and classes of their own. A null doc_id is never the smallest unless alone. Repeated rows are copies. No rows: no rows. Other columns
-    are ignored. Sets are told apart by 63-bit hashes.
+    are ignored. Sets are told apart by 63-bit hashes. ``class_key`` (null for texts without
+    words) names the class also where no doc_id does, ``text_key`` hashes the text.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
@@ -341,12 +342,29 @@ def near_classes(
     by_set = common.written(by_set, "near-sets")
     names = by_set.groupBy("class").agg(F.min("copy_id").alias("class_id"))
     by_set = by_set.join(names, "class").select(
-        "set_id", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "set_id", F.col("class").alias("class_key"), "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return described.select("doc_id", "text_key", "set_id").join(by_set, "set_id", "left").select(
         "doc_id",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        "class_key",
         "text_key",
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """Of each class of ``near_classes`` the row with the smallest doc_id, with the columns it has.
+
+    Rows that repeat it are left out too. Texts without words are in no class and all stay.
+    """
+    rows = near_classes(docs, **options)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
+    first = rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(key.alias("key"), "text_key")).alias("x"))
+    name, mark = common.spare(docs, "row_key"), common.spare(docs, "row_text")
+    named = docs.withColumns({name: key, mark: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    chosen = first.select(F.col("x.key").alias(name), F.col("x.text_key").alias(mark))
+    wordless = named.where(~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD))
+    kept = named.join(chosen, [name, mark], "left_semi").dropDuplicates([name, mark])
+    return kept.unionByName(wordless).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,6 +33,19 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but for some names."""
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -186,14 +186,24 @@ def identify(docs: DataFrame, model: Model, *, most: int = MOST_LANGUAGES) -> Da
     ``mixture`` maps each language of the chosen set to its proportion; ``lang_pred`` is the
     one with the largest (the first by name among equals), ``score`` that proportion. A text that is null or
     has no letter is ``und`` with score 0 and an empty mixture, as is any text under a model
-    without languages. Columns of ``docs`` keep their names, of which none may be one of the
-    three. The model (32,768 numbers per language) is broadcast.
+    without languages. A column of ``docs`` that has one of the three names gives way. The
+    model (32,768 numbers per language) is broadcast.
     """
-    spark = docs.sparkSession
-    clash = {"lang_pred", "score", "mixture"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    shared = spark.sparkContext.broadcast((model.languages, model.table))
+    found = common.spare(docs, "found")
+    return docs.withColumn(found, _identified(docs, model, most)).select(
+        *common.others(docs, "lang_pred", "score", "mixture"), f"{found}.lang_pred", f"{found}.score", f"{found}.mixture"
+    )
+
+
+def keep(docs: DataFrame, model: Model, *, least: float = 0.5, most: int = MOST_LANGUAGES) -> DataFrame:
+    """The rows with a language that makes up at least the part ``least`` of their text, with the columns they have."""
+    found = common.spare(docs, "found")
+    sure = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)
+    return docs.withColumn(found, _identified(docs, model, most)).where(sure).drop(found)
+
+
+def _identified(docs: DataFrame, model: Model, most: int):
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, table = shared.value
@@ -218,7 +228,4 @@ def identify(docs: DataFrame, model: Model, *, most: int = MOST_LANGUAGES) -> Da
 
     predicted = F.arrow_udf(predict, "lang_pred string, score double, mixture map<string,double>")
     there = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return (
-        docs.withColumn("__p", predicted(F.when(there, F.col("text"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "__p.lang_pred", "__p.score", "__p.mixture")
-    )
+    return predicted(F.when(there, F.col("text")))

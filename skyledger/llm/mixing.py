@@ -190,3 +190,19 @@ def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targe
         F.nullif(F.col("row"), F.lit(NULL_KEY)).alias(key), "size", "source_size", "target",
         (F.col("whole") + F.col("copies").cast("bigint")).alias("copies"),
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with the columns they have.
+
+    The rows are written once with a number each, so that numbers and rows agree whatever is
+    computed again.
+    """
+    number, copies = common.spare(docs, "row_number"), common.spare(docs, "copies")
+    rows = common.written(docs.withColumn(number, F.monotonically_increasing_id()), "mixing-rows")
+    taken = mix(rows, number, **options).where("copies > 0").select(F.col(number), F.col("copies").alias(copies))
+    return (
+        rows.join(taken, number)
+        .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )

@@ -264,3 +264,10 @@ def pack(
         .select("cell", "x.*")
     )
     return best.mapInArrow(place, "item bigint, sequence_id bigint, offset bigint").unionByName(full)
+
+
+def packed_documents(docs: DataFrame, tokenizer: str, *, end: int, drops_space: bool, capacity: int = 1024, **options) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``docs``."""
+    cut = token_pieces(docs, tokenizer, end=end, drops_space=drops_space, capacity=capacity)
+    pieces = common.written(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    return pieces.join(pack(pieces.select("item", "length"), capacity=capacity, **options), "item").drop("item")

@@ -338,9 +338,10 @@ class Model:
     lexica: list[np.ndarray]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _of_text(function):
+    """A function of texts and lower-case texts, applied to the column ``text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("__text", text).withColumn("__low", F.lower("__text"))
+    return function(text, F.lower(text))
 
 
 def _people(labels: DataFrame) -> DataFrame:
@@ -398,8 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
 
     described_by = F.arrow_udf(describe, "m array<double>, n bigint, features array<int>, counts array<int>, junk string")
     got = (
-        _texts(drawn)
-        .select("doc_id", described_by("__text", "__low").alias("d"))
+        drawn.select("doc_id", _of_text(described_by).alias("d"))
         .join(names, "doc_id", "left")
         .select("doc_id", "d.*", "person_junk", "person_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
         .toArrow()
@@ -431,7 +431,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
 
     voted_by = F.arrow_udf(vote, "junk string, toxic string")
     mark = lambda c: F.when(F.col(c) == 1, "-").when(F.col(c) == 0, "+").otherwise("?")
-    voted = _texts(rows).select("doc_id", voted_by("__text", "__low").alias("v")).select("doc_id", "v.*")
+    voted = rows.select("doc_id", _of_text(voted_by).alias("v")).select("doc_id", "v.*")
     voted = common.written(voted, "quality-votes")
     marks = [mark(f"person_{kind}") for kind in (JUNK, TOXIC)]
     counted = (
@@ -486,13 +486,26 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``junk``, ``toxic`` (probabilities) and ``kept``, from nothing but ``text``.
 
     A document is kept if it has a word and both probabilities are below one half; null and
-    empty texts are not kept and have junk 1. Columns of ``docs`` keep their names, of which
-    none may be one of the three. Repeated rows are judged each. The model is broadcast; its
+    empty texts are not kept and have junk 1. A column of ``docs`` that has one of the three
+    names gives way. Repeated rows are judged each. The model is broadcast; its
     size is bound by the training sample.
     """
-    clash = {JUNK, TOXIC, "kept"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    scores = common.spare(docs, "scores")
+    return (
+        docs.withColumn(scores, _scored_by(docs, model))
+        .select(*common.others(docs, JUNK, TOXIC, "kept"), f"{scores}.{JUNK}", f"{scores}.{TOXIC}")
+        .withColumn("kept", (F.col(JUNK) < 0.5) & (F.col(TOXIC) < 0.5))
+    )
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that ``judged`` keeps, with the columns they have."""
+    scores = common.spare(docs, "scores")
+    kept = (F.col(f"{scores}.{JUNK}") < 0.5) & (F.col(f"{scores}.{TOXIC}") < 0.5)
+    return docs.withColumn(scores, _scored_by(docs, model)).where(kept).drop(scores)
+
+
+def _scored_by(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model.scorers)
 
     def score(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -504,10 +517,4 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
                     values.append(np.where(d.n > 0, value, float(kind == JUNK)))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
 
-    scored_by = F.arrow_udf(score, "junk double, toxic double")
-    return (
-        _texts(docs)
-        .withColumn("__s", scored_by("__text", "__low"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "__s.junk", "__s.toxic")
-        .withColumn("kept", (F.col(JUNK) < 0.5) & (F.col(TOXIC) < 0.5))
-    )
+    return _of_text(F.arrow_udf(score, "junk double, toxic double"))

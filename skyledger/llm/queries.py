@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """The place of a public tokenizer file; the same on driver and executors."""
     import public_tokenizers
 
@@ -59,7 +59,7 @@ def op5_token_ids(spark, sf_dir):
 
     folder = common.shared_dir(spark, "ids")
     manifest = tokens.write_ids(
-        common.table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"), end=2, drops_space=True
+        common.table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end=2, drops_space=True
     )
     return tokens.read_ids(manifest, folder)
 
@@ -68,14 +68,9 @@ def op5_token_ids(spark, sf_dir):
 def op4_packing(spark, sf_dir):
     from skyledger.llm import packing
 
-    pieces = common.written(
-        packing.token_pieces(
-            common.table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end=2, drops_space=False
-        ).withColumn("item", F.monotonically_increasing_id()),
-        "pieces",
+    return packing.packed_documents(
+        common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, drops_space=False
     )
-    places = packing.pack(pieces.select("item", "length"))
-    return pieces.join(places, "item").drop("item")
 
 
 @query("op9_mixing")
@@ -134,7 +129,7 @@ def op7_subword_lattice(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 7) == 2
     rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    return lattice.scored(rows, _vocabulary("piece_bpe_32k.model"))
+    return lattice.scored(rows, vocabulary("piece_bpe_32k.model"))
 
 
 @query(
@@ -161,4 +156,11 @@ FROM w JOIN k ON k.a = w.doc_id LEFT JOIN l ON l.a = w.doc_id""",
 def op8_chosen_path(spark, sf_dir):
     from skyledger.llm import chosenpath
 
-    return chosenpath.near_classes(common.table(spark, sf_dir, "documents")).drop("text_key")
+    return chosenpath.near_classes(common.table(spark, sf_dir, "documents")).drop("class_key", "text_key")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
