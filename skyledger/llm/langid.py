@@ -67,9 +67,9 @@ def ngram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         for k in range(NGRAM):
             part = kind[k : k + len(gram)]
             gram = common.mix(gram * np.uint64(31) + part + np.uint64(1))
-            if k:
+            if 0 < k < NGRAM - 1:
                 whole &= part != 0
-        # A text's first n-gram may hold the mark before it, which acts as a space.
+        # A text's first and last n-grams hold the marks around it, which act as spaces.
         key = (text[: len(gram)][whole].astype(np.uint64) << np.uint64(15)) | (gram[whole] & np.uint64(BUCKETS - 1))
         key, count = np.unique(key.astype(np.uint32), return_counts=True)
         yield (key >> np.uint32(15)).astype(np.int64) + at, (key & np.uint32(BUCKETS - 1)).astype(np.int64), count
@@ -211,6 +211,9 @@ def _identified(docs: DataFrame, model: Model, most: int):
         for column in texts:
             values = [t if t is not None else "" for t in column.to_pylist()]
             share = proportions(here, values, most=most)
+            # Letters that this Python does not know tell nothing of the language.
+            lost = (share.sum(axis=1) == 0) & np.array([bool(v) for v in values], bool)
+            share[lost] = 1.0 / max(1, len(languages))
             best = share.argmax(axis=1) if languages else np.zeros(len(values), int)
             score = share.max(axis=1) if languages else np.zeros(len(values))
             names = [languages[b] if s > 0 else UNKNOWN for b, s in zip(best.tolist(), score.tolist())]
