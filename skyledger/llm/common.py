@@ -178,8 +178,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
     """Runs of rows that hold about ``size`` bytes; a longer row is a run of its own."""
+    size = size or CHUNK
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1

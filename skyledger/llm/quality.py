@@ -245,12 +245,15 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) ->
 
 @dataclass
 class Scorer:
-    """A sparse linear model: weights of word features by ascending ``keys``, of measure intervals, and a bias."""
+    """A sparse linear model: weights of word features by ascending ``keys``, of measure intervals, and a bias.
+
+    One that was fitted to nothing finds nothing.
+    """
 
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     measures: np.ndarray = field(default_factory=lambda: np.zeros(len(MEASURES) * INTERVALS))
-    bias: float = 0.0
+    bias: float = -5.0
 
     def odds(self, d: Described) -> np.ndarray:
         value = self.bias + self.measures[_intervals(d.m)].sum(axis=1)
