@@ -1,8 +1,9 @@
 """Chosen-path similarity join of documents on sets of word shingles.
 
-Equal sets are one set with a number of copies. Each set starts on the paths of its
-``runs`` smallest token hashes: two sets of similarity s share each of them with probability
-s, so the number of runs follows from the target recall. Sets that meet on a path are a bucket. A bucket of two is a
+Equal sets are one set with a number of copies. Each run starts one path per set, on a sampled
+token: the ``RUNS`` smallest hashes of each set. Near sets share most of their starts, so they
+also share one among the rarest: a set follows only as many starts, rarest first, as leave fewer than
+near sets share. The bound on shared starts follows from the target recall. Sets that meet on a path are a bucket. A bucket of two is a
 candidate pair. In a larger one, all sets are compared with one of them by sketches: if none is
 unlike it the bucket is settled, else those that are not close to it go on, on paths extended by more sampled
 tokens of theirs, until buckets are small. What is left after the last extension stays
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +23,28 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import common
 
-WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999999
-#: Tokens of a sketch, sampled tokens of a path that goes on, and extensions of a path.
-SKETCH, BRANCH, DEPTH = 48, 2.0, 8
+WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9998
+#: Starts of a set, tokens of a sketch, sampled tokens of a path that goes on, and extensions.
+RUNS, SKETCH, BRANCH, DEPTH = 32, 48, 2.0, 2
 #: Estimated overlap from which two sets may be near, and from which one settles the other.
 MAYBE, CLOSE = 0.5, 0.85
 #: Tokens and sets of a tile of brute force.
 TILE_TOKENS, TILE_SETS = 500_000, 1500
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, branch: float = BRANCH, depth: int = DEPTH) -> int:
-    """How many starting tokens reach the recall for sets at the threshold.
+def starts_followed(size: int, runs: int = RUNS, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many of its rarest starts a set of some size follows.
 
-    A path shared so far goes on shared with probability 1 - exp(-branch * threshold * p) if its
-    extensions do with p; the number of shared starts is about Poisson.
+    If two sets share t of their m starts, they share one of the first m - t + 1 in any order
+    that both follow. Near sets share threshold * m of m sampled starts on average, or more;
+    the normal bound of the recall is taken off. Where no set that could be near has more tokens than
+    there are starts, nothing is sampled and nothing taken off.
     """
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - math.exp(-branch * threshold * alive)
-    return math.ceil(-math.log(1 - recall) / (threshold * alive))
+    starts = min(size, runs)
+    shared = threshold * starts
+    if size > threshold * runs:
+        shared -= NormalDist().inv_cdf(recall) * math.sqrt(starts * threshold * (1 - threshold)) + 0.5
+    return starts - max(1, math.ceil(shared - 1e-9)) + 1
 
 
 def token_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -66,7 +71,7 @@ def _firsts(values: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarr
     return values[index], np.append(0, ends)
 
 
-def _described(docs: DataFrame, width: int, runs: int) -> DataFrame:
+def _described(docs: DataFrame, width: int, runs: int = RUNS) -> DataFrame:
     """``set_id``, ``n`` and the smallest tokens of each row's set; a null set_id has no token."""
 
     def describe(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -123,23 +128,44 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _candidates(sets: DataFrame, *, branch: float, depth: int) -> DataFrame:
+def _first_paths(sets: DataFrame, recall: float, threshold: float) -> DataFrame:
+    """``set_id, node`` of the starts that each set follows, but for those it is alone on."""
+    starts = sets.select("set_id", F.explode("roots").alias("node"))
+    met = starts.groupBy("node").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    followed = F.array(*[F.lit(starts_followed(n, RUNS, threshold, recall)) for n in range(RUNS + 1)])
+    # Starts on which a set is alone are its rarest. At most RUNS rows meet per set.
+    rarest = starts.join(met, "node").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("met", "node"))).alias("shared"))
+    number = F.get(followed, F.least("n", F.lit(RUNS)))
+    alone = F.least("n", F.lit(RUNS)) - F.size("shared")
+    return (
+        rarest.join(sets.select("set_id", "n"), "set_id")
+        .where(number > alone)
+        .select("set_id", F.explode(F.slice("shared", F.lit(1), F.greatest(number - alone, F.lit(1)))).alias("x"))
+        .select("set_id", "x.node")
+    )
+
+
+def _candidates(sets: DataFrame, *, recall: float, threshold: float, branch: float, depth: int) -> DataFrame:
     """Pairs ``a, b`` of sets that may be near: edges that keep each near pair in one group."""
-    rows = sets.select("set_id", F.explode("roots").alias("node"))
+    paths = common.written(_first_paths(sets, recall, threshold), "paths")
     sketches = sets.select("set_id", "n", "sketch")
     edges = []
     for level in range(depth + 1):
-        # Ones alone on a path are gone after this aggregate.
-        met = rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("met"), F.min("set_id").alias("a"), F.max("set_id").alias("b")
-        ).where("met > 1")
-        met = common.written(met, "paths-met")
-        crowded = met.where("met > 2").select("node", F.col("a").alias("rep"))
+        # Sets alone on a path are gone after this aggregate.
+        met = common.written(
+            paths.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("met > 1"),
+            "paths-met",
+        )
         members = common.written(
-            rows.join(crowded, "node").where("set_id <> rep").select("node", "rep", "set_id"), "paths-crowded"
+            paths.join(met.where("met > 2").select("node", F.col("a").alias("rep")), "node")
+            .where("set_id <> rep")
+            .select("node", "rep", "set_id"),
+            "paths-crowded",
         )
         pairs = met.where("met = 2 AND a <> b").select(F.col("a").alias("rep"), F.col("b").alias("set_id"))
-        pairs = pairs.unionByName(members.select("rep", "set_id")).distinct()
+        pairs = common.written(pairs.unionByName(members.select("rep", "set_id")).distinct(), "paths-pairs")
+        active = pairs.select("set_id").unionByName(pairs.select(F.col("rep").alias("set_id"))).distinct()
+        sketches = common.written(sketches.join(active, "set_id", "left_semi"), "paths-sketches")
         shared = F.size(F.array_intersect("sketch", "rep_sketch")) / F.least(F.lit(SKETCH), F.greatest("n", "rep_n"))
         alike = common.written(
             pairs.join(sketches, "set_id")
@@ -148,8 +174,6 @@ def _candidates(sets: DataFrame, *, branch: float, depth: int) -> DataFrame:
             "paths-alike",
         )
         edges.append(alike.where(F.col("alike") >= MAYBE).select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
-        if members.isEmpty():
-            break
         judged = members.join(alike, ["rep", "set_id"])
         unsettled = judged.where(F.col("alike") < MAYBE).select("node").distinct()
         ongoing = judged.where(F.col("alike") < CLOSE).join(unsettled, "node", "left_semi").select("node", "rep", "set_id")
@@ -165,8 +189,7 @@ def _candidates(sets: DataFrame, *, branch: float, depth: int) -> DataFrame:
             F.transform("sketch", lambda t: F.xxhash64("node", t)),
             lambda h: F.shiftrightunsigned(h, 32).cast("double") < bound,
         )
-        rows = ongoing.join(sketches, "set_id").select("set_id", F.explode(drawn).alias("node"))
-        rows = common.written(rows, "paths")
+        paths = common.written(ongoing.join(sketches, "set_id").select("set_id", F.explode(drawn).alias("node")), "paths")
     out = edges[0]
     for part in edges[1:]:
         out = out.unionByName(part)
@@ -294,24 +317,21 @@ def near_classes(
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     ).withColumn("text_key", F.xxhash64("text"))
-    described = common.written(_described(rows, width, runs_for(recall, threshold, branch, depth)), "shingle-sets")
+    described = common.written(_described(rows, width).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     filled = described.where("set_id IS NOT NULL")
     # One text stands for each set: that of its smallest doc_id.
     copies = common.written(
         filled.groupBy("set_id").agg(
             F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("copy_id"),
-            F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text_key")).alias("first"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text_key", "row")).alias("first"),
         ),
         "shingle-copies",
     )
     sets = common.written(
-        filled.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-        .join(copies.select("set_id", F.col("first.doc_id").alias("key"), F.col("first.text_key").alias("text_key")), ["set_id", "key", "text_key"], "left_semi")
-        .dropDuplicates(["set_id"])
-        .select("set_id", "n", "roots", "sketch"),
+        filled.join(copies.select(F.col("first.row").alias("row")), "row", "left_semi").select("set_id", "n", "roots", "sketch"),
         "shingle-distinct",
     )
-    groups = components(_candidates(sets, branch=branch, depth=depth))
+    groups = components(_candidates(sets, recall=recall, threshold=threshold, branch=branch, depth=depth))
     groups = groups.select(F.col("node").alias("set_id"), "component")
     sized = groups.join(sets.select("set_id", "n"), "set_id")
     tiles = sized.groupBy("component").agg(
@@ -327,7 +347,7 @@ def near_classes(
         "near-members",
     )
     texts = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text_key", "text")
-    compared = common.written(_compared(texts.join(members, ["key", "text_key"]), threshold, width), "near-links")
+    compared = common.written(_compared(texts.join(members.hint("merge"), ["key", "text_key"]), threshold, width), "near-links")
     links = compared.groupBy("set_id").agg(F.sum("links").alias("links"))
     found = compared.where("whole").select("set_id", F.col("root").alias("class"))
     parts = compared.where("NOT whole AND set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b"))

@@ -93,8 +93,9 @@ def test_a_crowd_of_near_copies(spark):
     assert classes(documents(spark, rows)) == brute(rows)
 
 
-def test_runs_follow_the_recall():
-    assert chosenpath.runs_for(0.9) < chosenpath.runs_for(0.999) < chosenpath.runs_for(0.999999) <= chosenpath.SKETCH
+def test_starts_follow_the_recall():
+    assert [chosenpath.starts_followed(n) for n in (1, 4, 5, 20)] == [1, 1, 2, 5]
+    assert chosenpath.starts_followed(500, recall=0.9) < chosenpath.starts_followed(500) < chosenpath.RUNS
 
 
 def test_components(spark):
