@@ -12,7 +12,10 @@ _AIRLINES = "['MU','CA','JL','NH']"
 TABLES = {
     "run0": """
   SELECT o_orderkey AS run_id, o_custkey // 16 AS query_id,
-    CASE WHEN o_orderstatus <> 'P' THEN 'succeeded' WHEN o_orderkey % 10 = 0 THEN 'pending'
+    CASE WHEN o_orderstatus <> 'P' THEN 'succeeded'
+         WHEN o_orderkey % 10 < 3 AND o_orderdate::DATE NOT BETWEEN DATE '1998-06-27' AND DATE '1998-07-01'
+           AND o_custkey % 64 <> 3 THEN 'failed'
+         WHEN o_orderkey % 10 = 0 THEN 'pending'
          WHEN o_orderkey % 10 = 1 THEN 'leased' WHEN o_orderkey % 10 = 2 THEN 'running'
          WHEN o_orderkey % 10 = 3 THEN 'canceled' ELSE 'failed' END AS status,
     o_orderdate + to_minutes(o_orderkey % 1440) AS clock, o_orderstatus = 'F' AS evaluated,

@@ -33,7 +33,7 @@ def write_observations(t):
 def hot_archive_union(t):
     """Old months are archived, two months lie in both tables; each row counts once."""
     hot, cold = work_dir(t.spark, "hot"), work_dir(t.spark, "archive")
-    ob.write_observations(t.observations(datetime(1997, 6, 1), END), hot)
+    ob.write_observations(t.observations(), hot)
     ob.archive_months(t.spark, hot, cold, [date(1998, m, 1) for m in (1, 2, 3)])
     archived = t.spark.read.parquet(cold).withColumn(
         "total_price_minor", F.when(F.col("obs_month") == F.lit(date(1998, 3, 1)), -1).otherwise(

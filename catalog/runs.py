@@ -127,11 +127,12 @@ def captured_shapes(t):
     return t.events().selectExpr(*CAPTURED)
 
 
-_SHAPE_OF = """CASE event_type
-  WHEN 'click' THEN '{"data":{"k":"number"},"status":"number"}'
-  WHEN 'view' THEN '{"data":{"items":{"list":[{"k":"null"},{"k":"number"}]}},"status":"string"}'
-  WHEN 'purchase' THEN '{"data":{"items":{"list":[]}},"flag":"boolean"}'
-  WHEN 'signup' THEN '{"k":"number"}' END"""
+_SHAPE_OF = """array_to_string(CASE event_type
+  WHEN 'click' THEN ['number /data/k', 'number /status', 'object ', 'object /data']
+  WHEN 'view' THEN ['list /data/items', 'null /data/items/[]/k', 'number /data/items/[]/k', 'object ', 'object /data',
+    'object /data/items/[]', 'string /status']
+  WHEN 'purchase' THEN ['boolean /flag', 'list /data/items', 'object ', 'object /data']
+  WHEN 'signup' THEN ['number /k', 'object '] END, chr(10))"""
 _SHAPES = f"""SELECT 'alpha' AS provider, '/search/' || (query_id % 3) AS endpoint, sha256({_SHAPE_OF}) AS shape_fingerprint,
   min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, count(*) AS occurrence_count
   FROM event WHERE event_type <> 'error' GROUP BY ALL"""
@@ -174,24 +175,15 @@ def providers(t):
     return t.spark.createDataFrame([("alpha", True), ("beta", False)], "code string, enabled boolean")
 
 
-_RECENT = f"scheduled_at BETWEEN {AS_OF} - INTERVAL 3 DAY AND {AS_OF}"
-
-
-def recent_runs(t):
-    at = F.col("scheduled_at")
-    return t.runs().where(at.between(
-        F.lit(NOW - timedelta(days=3)).cast("timestamp_ntz"), F.lit(NOW).cast("timestamp_ntz")))
-
-
 @query("due_by_query", sql(f"""
 SELECT q.query_id, provider, count(*) AS subscription_count, min(next_due_at) AS oldest_due_at,
   'scheduled:' || q.query_id || ':' || floor(epoch({AS_OF}) / 900)::BIGINT AS idempotency_key
 FROM sub JOIN query q USING (query_id)
 WHERE enabled AND next_due_at <= {AS_OF} AND provider = 'alpha' AND NOT EXISTS (
-  SELECT 1 FROM run r WHERE r.query_id = q.query_id AND status IN ('pending','leased','running') AND {_RECENT})
+  SELECT 1 FROM run r WHERE r.query_id = q.query_id AND status IN ('pending','leased','running'))
 GROUP BY ALL"""))
 def due_by_query(t):
-    return ru.due_by_query(t.subscriptions(), t.queries(), providers(t), recent_runs(t), NOW)
+    return ru.due_by_query(t.subscriptions(), t.queries(), providers(t), t.runs(), NOW)
 
 
 @query("advance_due", sql(f"""
@@ -226,13 +218,13 @@ SELECT q.query_id, coalesce(a.run_id, s.run_id) AS run_id,
     floor(epoch({AS_OF}) / 86400)::BIGINT || ':' || coalesce(n, 0) END AS idempotency_key
 FROM query q
 LEFT JOIN (SELECT query_id, arg_max(run_id, (scheduled_at, run_id)) AS run_id FROM run
-  WHERE status IN ('pending','leased','running') AND {_RECENT} GROUP BY 1) a USING (query_id)
+  WHERE status IN ('pending','leased','running') GROUP BY 1) a USING (query_id)
 LEFT JOIN (SELECT query_id, arg_max(run_id, (finished_at, run_id)) AS run_id FROM run
-  WHERE status = 'succeeded' AND scheduled_at >= TIMESTAMP '1998-06-30' AND {_RECENT} GROUP BY 1) s USING (query_id)
+  WHERE status = 'succeeded' AND scheduled_at >= TIMESTAMP '1998-06-30' GROUP BY 1) s USING (query_id)
 LEFT JOIN (SELECT query_id, count(*) AS n FROM run
-  WHERE status IN ('failed','canceled') AND scheduled_at >= TIMESTAMP '1998-06-30' AND {_RECENT} GROUP BY 1) f USING (query_id)"""))
+  WHERE status IN ('failed','canceled') AND scheduled_at >= TIMESTAMP '1998-06-30' GROUP BY 1) f USING (query_id)"""))
 def reuse_or_create_run(t):
-    return ru.reuse_or_create(t.queries(), recent_runs(t), NOW, 86400)
+    return ru.reuse_or_create(t.queries(), t.runs(), NOW, 86400)
 
 
 @query("retry_schedule", sql("""
@@ -322,9 +314,9 @@ def run_summary_counts(t):
 SELECT subscription_id, last_collected_at, CASE WHEN enabled AND last_collected_at IS NOT NULL
   THEN last_collected_at + to_seconds(poll_interval_seconds) ELSE next_due_at END AS next_due_at
 FROM sub LEFT JOIN (SELECT query_id, max(finished_at) AS last_collected_at FROM run
-  WHERE status = 'succeeded' AND {_RECENT} GROUP BY 1) USING (query_id)"""))
+  WHERE status = 'succeeded' GROUP BY 1) USING (query_id)"""))
 def advance_subscriptions(t):
-    done = recent_runs(t).where("status = 'succeeded'").withColumnRenamed("finished_at", "observed_at")
+    done = t.runs().where("status = 'succeeded'").withColumnRenamed("finished_at", "observed_at")
     return wr.advance_subscriptions(t.subscriptions(), done).select(
         "subscription_id", "last_collected_at", "next_due_at")
 

@@ -134,28 +134,42 @@ def find_lists(text: Column, list_names: Sequence[str], code_names: Sequence[str
     return _searcher(lambda name, node: name in wanted and isinstance(node, list), code_names)(text)
 
 
-def _shape(node: object) -> object:
-    if isinstance(node, dict):
-        return {key: _shape(node[key]) for key in sorted(node)}
-    if isinstance(node, list):
-        seen = {json.dumps(shape, sort_keys=True, separators=(",", ":")): shape for shape in map(_shape, node)}
-        return {"list": [seen[key] for key in sorted(seen)]}
-    if node is None:
-        return "null"
-    if isinstance(node, bool):
-        return "boolean"
-    return "string" if isinstance(node, str) else "number"
+def _kind(value: object) -> str:
+    for name, types in (("object", dict), ("list", list), ("boolean", bool), ("string", str)):
+        if isinstance(value, types):
+            return name
+    return "null" if value is None else "number"
+
+
+def _places(root: object) -> set[str]:
+    """``kind /path`` of every place of a JSON value; all items of a list share the place ``[]``."""
+    found, pending = set(), [("", root)]
+    while pending:
+        path, value = pending.pop()
+        found.add(f"{_kind(value)} {path}")
+        if isinstance(value, dict):
+            pending += [(f"{path}/{_escaped(key)}", child) for key, child in value.items()]
+        elif isinstance(value, list):
+            pending += [(f"{path}/[]", child) for child in value]
+    return found
+
+
+def _escaped(key: str) -> str:
+    for code, sign in enumerate("~/[\n"):
+        key = key.replace(sign, f"~{code}")
+    return key
 
 
 @F.pandas_udf(T.StringType())
 def payload_shape(texts: pd.Series) -> pd.Series:
-    """Value-free description of each JSON text: sorted keys and type names."""
+    """Value-free description of each JSON text: its places and their kinds, one per line, sorted.
+
+    Null and broken texts give null.
+    """
 
     def describe(text: str | None) -> str | None:
         try:
-            return None if text is None else json.dumps(
-                _shape(json.loads(text)), sort_keys=True, separators=(",", ":")
-            )
+            return None if text is None else "\n".join(sorted(_places(json.loads(text))))
         except ValueError:
             return None
 
@@ -191,7 +205,18 @@ def payload_richness(texts: pd.Series) -> pd.Series:
     return texts.map(measure).astype("int64")
 
 
+def _unescaped(key: Column) -> Column:
+    for code, sign in reversed(list(enumerate("~/[\n"))):
+        key = F.replace(key, F.lit(f"~{code}"), F.lit(sign))
+    return key
+
+
 def top_level_fields(shape: Column, most: int = 40) -> Column:
-    """Sorted top-level keys of a stored shape, cut to ``most`` names."""
-    keys = F.coalesce(F.json_object_keys(shape), F.array().cast("array<string>"))
-    return F.slice(F.array_sort(F.transform(keys, lambda k: F.substring(k, 1, 120))), 1, most)
+    """Sorted top-level keys of a stored shape, cut to ``most`` names of 120 characters.
+
+    The cuts belong to the contract of the field list.
+    """
+    places = F.transform(F.split(shape, "\n"), lambda x: F.regexp_extract(x, "^[a-z]+ /([^/]*)$", 1))
+    keys = F.filter(places, lambda k: (k != "") & (k != "[]"))
+    keys = F.transform(keys, _unescaped)
+    return F.slice(F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.substring(k, 1, 120)))), 1, most)

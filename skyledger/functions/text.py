@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # First characters that a spreadsheet reads as a formula.
-FORMULA_PREFIX = r"^\s*[=+\-@]"
+FORMULA_PREFIX = r"(?U)^\s*[=+\-@]"
 CONTROL_PREFIX = r"^[\t\r]"
 
 
+def strip(value: Column) -> Column:
+    """Without white space at both ends, that of other scripts included."""
+    return F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(value: Column) -> Column:
     """Trim; empty text becomes null."""
-    return F.nullif(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(strip(value), F.lit(""))
 
 
 def clean_code(value: Column) -> Column:
@@ -22,25 +27,25 @@ def clean_code(value: Column) -> Column:
 
 def non_negative_int(value: Column) -> Column:
     """Whole non-negative number or null."""
-    digits = F.regexp_extract(value.cast("string"), r"^\s*\+?(\d+)\s*$", 1)
+    digits = F.regexp_extract(value.cast("string"), r"(?U)^\s*\+?([0-9]+)\s*$", 1)
     return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
 def clean_code_list(values: Column) -> Column:
     """Sorted distinct upper-case codes of an array; null gives an empty array."""
-    codes = F.transform(values, lambda c: F.upper(F.trim(c)))
+    codes = F.transform(values, lambda c: F.upper(strip(c)))
     return F.coalesce(F.array_sort(F.array_distinct(codes)), F.array().cast("array<string>"))
 
 
 def clean_tags(values: Column, width: int = 40) -> Column:
     """Sorted distinct trimmed tags, each at most ``width`` characters."""
-    kept = F.filter(F.transform(values, F.trim), lambda t: t != "")
+    kept = F.filter(F.transform(values, strip), lambda t: t != "")
     return F.array_sort(F.array_distinct(F.transform(kept, lambda t: F.substring(t, 1, width))))
 
 
 def redact_shape(value: Column, width: int = 32) -> Column:
     """Shape of a text without its content: digits ``#``, letters ``a``."""
-    head = F.substring(F.regexp_replace(value, r"^\s+|\s+$", ""), 1, width)
+    head = F.substring(strip(value), 1, width)
     shape = F.regexp_replace(F.regexp_replace(head, r"\p{Nd}", "#"), r"\p{L}", "a")
     return F.when(shape == "", F.lit("empty")).otherwise(shape)
 
@@ -74,7 +79,7 @@ def strip_url(url: Column) -> Column:
 
 def display_name(value: Column) -> Column:
     """Collapse white space; empty becomes null."""
-    return clean_text(F.regexp_replace(value, r"\s+", " "))
+    return clean_text(F.regexp_replace(value, r"(?U)\s+", " "))
 
 
 def slug_base(text: Column, identifier: Column, width: int = 64) -> Column:

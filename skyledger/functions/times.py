@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import cache
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.functions.text import strip
+
 # Formats of provider dates and durations.
 DOTNET_DATE = r"^/Date\((-?\d+)([+-]\d{4})?\)/$"
-HOURS = r"(\d+)\s*(?:h|hour|小时)"
-MINUTES = r"(\d+)\s*(?:m|min|minute|分钟)"
+HOURS = r"(?U)([0-9]+)\s*(?:h|hour|小时)"
+MINUTES = r"(?U)([0-9]+)\s*(?:m|min|minute|分钟)"
 
 # Milliseconds of 0001-01-01 and of the end of 9999-12-31.
 _FIRST_MS, _LAST_MS = -62135596800000, 253402300799999
@@ -34,7 +37,7 @@ def _signed_minutes(offset: Column) -> Column:
 
 def parse_fare_date(raw: Column) -> Column:
     """ISO date (first 10 characters) or ``/Date(ms+hhmm)/`` at its own offset."""
-    text = F.trim(raw)
+    text = strip(raw)
     millis = _found(text, DOTNET_DATE, 1).try_cast("bigint")
     minutes = F.coalesce(_signed_minutes(_found(text, DOTNET_DATE, 2)), F.lit(0))
     shifted = F.when(millis.between(_FIRST_MS, _LAST_MS), millis) + minutes * 60_000
@@ -48,39 +51,47 @@ def parse_fare_date(raw: Column) -> Column:
 
 def is_null_date_marker(raw: Column) -> Column:
     """A ``/Date(ms)/`` before 1970 stands for "no date"."""
-    millis = _found(F.trim(raw), DOTNET_DATE, 1).try_cast("bigint")
+    millis = _found(strip(raw), DOTNET_DATE, 1).try_cast("bigint")
     return F.coalesce(millis < 0, F.lit(False))
 
 
 def parse_minutes(raw: Column) -> Column:
-    """Minutes from digits or from texts such as ``3h 5m``; null if unknown."""
+    """Minutes from digits or from texts such as ``3h 5m``; null if unknown or beyond a long."""
     text = F.lower(raw)
-    plain = _found(text, r"^\s*(\d+)\s*$", 1).try_cast("bigint")
+    plain = _found(text, r"(?U)^\s*([0-9]+)\s*$", 1).try_cast("bigint")
     hours = _found(text, HOURS, 1).try_cast("bigint")
     minutes = _found(text, MINUTES, 1).try_cast("bigint")
     # Either part may be missing, but not both.
-    parts = F.coalesce(hours * 60 + F.coalesce(minutes, F.lit(0)), minutes)
+    whole = F.try_multiply(hours, F.lit(60).cast("bigint"))
+    parts = F.when(hours.isNotNull(), F.try_add(whole, F.coalesce(minutes, F.lit(0)))).otherwise(minutes)
     return F.coalesce(plain, parts)
 
 
 def parse_schedule(raw: Column, zone: Column) -> Column:
     """Struct of raw text, local time, offset in minutes (if given) and zone."""
-    text = F.regexp_replace(F.translate(F.trim(raw), "/", "-"), "Z", "+00:00")
+    text = F.regexp_replace(F.translate(strip(raw), "/", "-"), "Z", "+00:00")
     offset = _found(text, r"[T ].*([+-]\d{2}:?\d{2})$", 1)
     local = _found(
         text, r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?)([+-]\d{2}:?\d{2})?$", 1
     )
     return F.struct(
-        F.trim(raw).alias("raw"),
+        strip(raw).alias("raw"),
         local.try_cast("timestamp_ntz").alias("local"),
         _signed_minutes(F.translate(offset, ":", "")).alias("offset_minutes"),
         zone.alias("zone"),
     )
 
 
+@cache
+def zone_names() -> tuple[str, ...]:
+    """Time zones of the IANA list that the session's Java can convert."""
+    ids = SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds()
+    return tuple(sorted(available_timezones() & set(ids)))
+
+
 def known_zone(zone: Column) -> Column:
-    """True when the text names a time zone of the IANA list."""
-    return zone.isin(sorted(available_timezones()))
+    """True when the text names a time zone that every conversion knows."""
+    return zone.isin(*zone_names())
 
 
 def offset_label(minutes: Column) -> Column:

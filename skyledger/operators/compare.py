@@ -77,8 +77,14 @@ def sort_routes(routes: DataFrame, mode: str) -> DataFrame:
 
 
 def align_trends(items: DataFrame, trends: DataFrame) -> DataFrame:
-    """One row per view and day with a column per route place; gaps stay null."""
-    points = items.select("view_id", "position", "subscription_id").join(
+    """One row per view and day with a column per route place; gaps stay null.
+
+    A place beyond the last column fails the job; ``validate_views`` finds such views before.
+    """
+    place = F.when(F.col("position").between(0, MOST_ROUTES - 1), F.col("position")).otherwise(
+        F.raise_error(F.lit("a view holds more routes than there are places"))
+    )
+    points = items.select("view_id", place.alias("position"), "subscription_id").join(
         trends.select("subscription_id", "bucket", "lowest_price_minor"), "subscription_id"
     )
     places = list(range(MOST_ROUTES))

@@ -29,7 +29,10 @@ AS_OF = datetime(1998, 6, 30, 12, 0, 0)
 _RUN = (
     "o_orderkey AS run_id",
     f"o_custkey div {SHARED_BY} AS query_id",
+    # Runs of other days have ended, but for those of a few customers that hang.
     """CASE WHEN o_orderstatus <> 'P' THEN 'succeeded'
+            WHEN o_orderkey % 10 < 3 AND cast(o_orderdate AS date) NOT BETWEEN DATE'1998-06-27' AND DATE'1998-07-01'
+              AND o_custkey % 64 <> 3 THEN 'failed'
             WHEN o_orderkey % 10 = 0 THEN 'pending'
             WHEN o_orderkey % 10 = 1 THEN 'leased'
             WHEN o_orderkey % 10 = 2 THEN 'running'
