@@ -1,11 +1,14 @@
 """Streaming jobs. Every sink can repeat a batch without changing its result.
 
-A batch writes its own ``batch_id`` partition and overwrites it when it is run
-again, or it rebuilds whole days. Progress lives in the checkpoint folder.
+A batch writes the partition of its stream and its number and overwrites it when it is run
+again, or it rebuilds whole days. Progress lives in the checkpoint folder, and so does
+the stream's id: a new checkpoint is another stream, so its batches, cut as they may be, never
+overwrite those of an older one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -17,9 +20,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyledger.functions.payload import shape_fingerprint
+from skyledger.functions.times import bucket_start
 from skyledger.operators.history import RUN_KEYS
 from skyledger.operators.paging import newest
-from skyledger.operators.trends import DAILY_SCHEMA, daily_trend
+from skyledger.operators.trends import DAILY_SCHEMA, daily_trend, trend_coverage
 from skyledger.operators.writes import PRICE_KEYS, append_new, price_batch
 from skyledger.sources.observations import month_of
 
@@ -41,12 +45,18 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, *also_by: str) -> None:
-    """Write one batch into its own partition, replacing an earlier try."""
-    numbered = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def write_batch(df: DataFrame, path: str, checkpoint: str, batch_id: int, *also_by: str) -> None:
+    """Write one batch into its own partition, replacing an earlier try of the same stream."""
+    stream = stream_id(df.sparkSession, checkpoint)
+    numbered = df.withColumns({"stream_id": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
     (
         numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *also_by).parquet(path)
+        .partitionBy("stream_id", "batch_id", *also_by).parquet(path)
     )
 
 
@@ -57,9 +67,29 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
 
 
+BATCH_FIELDS = (T.StructField("stream_id", T.StringType()), T.StructField("batch_id", T.LongType()))
+BATCH_COLUMNS = tuple(f.name for f in BATCH_FIELDS)
+
+
 def with_batch_id(schema: T.StructType) -> T.StructType:
-    """The schema of a table whose rows carry the number of their batch."""
-    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    """The schema of a table whose rows carry their stream and the number of their batch."""
+    return T.StructType([*schema.fields, *BATCH_FIELDS])
+
+
+def store_new(rows: DataFrame, path: str, checkpoint: str, batch_id: int, keys: list[str], *also_by: str) -> None:
+    """Store the rows of a batch whose key no other batch of any stream has stored.
+
+    Only the ``also_by`` partitions that the batch touches are read back. What the batch
+    itself stored in an earlier try does not count, as it is overwritten; what any
+    other batch stored stays where it is. So no cut of a replay loses or doubles a row.
+    """
+    spark = rows.sparkSession
+    stored = read_or_empty(spark, path, with_batch_id(rows.schema))
+    own = (F.col("stream_id") == stream_id(spark, checkpoint)) & (F.col("batch_id") == batch_id)
+    others = stored.where(~own)
+    if also_by:
+        others = others.join(rows.select(*also_by).distinct(), list(also_by), "left_semi")
+    write_batch(append_new(others, rows, keys), path, checkpoint, batch_id, *also_by)
 
 
 # -- idempotent ingest -----------------------------------------------------------
@@ -69,17 +99,12 @@ def ingest(captures: DataFrame, path: str, checkpoint: str, normalize: Callable[
            keys: list[str]) -> None:
     """Normalize each capture once and append the rows whose key is new.
 
-    Only months that the batch touches are read back to find stored keys. Rows that
-    any other batch has stored count as stored, so also a replay from an empty
-    checkpoint, cut into other batches, adds nothing.
+    A replay from an empty checkpoint, cut into other batches, adds nothing and loses nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = normalize(batch).withColumn("obs_month", month_of(F.col("observed_at")))
-        stored = read_or_empty(batch.sparkSession, path, with_batch_id(rows.schema))
-        months = rows.select("obs_month").distinct()
-        earlier = stored.where(F.col("batch_id") != batch_id).join(months, "obs_month", "left_semi")
-        write_batch(append_new(earlier, rows, keys), path, batch_id, "obs_month")
+        store_new(rows, path, checkpoint, batch_id, keys, "obs_month")
 
     run_available(captures.writeStream.foreachBatch(step), checkpoint)
 
@@ -90,14 +115,15 @@ def ingest(captures: DataFrame, path: str, checkpoint: str, normalize: Callable[
 def latest_snapshots(observations: DataFrame, path: str, checkpoint: str) -> None:
     """Each batch adds its reduced snapshot rows; reading picks the newest."""
     run_available(
-        observations.writeStream.foreachBatch(lambda batch, n: write_batch(price_batch(batch), path, n)), checkpoint
+        observations.writeStream.foreachBatch(lambda batch, n: write_batch(price_batch(batch), path, checkpoint, n)),
+        checkpoint,
     )
 
 
 def resolve_snapshots(rows: DataFrame) -> DataFrame:
-    """Newest or equal wins, by observation time and then by batch."""
-    values = [c for c in rows.columns if c not in (*PRICE_KEYS, "batch_id")]
-    return newest(rows, PRICE_KEYS, ["observed_at", "batch_id"], values)
+    """Newest or equal wins, by observation time and then by run and batch."""
+    values = [c for c in rows.columns if c not in (*PRICE_KEYS, *BATCH_COLUMNS)]
+    return newest(rows, PRICE_KEYS, ["observed_at", "run_id", "batch_id"], values)
 
 
 def run_states(events: DataFrame, path: str, checkpoint: str) -> None:
@@ -105,7 +131,7 @@ def run_states(events: DataFrame, path: str, checkpoint: str) -> None:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         write_batch(newest(batch, ["run_id"], ["observed_at", "event_id"], ["state", "observed_at", "event_id"]),
-                    path, batch_id)
+                    path, checkpoint, batch_id)
 
     run_available(events.writeStream.foreachBatch(step), checkpoint)
 
@@ -117,63 +143,91 @@ def resolve_run_states(rows: DataFrame) -> DataFrame:
 # -- daily rows and hourly buckets ---------------------------------------------------
 
 
-def maintain_daily_trend(observations: DataFrame, raw_path: str, daily_path: str, checkpoint: str) -> None:
+def rebuild_days(observations: DataFrame, raw_path: str, path: str, checkpoint: str, keys: list[str],
+                 build: Callable[[DataFrame], DataFrame]) -> None:
     """Store each batch, then rebuild the days it touched from all stored rows.
 
-    Rebuilding instead of adding makes repeats, late rows and corrections safe.
+    Rebuilding instead of adding makes repeats, late rows of any age and corrections safe.
+    ``build`` makes rows with an ``observation_date`` from observations.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         dated = batch.withColumn("observation_date", F.to_date("observed_at"))
-        write_batch(dated, raw_path, batch_id, "observation_date")
+        store_new(dated, raw_path, checkpoint, batch_id, keys, "observation_date")
         touched = dated.select("observation_date").distinct()
-        stored = spark.read.schema(with_batch_id(dated.schema)).parquet(raw_path)
-        rebuilt = daily_trend(stored.join(touched, "observation_date", "left_semi").drop("observation_date"))
+        stored = batch.sparkSession.read.schema(with_batch_id(dated.schema)).parquet(raw_path).drop(*BATCH_COLUMNS)
+        rebuilt = build(stored.join(touched, "observation_date", "left_semi").drop("observation_date"))
         (
             rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("observation_date").parquet(daily_path)
+            .partitionBy("observation_date").parquet(path)
         )
 
     run_available(observations.writeStream.foreachBatch(step), checkpoint)
 
 
+def maintain_daily_trend(observations: DataFrame, raw_path: str, daily_path: str, checkpoint: str,
+                         keys: list[str], coverage_path: str | None = None) -> None:
+    """Daily rows of all days that a batch touches, and the coverage of their queries."""
+    rebuild_days(observations, raw_path, daily_path, checkpoint, keys, daily_trend)
+    if coverage_path is not None:
+        rebuild_days(observations, raw_path, coverage_path, f"{checkpoint}-coverage", keys, observed_coverage)
+
+
+def observed_coverage(observations: DataFrame) -> DataFrame:
+    """The query days with observations: their daily rows have been rebuilt from all of them."""
+    days = observations.select("query_id", F.to_date("observed_at").alias("observation_date")).distinct()
+    return trend_coverage(days, observations)
+
+
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DAILY_SCHEMA).parquet(path)
 
 
-def hourly_history(observations: DataFrame, path: str, checkpoint: str, lateness: str = "2 days") -> None:
-    """Hourly buckets as data arrives; each batch adds the buckets it has changed."""
-    buckets = (
-        observations.withWatermark("observed_at", lateness)
-        .groupBy("query_id", F.window("observed_at", "1 hour").alias("w"))
-        .agg(
-            F.min("total_price_minor").alias("lowest_price_minor"),
-            F.max("total_price_minor").alias("highest_price_minor"),
-            F.sum("total_price_minor").alias("price_sum_minor"), F.count(F.lit(1)).alias("sample_count"),
-        )
-        .select("query_id", F.col("w.start").cast("timestamp_ntz").alias("bucket"), "lowest_price_minor",
-                "highest_price_minor", "price_sum_minor", "sample_count")
-    )
-    run_available(
-        buckets.writeStream.outputMode("update").foreachBatch(lambda batch, n: write_batch(batch, path, n)), checkpoint
-    )
+HOURLY_SCHEMA = (
+    "query_id LONG, bucket TIMESTAMP_NTZ, lowest_price_minor LONG, highest_price_minor LONG, price_sum_minor LONG, "
+    "sample_count LONG, observation_date DATE"
+)
+
+
+def hourly_rows(observations: DataFrame) -> DataFrame:
+    price = "total_price_minor"
+    bucket = bucket_start(F.col("observed_at"), "hour").alias("bucket")
+    return observations.groupBy("query_id", bucket).agg(
+        F.min(price).alias("lowest_price_minor"), F.max(price).alias("highest_price_minor"),
+        F.sum(price).alias("price_sum_minor"), F.count(F.lit(1)).alias("sample_count"),
+    ).withColumn("observation_date", F.to_date("bucket"))
+
 
+def hourly_history(observations: DataFrame, raw_path: str, path: str, checkpoint: str, keys: list[str]) -> None:
+    """Hourly buckets as data arrives, however late it is."""
+    rebuild_days(observations, raw_path, path, checkpoint, keys, hourly_rows)
 
-def resolve_buckets(rows: DataFrame) -> DataFrame:
-    """The last state of every bucket."""
-    values = [c for c in rows.columns if c not in ("query_id", "bucket", "batch_id")]
-    return newest(rows, ["query_id", "bucket"], ["batch_id"], values)
+
+def read_hourly(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HOURLY_SCHEMA).parquet(path).drop("observation_date")
 
 
 # -- visibility and shapes --------------------------------------------------------------
 
 
-def visible_events(events: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str) -> None:
-    """State changes for each user that may see the run; the checkpoint is the cursor."""
+def visible_events(events: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str,
+                   runs: DataFrame | None = None) -> None:
+    """State changes for each user that may see the run; the checkpoint is the cursor.
+
+    ``runs`` (``run_id, on_demand_user_ids``) adds the users that asked for a run themselves.
+    """
     watched = subscriptions.select("user_id", "query_id").distinct()
     seen = events.join(watched, "query_id").select("user_id", "event_id", "query_id", "state", "observed_at")
-    run_available(seen.writeStream.foreachBatch(lambda batch, n: write_batch(batch, path, n)), checkpoint)
+    if runs is not None:
+        # Whoever asked for a run sees it too, once.
+        asked = runs.select("run_id", F.explode("on_demand_user_ids").alias("user_id")).distinct()
+        by_hand = events.join(asked, "run_id").select("user_id", "event_id", "query_id", "state", "observed_at")
+        seen = seen.unionByName(by_hand)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        store_new(batch, path, checkpoint, batch_id, ["user_id", "event_id"])
+
+    run_available(seen.writeStream.foreachBatch(step), checkpoint)
 
 
 def new_shapes(captures: DataFrame, path: str, checkpoint: str) -> None:
@@ -181,22 +235,44 @@ def new_shapes(captures: DataFrame, path: str, checkpoint: str) -> None:
     shaped = captures.withColumn("shape_fingerprint", shape_fingerprint(F.col("payload")))
     first = shaped.where("shape_fingerprint IS NOT NULL").dropDuplicates(["endpoint", "shape_fingerprint"])
     rows = first.select("endpoint", "shape_fingerprint")
-    run_available(rows.writeStream.foreachBatch(lambda batch, n: write_batch(batch, path, n)), checkpoint)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        store_new(batch, path, checkpoint, batch_id, ["endpoint", "shape_fingerprint"])
+
+    run_available(rows.writeStream.foreachBatch(step), checkpoint)
 
 
 # -- alerts -----------------------------------------------------------------------------
 
 _EVENT = "rule_id LONG, run_id LONG, observed_at TIMESTAMP_NTZ, price_minor LONG, previous_minimum LONG"
 _STATE = "lowest LONG, last_event DOUBLE"
+_RULE = ("rule_id", "query_id", "currency", "rule_type", "threshold_price_minor", "threshold_percentage",
+         "config_min_price", "config_max_price", "cooldown_seconds")
+
 
+def _number(value: object) -> int | None:
+    return None if pd.isna(value) else int(value)
 
-def _fires(kind: str, price: int, lowest: int | None, threshold: int | None) -> bool:
-    if kind == "price_threshold":
-        return threshold is not None and price <= threshold
-    if kind == "new_low":
+
+def _fires(row, lowest: int | None) -> bool:
+    """The six rule types on one run, as ``operators.alerts`` has them for tables."""
+    price, limit = row.price_minor, _number(row.threshold_price_minor)
+    if row.rule_type == "price_threshold":
+        return limit is not None and price <= limit
+    if row.rule_type == "new_low":
         return lowest is None or price < lowest
-    if kind == "absolute_drop":
-        return lowest is not None and threshold is not None and lowest - price >= threshold
+    if row.rule_type == "direct_available":
+        return bool(row.is_direct) and (limit is None or price <= limit)
+    if row.rule_type == "round_trip_range":
+        low, high = _number(row.config_min_price), _number(row.config_max_price)
+        return (low is None or low < 0 or price >= low) and (high is None or high < 0 or price <= high)
+    if lowest is None:
+        return False
+    if row.rule_type == "absolute_drop":
+        return limit is not None and lowest - price >= limit
+    if row.rule_type == "percentage_drop":
+        points = _number(row.threshold_percentage)
+        return points is not None and price < lowest and (lowest - price) * 10_000 // lowest >= points
     return False
 
 
@@ -206,11 +282,8 @@ def _watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Ite
     fired = []
     runs = pd.concat(chunks).sort_values(["observed_at", "run_id"])
     for row in runs.itertuples(index=False):
-        threshold = None if pd.isna(row.threshold_price_minor) else int(row.threshold_price_minor)
         at = row.observed_at.timestamp()
-        if _fires(row.rule_type, row.price_minor, lowest, threshold) and (
-            last is None or at - last > row.cooldown_seconds
-        ):
+        if _fires(row, lowest) and (last is None or at - last > row.cooldown_seconds):
             fired.append((key[0], row.run_id, row.observed_at, row.price_minor, lowest))
             last = at
         lowest = row.price_minor if lowest is None else min(lowest, row.price_minor)
@@ -219,38 +292,46 @@ def _watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame(fired, columns=names).astype({"previous_minimum": "Int64"})
 
 
-def alerts(observations: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> None:
-    """Rules on each run as it arrives, with the running minimum and the cooldown as state.
+def alerts(finished: DataFrame, prices: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> None:
+    """Rules on each run as it is told finished, with the running minimum and the cooldown as state.
 
-    A run is complete within its batch, so prices are first reduced to one row per
-    run; a rule then gets one row per run of the batch. Batches are bounded by the
-    files per trigger.
+    ``finished`` is a stream of ``run_id``; ``prices`` are the resolved prices of all runs, which
+    for a finished run are complete, in however many batches they came. A rule gets one
+    row per run of the batch; batches are bounded by the files per trigger.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
-
-    watched = rules.where("enabled").select(
-        "rule_id", "query_id", "currency", "rule_type", "threshold_price_minor", "cooldown_seconds")
-    rows = observations.join(watched, ["query_id", "currency"]).select(
-        "rule_id", "run_id", "observed_at", F.col("total_price_minor").alias("price_minor"), "rule_type",
-        "threshold_price_minor", "cooldown_seconds",
-    )
+    watched = rules.where("enabled").select(*_RULE)
+    rows = finished.select("run_id").join(prices, "run_id").join(watched, ["query_id", "currency"]).select(
+        "run_id", "observed_at", F.col("total_price_minor").alias("price_minor"), "is_direct",
+        *[c for c in _RULE if c not in ("query_id", "currency")])
     fired = rows.groupBy("rule_id").applyInPandasWithState(
         _watch, _EVENT, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        store_new(batch, path, checkpoint, batch_id, ["rule_id", "run_id"])
+
     run_available(fired.writeStream.outputMode("append").foreachBatch(step), checkpoint)
 
 
 def run_prices(observations: DataFrame, path: str, checkpoint: str) -> None:
-    """Cheapest price of every run, one row per run, as input of the alerts."""
+    """Cheapest price of every run that a batch brings, one row per run and batch."""
+    cheapest = F.min(F.struct("total_price_minor", "is_direct")).alias("cheapest")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.groupBy(*RUN_KEYS).agg(F.min("total_price_minor").alias("total_price_minor")), path, batch_id)
+        rows = batch.groupBy(*RUN_KEYS).agg(cheapest).select(*RUN_KEYS, "cheapest.*")
+        write_batch(rows, path, checkpoint, batch_id)
 
     run_available(observations.writeStream.foreachBatch(step), checkpoint)
 
 
+def resolve_run_prices(rows: DataFrame) -> DataFrame:
+    """One row per run: the cheapest of all its batches, and the time it was first seen."""
+    keys = [k for k in RUN_KEYS if k != "observed_at"]
+    return rows.groupBy(*keys).agg(
+        F.min("observed_at").alias("observed_at"), F.min(F.struct("total_price_minor", "is_direct")).alias("x")
+    ).select(*RUN_KEYS, "x.*")
+
+
 # -- backfill ----------------------------------------------------------------------------
 
 

@@ -91,6 +91,9 @@ def test_lifecycle_limits(spark):
             observations.plan_partition_lifecycle(parts, date(2026, 1, 1), ranges, **wrong)
 
 
+KEYS = ["observed_at", "obs_id"]
+
+
 def landed(spark, obs, name):
     """The rows in several files, the newest first, so that later batches are late."""
     folder = work_dir(spark, name)
@@ -105,7 +108,7 @@ def test_stream_daily_trend_with_late_files_and_restart(spark, obs, plain):
 
     def start():
         stream = jobs.stream_files(spark, folder, obs.schema, "*.parquet", files_per_batch=1)
-        jobs.maintain_daily_trend(stream, f"{base}/raw", f"{base}/daily", f"{base}/checkpoint")
+        jobs.maintain_daily_trend(stream, f"{base}/raw", f"{base}/daily", f"{base}/checkpoint", KEYS, f"{base}/coverage")
         return plain(jobs.read_daily(spark, f"{base}/daily"), *trends.DAILY_KEYS, *trends.DAILY_VALUES)
 
     want = plain(trends.daily_trend(obs), *trends.DAILY_KEYS, *trends.DAILY_VALUES)
@@ -114,6 +117,8 @@ def test_stream_daily_trend_with_late_files_and_restart(spark, obs, plain):
     extra = obs.where("query_id = 0").withColumn("obs_id", F.concat(F.lit("x"), "obs_id")).withColumn(
         "total_price_minor", F.lit(7).cast("long"))
     extra.coalesce(1).write.mode("append").parquet(folder)
+    days = spark.read.parquet(f"{base}/coverage").select("query_id", "observation_date")
+    assert plain(days) == plain(obs.select("query_id", F.to_date("observed_at")).distinct())
     assert start() == plain(trends.daily_trend(obs.unionByName(extra)), *trends.DAILY_KEYS, *trends.DAILY_VALUES)
 
 
@@ -126,12 +131,51 @@ def test_stream_snapshot_ignores_late_rows(spark, obs, plain):
     assert plain(got, *columns) == plain(writes.upsert_price_snapshot(None, obs), *columns)
 
 
-def test_stream_ingest_replay_from_empty_checkpoint(spark, obs, plain):
-    folder, base = landed(spark, obs, "t-land3"), work_dir(spark, "t-ingest")
-    for files, name in ((1, "a"), (3, "b"), (1, "a")):
+def five_files(spark, rows, name):
+    """The rows in five files, the newest first."""
+    folder = work_dir(spark, name)
+    ranked = rows.withColumn("part", F.pmod(F.xxhash64("obs_id"), F.lit(5)))
+    for k in range(5):
+        ranked.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@pytest.mark.parametrize("cuts", [(2, 3), (3, 1, 2), (5, 1), (1, 5, 1)])
+def test_stream_ingest_replay_from_empty_checkpoints(spark, obs, plain, cuts):
+    rows = obs.where("query_id < 2")
+    folder, base = five_files(spark, rows, "t-land3"), work_dir(spark, "t-ingest")
+    for number, files in enumerate(cuts):
+        stream = jobs.stream_files(spark, folder, obs.schema, "*.parquet", files_per_batch=files)
+        jobs.ingest(stream, f"{base}/out", f"{base}/checkpoint-{number}", lambda batch: batch, KEYS)
+    assert plain(spark.read.parquet(f"{base}/out"), "obs_id") == plain(rows, "obs_id")
+
+
+def test_stream_hourly_history_keeps_late_rows(spark, obs, plain):
+    folder, base = landed(spark, obs, "t-land5"), work_dir(spark, "t-hourly")
+    for files in (1, 2):
         stream = jobs.stream_files(spark, folder, obs.schema, "*.parquet", files_per_batch=files)
-        jobs.ingest(stream, f"{base}/out", f"{base}/checkpoint-{name}", lambda batch: batch, ["observed_at", "obs_id"])
-    assert plain(spark.read.parquet(f"{base}/out"), "obs_id") == plain(obs, "obs_id")
+        jobs.hourly_history(stream, f"{base}/raw", f"{base}/out", f"{base}/checkpoint-{files}", KEYS)
+    got = jobs.read_hourly(spark, f"{base}/out")
+    assert got.agg(F.sum("sample_count")).first()[0] == obs.count()
+    assert plain(got) == plain(jobs.hourly_rows(obs).drop("observation_date"))
+
+
+def test_a_run_split_over_files_is_told_once_with_its_lowest_price(spark, plain):
+    schema = "query_id long, currency string, run_id long, observed_at timestamp_ntz, total_price_minor long, is_direct boolean"
+    at, base = datetime(2026, 4, 1), work_dir(spark, "t-alerts")
+    for price in (90, 80):
+        spark.createDataFrame([(1, "CNY", 7, at, price, False)], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = jobs.stream_files(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, "*.parquet", files_per_batch=1)
+    jobs.run_prices(stream, f"{base}/prices", f"{base}/c1")
+    spark.createDataFrame([(7,)], "run_id long").coalesce(1).write.parquet(f"{base}/finished")
+    finished = jobs.stream_files(spark, f"{base}/finished", "run_id long", "*.parquet")
+    rules = spark.createDataFrame(
+        [(1, 1, "CNY", "price_threshold", 85, None, None, None, 0, True)],
+        "rule_id long, query_id long, currency string, rule_type string, threshold_price_minor long, "
+        "threshold_percentage long, config_min_price long, config_max_price long, cooldown_seconds long, enabled boolean")
+    prices = jobs.resolve_run_prices(spark.read.parquet(f"{base}/prices"))
+    jobs.alerts(finished, prices, rules, f"{base}/events", f"{base}/c2")
+    assert plain(spark.read.parquet(f"{base}/events"), "run_id", "price_minor", "previous_minimum") == [(7, 80, None)]
 
 
 def test_backfill_refuses_missing_months_and_resumes(spark, obs, plain):
