@@ -23,6 +23,8 @@ from skyledger.llm import common
 #: Documents that the lexicon and the scorers are fitted on, about; all others count in the
 #: statistics of votes and are judged.
 SAMPLE = 9_000
+#: Documents of the sample that must have a feature.
+SUPPORT = 5
 #: Bytes of the word beginnings that are features besides the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A text is called toxic by a lexicon from this part of its words on, and clean below the other.
@@ -407,13 +409,15 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
         .select("doc_id", "d.*", "person_junk", "person_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
         .toArrow()
     )
-    got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()
+    got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")])
     rows_got = got.num_rows
     lists = got.column("features").combine_chunks()
     features = np.asarray(lists.flatten(), dtype=np.int32).view(np.uint32)
     sizes = np.asarray(lists.value_lengths(), dtype=np.int64) if rows_got else np.zeros(0, np.int64)
     places = np.append(0, np.cumsum(sizes)).astype(np.int64)
-    rates = np.asarray(got.column("counts").combine_chunks().flatten()) / np.repeat(np.maximum(1, got.column("n").to_numpy()), sizes)
+    counts = np.asarray(got.column("counts").combine_chunks().flatten(), dtype=np.int32)
+    features, counts, places = _common(features, counts, places)
+    rates = counts / np.repeat(np.maximum(1, got.column("n").to_numpy()), np.diff(places))
     m = np.asarray(got.column("m").combine_chunks().flatten()).reshape(rows_got, len(MEASURES))
     person = {
         JUNK: got.column("person_junk").fill_null(-1).to_numpy().astype(np.int8),
@@ -464,6 +468,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
     return Model(scorers, lexica)
 
 
+def _common(
+    features: np.ndarray, counts: np.ndarray, places: np.ndarray, support: int = SUPPORT
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of features that at least ``support`` documents have; most features are rarer."""
+    keys, documents = np.unique(features, return_counts=True)
+    keys = keys[documents >= min(support, len(places) - 1)]
+    kept = np.concatenate([np.zeros(0, bool), *(_within(features[a : a + (1 << 19)], keys) for a in range(0, len(features), 1 << 19))])
+    before = np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(kept, out=before[1:])
+    return features[kept], counts[kept], before[places]
+
+
 def _votes_text(votes: np.ndarray) -> list[str]:
     """One letter per vote: ``?`` abstains, ``+`` good, ``-`` bad."""
     return ["".join("?+-"[v + 1] for v in row) for row in votes.tolist()]
