@@ -12,6 +12,7 @@ from catalog import trends as ct
 from catalog.duck import AS_OF, sql
 from catalog.history import contexts, samples
 from catalog.registry import query
+from skyledger.functions.times import window_start
 from skyledger.operators import alerts as al
 from skyledger.operators import calendars as ca
 from skyledger.operators import compare as co
@@ -48,7 +49,7 @@ def detailed_trends(t):
 
 
 def calendar_trends(t):
-    since = NOW - timedelta(days=90)
+    since = window_start(NOW, 90)
     return ca.calendar_trend(t.calendar_observations(since, NOW), cl.routes(t), since, NOW)
 
 

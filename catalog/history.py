@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from catalog.duck import AS_OF, sql
 from catalog.registry import query
+from skyledger.functions.times import window_start
+from skyledger.operators.paging import page_ends
 from skyledger.operators import filters as fl
 from skyledger.operators import history as hi
 from skyledger.skew import fits_broadcast, join_checked
 from skyledger.sources.testdata import AS_OF as NOW
 
-YEAR_AGO = NOW - timedelta(days=365)
+YEAR_AGO = window_start(NOW, 365, high=365)
 SINCE = f"{AS_OF} - INTERVAL 365 DAY"
 
 
@@ -70,6 +71,15 @@ def history_hour(t):
     return hi.for_subscriptions(hi.history_buckets(minima, "hour", "branch_key"), rows)
 
 
+@query("history_auto", sql(f"""
+SELECT subscription_id, date_trunc('day', observed_at)::TIMESTAMP AS bucket, {_BUCKETS} FROM sample WHERE {_WINDOW}
+GROUP BY 1, 2"""))
+def history_auto(t):
+    """A window of more than 14 days gives days."""
+    rows, minima = samples(t)
+    return hi.for_subscriptions(hi.history_at(minima, "auto", 365, "branch_key"), rows)
+
+
 def _matching(t, condition):
     """Offers with the subscriptions of their query for which one condition holds."""
     features = fl.itinerary_features(t.itineraries(), t.segments())
@@ -153,6 +163,17 @@ def history_raw_page(t):
     return hi.for_subscriptions(hi.history_pages(minima, 5), rows)
 
 
+@query("history_raw_second_page", sql(f"""
+SELECT subscription_id, run_id, observed_at, price AS price_minor, page_row - 5 AS page_row, total > 10 AS has_more FROM (
+  SELECT *, count(*) OVER (PARTITION BY subscription_id) AS total,
+    row_number() OVER (PARTITION BY subscription_id ORDER BY observed_at, run_id) AS page_row
+  FROM sample WHERE {_WINDOW}) WHERE page_row BETWEEN 6 AND 10"""))
+def history_raw_second_page(t):
+    rows, minima = samples(t)
+    ends = page_ends(hi.history_pages(minima, 5), ["branch_key"], hi.HISTORY_ORDER)
+    return hi.for_subscriptions(hi.history_pages(minima, 5, ends), rows)
+
+
 @query("history_day_page", sql(f"""
 SELECT subscription_id, bucket, lowest_price_minor, page_row, total > 5 AS has_more FROM (
   SELECT *, count(*) OVER (PARTITION BY subscription_id) AS total,

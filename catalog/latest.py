@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from catalog.duck import AS_OF, sql
 from catalog.history import contexts, few_subscriptions
 from catalog.registry import query
+from skyledger.functions.times import window_start
+from skyledger.operators.paging import page_ends
 from skyledger.operators import calendars as ca
 from skyledger.operators import filters as fl
 from skyledger.operators import itineraries as it
@@ -68,6 +70,18 @@ def offer_page(t):
     return for_subscriptions(pages, rows)
 
 
+@query("offer_second_page", sql("""
+SELECT subscription_id, offer_id, total_price_minor, page_row - 3 AS page_row, total > 6 AS has_more FROM (
+  SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY total_price_minor, offer_id) AS page_row,
+    count(*) OVER (PARTITION BY subscription_id) AS total FROM latest_pass) WHERE page_row BETWEEN 4 AND 6""",
+    latest_run=_LATEST_RUN, latest_pass=_PASSING))
+def offer_second_page(t):
+    rows, passing = passing_latest(t)
+    ends = page_ends(la.offer_pages(passing, 3), ["branch_key"], la.OFFER_ORDER)
+    pages = la.offer_pages(passing, 3, ends).select("branch_key", "offer_id", "total_price_minor", "page_row", "has_more")
+    return for_subscriptions(pages, rows)
+
+
 @query("lowest_route_price", sql("""
 SELECT user_id, CASE WHEN count(DISTINCT f.currency) = 1 THEN min(total_price_minor) END AS lowest_price_minor,
   count(*) AS priced_routes
@@ -154,7 +168,7 @@ FROM (SELECT subscription_id, run_id, max(observed_at) AS observed_at,
   WHERE observed_at BETWEEN {AS_OF} - INTERVAL 90 DAY AND {AS_OF}
     AND (NOT round_trip OR total_price_minor IS NOT NULL) GROUP BY 1, 2) GROUP BY 1, 2""", route_dates=_ROUTE))
 def calendar_trend(t):
-    since = NOW - timedelta(days=90)
+    since = window_start(NOW, 90)
     return ca.calendar_trend(t.calendar_observations(since, NOW), routes(t), since, NOW)
 
 
@@ -173,6 +187,25 @@ def calendar_page(t):
     return pages.drop("observed_at", "run_id", "direct_verified")
 
 
+@query("calendar_second_page", sql("""
+SELECT query_id, currency, departure_date, return_date, lowest_price_minor, total_price_minor, page_row - 10 AS page_row,
+  total > 20 AS has_more
+FROM (SELECT s.*, count(*) OVER (PARTITION BY query_id) AS total,
+    row_number() OVER (PARTITION BY query_id ORDER BY departure_date, return_date) AS page_row
+  FROM calendar_snapshot s JOIN query q USING (query_id, currency)
+  WHERE departure_date BETWEEN DATE '1998-07-05' AND DATE '1998-08-20'
+    AND (return_date IS NOT NULL) = (trip_type = 'round_trip'))
+WHERE page_row BETWEEN 11 AND 20""", calendar_snapshot=_CALENDAR_SNAPSHOT))
+def calendar_second_page(t):
+    """One-way searches have no return dates: their cursors hold a null."""
+    snapshot = wr.upsert_calendar_snapshot(None, t.calendar_observations())
+    window = (date(1998, 7, 5), date(1998, 8, 20))
+    first = ca.calendar_pages(snapshot, t.queries(), *window, 10)
+    ends = first.where("has_more AND page_row = 10").select("query_id", "departure_date", "return_date")
+    pages = ca.calendar_pages(snapshot, t.queries(), *window, 10, cursors=ends)
+    return pages.drop("observed_at", "run_id", "direct_verified")
+
+
 @query("low_fare_calendar", sql("""
 SELECT query_id, currency, departure_date, strftime(departure_date, '%Y-%m') AS month, return_date,
   coalesce(total_price_minor, lowest_price_minor) AS price_minor

@@ -302,6 +302,28 @@ def scalar_functions(t):
         tm.offset_label(offset).alias("label"))
 
 
+@query("text_functions", sql(r"""
+SELECT itinerary_id, CASE WHEN l_linenumber % 3 = 0 THEN 'a,b,x y' ELSE 'b,c' || l_linenumber END AS tags,
+  '****' || right('0000' || l_suppkey, 4) AS masked, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE 'N ' || l_partkey END AS shown,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'u1,u2' ELSE 'u1,u2,u' || (l_linenumber + 10) END AS users,
+  'old' || l_linenumber || ',new' || l_partkey || ',' || l_suppkey AS merged
+FROM line"""))
+def text_functions(t):
+    """Odd spaces around names, repeated tags, lists that hold the item, maps that share a key."""
+    rows = t._lines()
+    tags = F.expr("""CASE WHEN l_linenumber % 3 = 0 THEN array('\u3000b', 'a ', '', 'x y', 'a')
+                     ELSE array(concat('c', l_linenumber), 'b') END""")
+    user = F.expr("CASE WHEN l_linenumber % 2 = 0 THEN 'u2' ELSE concat('u', l_linenumber + 10) END")
+    name = F.expr("CASE WHEN l_linenumber % 4 = 0 THEN ' \u3000' ELSE concat(' N \u00a0 ', l_partkey, '\t') END")
+    merged = tx.merged_map(
+        F.expr("map('a', concat('old', l_linenumber), 'b', 'old')"), F.expr("map('b', concat('new', l_partkey), 'c', cast(l_suppkey AS string))"))
+    return rows.select(
+        "itinerary_id", F.array_join(tx.clean_tags(tags), ",").alias("tags"),
+        tx.mask_text(F.expr("concat('+8613800', lpad(l_suppkey, 4, '0'))")).alias("masked"), tx.display_name(name).alias("shown"),
+        F.array_join(tx.append_unique(F.expr("array('u1', 'u2')"), user), ",").alias("users"),
+        F.concat_ws(",", merged["a"], merged["b"], merged["c"]).alias("merged"))
+
+
 @query("first_key", sql("""
 SELECT event_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS picked,
   event_type = 'view' AS present_but_null FROM event"""))

@@ -13,7 +13,7 @@ from skyledger.functions import times as tm
 from skyledger.operators import filters as fl
 from skyledger.operators import runs as ru
 from skyledger.operators import writes as wr
-from skyledger.operators.paging import first_pages
+from skyledger.operators.paging import first_pages, page_ends
 from skyledger.sources.testdata import AS_OF as NOW
 
 _VISIBLE = """SELECT DISTINCT s.user_id, r.* FROM run r JOIN sub s ON s.query_id = r.query_id {where}
@@ -81,6 +81,17 @@ def run_list_view(t):
     return ru.run_list_view(ru.run_pages(t.runs(), t.subscriptions(), 20), t.queries())
 
 
+@query("run_second_page", sql("""
+SELECT user_id, run_id, scheduled_at, page_row - 20 AS page_row, total > 40 AS has_more
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM page) WHERE page_row BETWEEN 21 AND 40""",
+    visible=_VISIBLE.format(where=""), page=_PAGE))
+def run_second_page(t):
+    first = ru.run_pages(t.runs(), t.subscriptions(), 20)
+    ends = page_ends(first, ["user_id"], ru.RUN_ORDER, descending=True)
+    pages = ru.run_pages(t.runs(), t.subscriptions(), 20, ends)
+    return pages.select("user_id", "run_id", "scheduled_at", "page_row", "has_more")
+
+
 def issues(t):
     return t.raw("lineitem").selectExpr(
         "l_orderkey AS run_id", "CASE WHEN l_returnflag = 'R' THEN 'failure' ELSE 'parse' END AS source",
@@ -252,12 +263,13 @@ def quota_usage(t):
     return ru.quota_usage(t.export_jobs())
 
 
-def _page_oracle(table: str, row_id: str, stamp: str, limit: int) -> str:
+def _page_oracle(table: str, row_id: str, stamp: str, limit: int, page: int = 1) -> str:
+    skipped = (page - 1) * limit
     return sql(f"""
-SELECT user_id, {row_id}, {stamp}, page_row, has_more FROM (
+SELECT user_id, {row_id}, {stamp}, page_row - {skipped} AS page_row, has_more FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {stamp} DESC, {row_id} DESC) AS page_row,
-    count(*) OVER (PARTITION BY user_id) > {limit} AS has_more FROM {table} WHERE {stamp} <= {AS_OF})
-WHERE page_row <= {limit}""")
+    count(*) OVER (PARTITION BY user_id) > {skipped + limit} AS has_more FROM {table} WHERE {stamp} <= {AS_OF})
+WHERE page_row BETWEEN {skipped + 1} AND {skipped + limit}""")
 
 
 def _newest_page(rows, row_id: str, stamp: str, limit: int):
@@ -271,6 +283,15 @@ def subscription_page(t):
     return _newest_page(t.subscriptions(), "subscription_id", "created_at", 20)
 
 
+@query("subscription_second_page", _page_oracle("sub", "subscription_id", "created_at", 20, 2))
+def subscription_second_page(t):
+    rows, keys = t.subscriptions().where(F.col("created_at") <= F.lit(NOW).cast("timestamp_ntz")), ["created_at", "subscription_id"]
+    first = first_pages(rows, ["user_id"], keys, 20, descending=True)
+    ends = page_ends(first, ["user_id"], keys, descending=True)
+    return first_pages(rows, ["user_id"], keys, 20, descending=True, cursors=ends).select(
+        "user_id", "subscription_id", "created_at", "page_row", "has_more")
+
+
 @query("event_page", _page_oracle("alert_event", "event_id", "created_at", 50))
 def event_page(t):
     return _newest_page(t.alert_events(), "event_id", "created_at", 50)

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from catalog.duck import AS_OF, sql
 from catalog.history import contexts, few_subscriptions, samples
 from catalog.registry import query
+from skyledger.functions.times import window_start
 from skyledger.operators import filters as fl
 from skyledger.operators import trends as tr
 from skyledger.operators.history import time_range
 from skyledger.sources.testdata import AS_OF as NOW
 
 DAYS = 90
-SINCE = NOW - timedelta(days=DAYS)
+SINCE = window_start(NOW, DAYS)
 FIRST, LAST = date(1998, 4, 1), date(1998, 6, 30)
 _IN_RANGE = f"observed_at BETWEEN {AS_OF} - INTERVAL {DAYS} DAY AND {AS_OF}"
 _DAILY_COLUMNS = """query_id, observation_date, currency, direct_only, lowest_price_minor, highest_price_minor,

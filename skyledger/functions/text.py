@@ -43,6 +43,24 @@ def clean_tags(values: Column, width: int = 40) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, lambda t: F.substring(t, 1, width))))
 
 
+def append_unique(values: Column, item: Column, most: int = 100) -> Column:
+    """A list with an item at its end, unless it holds the item or the item is null; the last ``most`` stay.
+
+    The bound belongs to the contract of the list.
+    """
+    known = F.coalesce(values, F.array().cast("array<string>"))
+    longer = F.when(item.isNull() | F.array_contains(known, item), known).otherwise(F.array_append(known, item))
+    return F.slice(longer, F.greatest(F.size(longer) - most + 1, F.lit(1)), F.lit(most))
+
+
+def merged_map(old: Column, new: Column) -> Column:
+    """Both maps in one; of a key that both have, the new value. A null map is empty."""
+    empty = F.create_map().cast("map<string,string>")
+    late = F.coalesce(new, empty)
+    kept = F.map_filter(F.coalesce(old, empty), lambda k, _: ~F.map_contains_key(late, k))
+    return F.map_concat(kept, late)
+
+
 def redact_shape(value: Column, width: int = 32) -> Column:
     """Shape of a text without its content: digits ``#``, letters ``a``."""
     head = F.substring(strip(value), 1, width)

@@ -176,8 +176,8 @@ def history_resolution(requested: str, days: int) -> str:
     return requested
 
 
-def check_days(days: int, low: int = 2, high: int = 90) -> int:
-    """Reject a window length outside its bounds."""
+def window_start(as_of: datetime, days: int, low: int = 2, high: int = 90) -> datetime:
+    """Where a window of some days begins; a length outside its bounds is refused."""
     if not low <= days <= high:
         raise ValueError(f"days must be between {low} and {high}")
-    return days
+    return as_of - timedelta(days=days)

@@ -75,9 +75,11 @@ def calendar_trend(observations: DataFrame, routes: DataFrame, since: datetime,
 
 def calendar_pages(
     snapshots: DataFrame, queries: DataFrame, start: date, end: date, limit: int,
-    return_start: date | None = None, return_end: date | None = None,
+    return_start: date | None = None, return_end: date | None = None, cursors: DataFrame | None = None,
 ) -> DataFrame:
-    """First page of the calendar of every query, by departure and return.
+    """A page of the calendar of every query, by departure and return.
+
+    ``cursors`` has ``query_id, departure_date, return_date`` of the last rows that were seen.
 
     Round trips list only dated returns, one-way searches only rows without one.
     """
@@ -92,8 +94,13 @@ def calendar_pages(
         rows = rows.where(F.col("return_date") >= F.lit(return_start))
     if return_end is not None:
         rows = rows.where(F.col("return_date") <= F.lit(return_end))
-    rows = rows.withColumn("return_key", F.coalesce("return_date", F.lit(NO_RETURN).cast("date")))
-    return first_pages(rows, ["query_id"], ["departure_date", "return_key"], limit).drop("return_key", "trip_type")
+    return_key = F.coalesce("return_date", F.lit(NO_RETURN).cast("date"))
+    if cursors is not None:
+        cursors = cursors.withColumn("return_key", return_key)
+    pages = first_pages(
+        rows.withColumn("return_key", return_key), ["query_id"], ["departure_date", "return_key"], limit, cursors=cursors
+    )
+    return pages.drop("return_key", "trip_type")
 
 
 def shown_price() -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.times import bucket_start
+from skyledger.functions.times import bucket_start, history_resolution
 from skyledger.operators.filters import itinerary_match, within
 from skyledger.operators.paging import first_pages
 from skyledger.skew import join_checked
@@ -112,14 +112,23 @@ def history_buckets(minima: DataFrame, resolution: str, *keys: str) -> DataFrame
     )
 
 
-def history_pages(minima: DataFrame, limit: int) -> DataFrame:
-    """The first page of raw samples of every branch, by time and run."""
-    return first_pages(minima, ["branch_key"], ["observed_at", "run_id"], limit)
+HISTORY_ORDER = ("observed_at", "run_id")
 
 
-def bucket_pages(buckets: DataFrame, limit: int) -> DataFrame:
-    """The first page of hour or day buckets of every branch."""
-    return first_pages(buckets, ["branch_key"], ["bucket"], limit)
+def history_at(minima: DataFrame, requested: str, days: int, *keys: str) -> DataFrame:
+    """Raw samples, or buckets of the resolution that was asked for or that fits the window."""
+    resolution = history_resolution(requested, days)
+    return minima if resolution == "raw" else history_buckets(minima, resolution, *keys)
+
+
+def history_pages(minima: DataFrame, limit: int, cursors: DataFrame | None = None) -> DataFrame:
+    """A page of raw samples of every branch, by time and run."""
+    return first_pages(minima, ["branch_key"], HISTORY_ORDER, limit, cursors=cursors)
+
+
+def bucket_pages(buckets: DataFrame, limit: int, cursors: DataFrame | None = None) -> DataFrame:
+    """A page of hour or day buckets of every branch."""
+    return first_pages(buckets, ["branch_key"], ["bucket"], limit, cursors=cursors)
 
 
 def for_subscriptions(per_branch: DataFrame, context_rows: DataFrame, how: str = "inner") -> DataFrame:

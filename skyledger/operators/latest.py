@@ -60,9 +60,12 @@ def offer_totals(passing: DataFrame) -> DataFrame:
     return passing.groupBy("branch_key").agg(F.count(F.lit(1)).alias("total"))
 
 
-def offer_pages(passing: DataFrame, limit: int) -> DataFrame:
-    """First page of every branch, cheapest first."""
-    return first_pages(passing, ["branch_key"], ["total_price_minor", "offer_id"], limit, most=100)
+OFFER_ORDER = ("total_price_minor", "offer_id")
+
+
+def offer_pages(passing: DataFrame, limit: int, cursors: DataFrame | None = None) -> DataFrame:
+    """A page of every branch, cheapest first."""
+    return first_pages(passing, ["branch_key"], OFFER_ORDER, limit, most=100, cursors=cursors)
 
 
 def market_snapshot(legs: DataFrame, snapshots: DataFrame, today: date, limit: int, days: int = 180) -> DataFrame:

@@ -40,14 +40,21 @@ def page(
 
 def first_pages(
     df: DataFrame, by: Sequence[str], keys: Sequence[str], limit: int, *,
-    descending: bool = False, most: int = 500,
+    descending: bool = False, most: int = 500, cursors: DataFrame | None = None,
 ) -> DataFrame:
-    """The first page of every group.
+    """The first page of every group, or the page behind each group's cursor.
 
+    ``cursors`` has one row per group that goes on, with the ``by`` and ``keys`` columns of
+    the last row that was seen (``page_ends``); groups without one have no page.
     The row-number bound lets Spark cut every group on the map side, so a large
     group sends at most ``limit + 1`` rows per input task.
     """
     check_limit(limit, most)
+    if cursors is not None:
+        seen = cursors.select(*by, F.struct(*keys).alias("__cursor"))
+        here = F.struct(*keys)
+        behind = here < F.col("__cursor") if descending else here > F.col("__cursor")
+        df = df.join(seen, list(by)).where(behind).drop("__cursor")
     order = Window.partitionBy(*by).orderBy(*_order(keys, descending))
     rows = df.withColumn("page_row", F.row_number().over(order)).where(F.col("page_row") <= limit + 1)
     return _mark(rows.drop("page_row"), by, keys, limit, descending)
@@ -64,6 +71,12 @@ def _mark(rows: DataFrame, by: Sequence[str], keys: Sequence[str], limit: int, d
     )
 
 
+def page_ends(pages: DataFrame, by: Sequence[str], keys: Sequence[str], *, descending: bool = False) -> DataFrame:
+    """The cursor of every group whose page is not its last."""
+    end = (F.min if descending else F.max)(F.struct(*keys)).alias("__end")
+    return pages.where("has_more").groupBy(*by).agg(end).select(*by, "__end.*")
+
+
 def newest(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The row with the greatest order values of every group, by aggregation."""
     best = F.max_by(F.struct(*values), F.struct(*order)).alias("__best")

@@ -108,13 +108,23 @@ def duration_percentiles(rows: DataFrame, value: str) -> DataFrame:
     )
 
 
-def run_pages(runs: DataFrame, subscriptions: DataFrame, limit: int) -> DataFrame:
-    """The newest visible runs of every user.
+RUN_ORDER = ("scheduled_at", "run_id")
 
-    A page of a user can only hold the newest runs of each query, so runs are cut
+
+def run_pages(
+    runs: DataFrame, subscriptions: DataFrame, limit: int, cursors: DataFrame | None = None
+) -> DataFrame:
+    """The newest visible runs of every user, or those behind each user's cursor.
+
+    A first page of a user can only hold the newest runs of each query, so runs are cut
     per query before they are joined to the users. On-demand runs are kept.
     """
-    keys = ["scheduled_at", "run_id"]
+    keys = list(RUN_ORDER)
+    if cursors is not None:
+        behind = runs.where(F.col(keys[0]) <= cursors.agg(F.max(keys[0])).first()[0]) if not cursors.isEmpty() else runs.limit(0)
+        return first_pages(
+            visible_runs(behind, subscriptions), ["user_id"], keys, limit, descending=True, most=100, cursors=cursors
+        )
     flagged = runs.withColumn("asked", F.size("on_demand_user_ids") > 0)
     recent = first_pages(flagged, ["query_id"], keys, limit + 1, descending=True).drop("page_row", "has_more")
     asked = flagged.where("asked").join(recent.select("run_id"), "run_id", "left_anti")

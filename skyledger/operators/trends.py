@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.money import average, percent_change
-from skyledger.functions.times import bucket_start, check_days, full_utc_days
+from skyledger.functions.times import bucket_start, full_utc_days
 from skyledger.operators.history import run_floor, run_minima, simple_minima, time_range
 from skyledger.operators.paging import page
 from skyledger.session import cut_lineage
