@@ -445,24 +445,25 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
         voted.join(people, "doc_id", "left")
         .groupBy(*[F.concat(x, kind).alias(kind) for x, kind in zip(marks, (JUNK, TOXIC))])
         .count()
-        .toPandas()
+        .toArrow()
     )
     # Of rows that share an id, the worst votes count for the sample.
     own_toxic = {}
-    drawn_votes = voted.join(F.broadcast(names.select("doc_id")), "doc_id", "left_semi").select("doc_id", TOXIC).toPandas()
-    for name, v in zip(drawn_votes["doc_id"], drawn_votes[TOXIC]):
+    drawn_votes = voted.join(F.broadcast(names.select("doc_id")), "doc_id", "left_semi").select("doc_id", TOXIC).toArrow()
+    for name, v in zip(drawn_votes.column("doc_id").to_pylist(), drawn_votes.column(TOXIC).to_pylist()):
         own_toxic[name] = max(own_toxic.get(name, ""), v)
     ids = got.column("doc_id").to_pylist()
     own = {JUNK: got.column(JUNK).to_pylist(), TOXIC: [own_toxic[i] for i in ids]}
     intervals = _intervals(m) if rows_got else np.zeros((0, len(MEASURES)), np.int64)
     scorers = {}
     for kind in (JUNK, TOXIC):
-        sums = counted.groupby(kind, sort=True)["count"].sum()
-        if not len(sums):
+        sums = counted.group_by(kind).aggregate([("count", "sum")]).sort_by(kind)
+        if not sums.num_rows:
             scorers[kind] = Scorer()
             continue
-        patterns = np.array([["?+-".index(c) - 1 for c in p] for p in sums.index], np.int8)
-        posterior = dict(zip(sums.index, estimate(patterns, sums.to_numpy().astype(float)).tolist()))
+        names_of = sums.column(kind).to_pylist()
+        patterns = np.array([["?+-".index(c) - 1 for c in p] for p in names_of], np.int8)
+        posterior = dict(zip(names_of, estimate(patterns, sums.column("count_sum").to_numpy().astype(float)).tolist()))
         votes = ["?+-"[p + 1] + v for p, v in zip(person[kind].tolist(), own[kind])]
         scorers[kind] = fit(features, rates, places, intervals, np.array([posterior[v] for v in votes]))
     return Model(scorers, lexica)
