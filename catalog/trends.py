@@ -12,6 +12,8 @@ from catalog.registry import query
 from skyledger.functions.times import window_start
 from skyledger.operators import filters as fl
 from skyledger.operators import trends as tr
+from skyledger.session import work_dir
+from skyledger.streaming import jobs
 from skyledger.operators.history import time_range
 from skyledger.sources.testdata import AS_OF as NOW
 
@@ -166,13 +168,21 @@ def route_summary(t):
 @query("verify_daily_trend", sql("""
 SELECT (SELECT count(*) FROM daily) AS expected_rows,
   (SELECT count(*) FROM daily WHERE observation_date < DATE '2001-01-01') AS stored_rows,
-  (SELECT count(*) FROM daily WHERE observation_date >= DATE '2001-01-01' OR query_id % 7 = 0) AS differences"""))
+  (SELECT count(*) FROM daily WHERE observation_date >= DATE '2001-01-01' OR query_id % 7 = 0) AS differences,
+  (SELECT count(*) FROM cover) AS expected_coverage_rows,
+  (SELECT count(*) FROM cover WHERE query_id % 5 > 0) AS stored_coverage_rows,
+  (SELECT count(*) FROM cover WHERE query_id % 5 = 0) AS coverage_differences""", cover=_COVERAGE))
 def verify_daily_trend(t):
-    expected = tr.daily_trend(t.observations())
+    """Stored tables with missing days, wrong counts and missing coverage, read back and compared with the rows."""
+    base = work_dir(t.spark, "verify")
     wrong = F.when(F.col("query_id") % 7 == 0, 1).otherwise(0)
-    stored = expected.where(F.col("observation_date") < F.lit(date(2001, 1, 1))).withColumn(
-        "sample_count", F.col("sample_count") + wrong)
-    return tr.verify_daily_trend(expected, stored)
+    rebuilt = tr.daily_trend(t.observations()).where(F.col("observation_date") < F.lit(date(2001, 1, 1)))
+    rebuilt.withColumn("sample_count", F.col("sample_count") + wrong).write.parquet(f"{base}/daily")
+    days = tr.tracked_days(t.subscriptions(), FIRST, LAST)
+    covered = tr.trend_coverage(days, t.observations(SINCE.replace(hour=0), NOW.replace(hour=23, minute=59)))
+    covered.where("query_id % 5 > 0").write.parquet(f"{base}/coverage")
+    rows = tr.verify_daily_trend(tr.daily_trend(t.observations()), jobs.read_daily(t.spark, f"{base}/daily"))
+    return rows.join(tr.verify_coverage(covered, t.spark.read.parquet(f"{base}/coverage")))
 
 
 @query("service_date_prices", sql("""

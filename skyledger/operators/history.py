@@ -75,16 +75,17 @@ def scanned_minima(
 
 
 def run_minima(
-    observations: DataFrame, features: DataFrame, branch_rows: DataFrame, *, small: bool | None = None
+    observations: DataFrame, features: DataFrame, branch_rows: DataFrame, *, small: bool | None = None,
+    wishes: bool | None = None,
 ) -> DataFrame:
     """One price sample per (branch, run): the cheapest price that passes.
 
     ``small`` tells that the branches are known to fit a broadcast. Itineraries and
-    segments are left alone when no branch asks for them.
+    segments are left alone when no branch asks for them, which ``wishes`` tells if it is known.
     """
     simple = simple_minima(run_floor(observations), branch_rows.where("NOT needs_scan"), small)
     wishing = branch_rows.where("needs_scan")
-    if wishing.isEmpty():
+    if wishing.isEmpty() if wishes is None else not wishes:
         return simple
     return simple.unionByName(scanned_minima(observations, features, wishing, small))
 

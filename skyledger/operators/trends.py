@@ -11,8 +11,7 @@ from skyledger.functions.money import average, percent_change
 from skyledger.functions.times import bucket_start, full_utc_days
 from skyledger.operators.history import run_floor, run_minima, simple_minima, time_range
 from skyledger.operators.paging import page
-from skyledger.session import cut_lineage
-from skyledger.skew import join_checked
+from skyledger.skew import BROADCAST_ROWS, join_checked
 
 DAILY_KEYS = ("query_id", "observation_date", "currency", "direct_only")
 DAILY_VALUES = (
@@ -138,18 +137,27 @@ def trend_contributions(
     """Partial daily points per branch from the cheapest exact source.
 
     Covered branches read daily rows for whole days and raw rows only for the two
-    edges of the range. All other branches read raw rows; when there are none, the
+    edges of the range. All other branches read the raw rows of their queries; when there are none, the
     raw rows of the whole range are not scanned. The time bounds of the edges are
     literals, so the edge scans prune to the months of their two days.
+    One job counts both kinds of branches while the plan is built.
     """
     start, end = full_utc_days(since, as_of)
-    routed = cut_lineage(split_by_coverage(branch_rows, coverage, since, as_of))
+    routed = split_by_coverage(branch_rows, coverage, since, as_of)
     covered, uncovered = routed.where("covered"), routed.where("NOT covered")
+    n_covered, n_uncovered, n_wishing = routed.agg(
+        F.count_if("covered"), F.count_if(~F.col("covered")), F.count_if("needs_scan")
+    ).first()
+    if small is None:
+        small = n_covered + n_uncovered <= BROADCAST_ROWS
     raw = time_range(observations, since, as_of)
     parts = []
-    if start == end or covered.isEmpty() or not uncovered.isEmpty():
-        parts.append(daily_points(run_minima(raw, features, uncovered, small=small)))
-    if start < end:
+    if n_uncovered or not n_covered:
+        asked = uncovered.select("query_id").distinct()
+        asked = F.broadcast(asked) if small else asked
+        rows = raw.join(asked, "query_id", "left_semi")
+        parts.append(daily_points(run_minima(rows, features, uncovered, small=small, wishes=n_wishing > 0)))
+    if start < end and n_covered:
         day = F.col("observation_date")
         rows = daily.where((day >= F.lit(start.date())) & (day < F.lit(end.date())))
         wanted = covered.select("branch_key", "query_id", "currency", "direct_only")
@@ -267,6 +275,12 @@ def verify_daily_trend(expected: DataFrame, stored: DataFrame, keys=DAILY_KEYS,
     )
 
 
+def verify_coverage(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """The same counts for coverage rows: a missing or stale row is a difference."""
+    counts = verify_daily_trend(expected, stored, ("query_id", "observation_date"), ("source_last_observed_at",))
+    return counts.toDF("expected_coverage_rows", "stored_coverage_rows", "coverage_differences")
+
+
 def service_date_prices(observations: DataFrame, legs: DataFrame) -> DataFrame:
     """Prices by travel date: lowest, count, first and last time seen."""
     outbound = legs.where("position = 0").select("query_id", F.col("departure_date").alias("service_date"))
