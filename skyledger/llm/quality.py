@@ -273,20 +273,32 @@ def _intervals(m: np.ndarray) -> np.ndarray:
     )
 
 
-def likelihood_ratio(
-    features: np.ndarray, owner: np.ndarray, target: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per feature: its hash, how many documents have it, and the statistic of being more frequent
-    among the (softly) bad ones; and for each entry the number of its feature."""
-    keys, index, counts = np.unique(features, return_inverse=True, return_counts=True)
-    bad = np.bincount(index, weights=target[owner], minlength=len(keys))
-    expected = counts * target.mean()
-    ratio = np.where(bad > expected, 2 * bad * np.log(np.maximum(bad, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-    return keys, counts, ratio, index
+@dataclass
+class Entries:
+    """Which features the documents of a sample have: entry by entry, document after document.
+
+    ``index`` numbers the ascending feature hashes ``keys``; ``rates`` are parts of all words.
+    """
+
+    keys: np.ndarray
+    index: np.ndarray
+    rates: np.ndarray
+    owner: np.ndarray
+
+    def sums(self, of_document: np.ndarray, rates: bool = False) -> np.ndarray:
+        """Per feature, the sum of a value over the documents that have it, or of the value times its rate."""
+        weights = of_document.astype(np.float32)[self.owner]
+        return np.bincount(self.index, weights=weights * self.rates if rates else weights, minlength=len(self.keys))
+
+
+def likelihood_ratio(bad: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """The statistic of features for being more frequent among bad documents than their ``share``."""
+    expected = counts * share
+    return np.where(bad > expected, 2 * bad * np.log(np.maximum(bad, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
 
 def fit(
-    features: np.ndarray, rates: np.ndarray, places: np.ndarray, intervals: np.ndarray, target: np.ndarray,
+    entries: Entries, intervals: np.ndarray, target: np.ndarray,
     *, ratio: float = 12.0, epochs: int = 40, l1: float = 1e-4, seed: int = 6,
 ) -> Scorer:
     """Logistic regression on soft labels by adaptive gradient steps with a lasso penalty.
@@ -296,13 +308,12 @@ def fit(
     rows = len(target)
     if not rows:
         return Scorer()
-    owner = np.repeat(np.arange(rows), np.diff(places))
-    keys, _, value, index = likelihood_ratio(features, owner, target)
+    value = likelihood_ratio(entries.sums(target), entries.sums(np.ones(rows)), float(target.mean()))
     kept = value >= ratio
     number = np.cumsum(kept) - 1
-    some = kept[index]
-    keys, width = keys[kept], int(kept.sum())
-    index, of, x = number[index[some]], owner[some], SCALE * rates[some]
+    some = kept[entries.index]
+    keys, width = entries.keys[kept], int(kept.sum())
+    index, of, x = number[entries.index[some]], entries.owner[some], SCALE * entries.rates[some].astype(float)
     first = np.searchsorted(of, np.arange(rows + 1))
     total = width + len(MEASURES) * INTERVALS
     weights, square = np.zeros(total), np.full(total, 1e-6)
@@ -409,22 +420,34 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
         .select("doc_id", "d.*", "person_junk", "person_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
         .toArrow()
     )
-    got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")])
     rows_got = got.num_rows
+    order = np.lexsort((got.column("n").to_numpy(), got.column("doc_id").to_numpy()))
     lists = got.column("features").combine_chunks()
-    features = np.asarray(lists.flatten(), dtype=np.int32).view(np.uint32)
     sizes = np.asarray(lists.value_lengths(), dtype=np.int64) if rows_got else np.zeros(0, np.int64)
-    places = np.append(0, np.cumsum(sizes)).astype(np.int64)
-    counts = np.asarray(got.column("counts").combine_chunks().flatten(), dtype=np.int32)
-    features, counts, places = _common(features, counts, places)
-    rates = counts / np.repeat(np.maximum(1, got.column("n").to_numpy()), np.diff(places))
+    features = np.asarray(lists.flatten(), dtype=np.int32).view(np.uint32)
+    kept = _common(features, rows_got)
+    features = features[kept]
+    counts = np.asarray(got.column("counts").combine_chunks().flatten(), dtype=np.int32)[kept]
+    small = got.drop_columns(["features", "counts"]).take(order)
+    del got, lists
+    sizes = _sums(kept, sizes)
+    places = np.append(0, np.cumsum(sizes))
+    entry = _gathered(places[order], sizes[order])
+    features, counts, sizes = features[entry], counts[entry], sizes[order]
+    del entry, kept
+    got = small.combine_chunks()
+    owner = np.repeat(np.arange(rows_got, dtype=np.int32), sizes)
+    rates = counts / np.maximum(1, got.column("n").to_numpy()).astype(np.float32)[owner]
+    keys = np.unique(features)
+    entries = Entries(keys, np.searchsorted(keys, features).astype(np.int32), rates.astype(np.float32), owner)
+    del features, counts, rates
     m = np.asarray(got.column("m").combine_chunks().flatten()).reshape(rows_got, len(MEASURES))
     person = {
         JUNK: got.column("person_junk").fill_null(-1).to_numpy().astype(np.int8),
         TOXIC: got.column("person_toxic").fill_null(-1).to_numpy().astype(np.int8),
     }
     half = got.column("half").to_numpy()
-    lexica = [_lexicon(features, rates, places, person[TOXIC], half == k) for k in (0, 1)]
+    lexica = [_lexicon(entries, person[TOXIC], half == k) for k in (0, 1)]
 
     shared = spark.sparkContext.broadcast(lexica)
 
@@ -465,20 +488,31 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
         patterns = np.array([["?+-".index(c) - 1 for c in p] for p in names_of], np.int8)
         posterior = dict(zip(names_of, estimate(patterns, sums.column("count_sum").to_numpy().astype(float)).tolist()))
         votes = ["?+-"[p + 1] + v for p, v in zip(person[kind].tolist(), own[kind])]
-        scorers[kind] = fit(features, rates, places, intervals, np.array([posterior[v] for v in votes]))
+        scorers[kind] = fit(entries, intervals, np.array([posterior[v] for v in votes]))
     return Model(scorers, lexica)
 
 
-def _common(
-    features: np.ndarray, counts: np.ndarray, places: np.ndarray, support: int = SUPPORT
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The entries of features that at least ``support`` documents have; most features are rarer."""
+def _common(features: np.ndarray, rows: int, support: int = SUPPORT) -> np.ndarray:
+    """Which entries are of features that at least ``support`` documents have; most features are rarer."""
     keys, documents = np.unique(features, return_counts=True)
-    keys = keys[documents >= min(support, len(places) - 1)]
-    kept = np.concatenate([np.zeros(0, bool), *(_within(features[a : a + (1 << 19)], keys) for a in range(0, len(features), 1 << 19))])
-    before = np.zeros(len(kept) + 1, np.int64)
-    np.cumsum(kept, out=before[1:])
-    return features[kept], counts[kept], before[places]
+    keys = keys[documents >= min(support, rows)]
+    parts = [_within(features[a : a + (1 << 19)], keys) for a in range(0, len(features), 1 << 19)]
+    return np.concatenate([np.zeros(0, bool), *parts])
+
+
+def _sums(kept: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many entries of each row are kept."""
+    out = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(kept, (np.cumsum(sizes) - sizes)[some], dtype=np.int64)
+    return out
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of entries, row after row."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 def _votes_text(votes: np.ndarray) -> list[str]:
@@ -486,20 +520,14 @@ def _votes_text(votes: np.ndarray) -> list[str]:
     return ["".join("?+-"[v + 1] for v in row) for row in votes.tolist()]
 
 
-def _lexicon(features: np.ndarray, rates: np.ndarray, places: np.ndarray, person: np.ndarray, use: np.ndarray) -> np.ndarray:
+def _lexicon(entries: Entries, person: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Words and beginnings that are far more frequent in what people call toxic."""
-    owner = np.repeat(np.arange(len(person)), np.diff(places))
-    known = use & (person >= 0)
-    if not (known & (person == 1)).any() or not (known & (person == 0)).any():
+    toxic, clean = use & (person == 1), use & (person == 0)
+    if not toxic.any() or not clean.any():
         return np.zeros(0, np.uint32)
-    some = known[owner]
-    number = np.cumsum(known) - 1
-    target = (person[known] == 1).astype(float)
-    of = number[owner[some]]
-    keys, _, ratio, index = likelihood_ratio(features[some], of, target)
-    bad = np.bincount(index, weights=rates[some] * target[of], minlength=len(keys)) / target.sum()
-    good = np.bincount(index, weights=rates[some] * (1 - target[of]), minlength=len(keys)) / (1 - target).sum()
-    return keys[(ratio >= LEXICON_RATIO) & (bad >= LEXICON_LIFT * good)]
+    ratio = likelihood_ratio(entries.sums(toxic), entries.sums(toxic | clean), toxic.sum() / (toxic | clean).sum())
+    bad, good = entries.sums(toxic, rates=True) / toxic.sum(), entries.sums(clean, rates=True) / clean.sum()
+    return entries.keys[(ratio >= LEXICON_RATIO) & (bad >= LEXICON_LIFT * good)]
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
