@@ -91,7 +91,47 @@ def op10_prefix_fingerprints(spark, sf_dir):
     return prefixhash.fingerprints(common.table(spark, sf_dir, "documents"))
 
 
-@query("op3_quality_rules")
+def _quality_sql() -> str:
+    """The measures, the tested cutoffs and the verdicts, from the operator's own parameters."""
+    from skyledger.llm.rules import CUTOFFS, LEVEL, MIN_WORDS, RISK
+
+    grid = ", ".join(f"('{rule}', {float(c)}::DOUBLE)" for rule, values in CUTOFFS.items() for c in values)
+    columns = {
+        "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"),
+        "repeat_share": ("n_repeat_words", "n_words"), "upper_share": ("n_upper", "word_chars"),
+        "long_words": ("word_chars", "n_words"),
+    }
+    shares = ", ".join(f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END AS {rule}" for rule, (a, b) in columns.items())
+    values = " ".join(f"WHEN '{rule}' THEN {rule}" for rule in columns)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce('s' || lang, 'n') AS stratum, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words FROM t),
+g AS (SELECT id, i, count(*) OVER (PARTITION BY id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n
+  FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+c AS (SELECT id, count(DISTINCT p) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY 1),
+l AS (SELECT id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS lines FROM t),
+m AS (SELECT doc_id, stratum, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(x) - length(regexp_replace(x, '\p{{Lu}}+', '', 'g')) AS n_upper
+  FROM w JOIN l USING (id) LEFT JOIN c USING (id)),
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {shares} FROM m),
+v AS (SELECT doc_id, stratum, base_failed, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, rule, cutoff,
+    CASE rule {values} END > cutoff AS above FROM r, (VALUES {grid}) AS grid(rule, cutoff)),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
+k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (above) AS k FROM v JOIN good USING (doc_id)
+  WHERE NOT base_failed GROUP BY ALL),
+p AS (SELECT *, (SELECT count(DISTINCT stratum) FROM k) * (SELECT count(*) FROM (VALUES {grid})) AS tests,
+    list_sum(list_transform(range(0, k + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) AS tail
+  FROM k WHERE k <= n * {RISK}),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE tail <= {LEVEL}::DOUBLE / tests GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.stratum = r.stratum AND CASE rule {values} END > cutoff) AS kept
+FROM r"""
+
+
+@query("op3_quality_rules", _quality_sql())
 def op3_quality_rules(spark, sf_dir):
     from skyledger.llm import rules
 
