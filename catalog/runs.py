@@ -25,7 +25,7 @@ def visible_runs(t):
     return fl.visible_runs(t.runs(), t.subscriptions()).select("user_id", "run_id")
 
 
-@query("collection_health", sql(f"""
+_HEALTH = f"""
 SELECT u.user_id, last_success_at, CASE WHEN terminal > 0 THEN good::DOUBLE / terminal::DOUBLE * 100.0 END AS success_rate_24h,
   next_scheduled_at
 FROM (SELECT user_id, min(next_due_at) FILTER (enabled) AS next_scheduled_at FROM sub GROUP BY 1) u
@@ -33,7 +33,10 @@ LEFT JOIN (SELECT user_id, max(finished_at) FILTER (status = 'succeeded' AND fin
     count(*) FILTER (recent AND status = 'succeeded') AS good, count(*) FILTER (recent) AS terminal
   FROM (SELECT *, coalesce(status IN ('succeeded','failed','canceled')
          AND finished_at BETWEEN {AS_OF} - INTERVAL 24 HOUR AND {AS_OF}, false) AS recent FROM visible)
-  GROUP BY 1) h USING (user_id)""", visible=_VISIBLE.format(where="AND s.enabled")))
+  GROUP BY 1) h USING (user_id)"""
+
+
+@query("collection_health", sql(_HEALTH, visible=_VISIBLE.format(where="AND s.enabled")))
 def collection_health(t):
     return ru.collection_health(t.runs(), t.subscriptions(), NOW)
 
@@ -67,20 +70,6 @@ _PAGE = """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY scheduled_
   count(*) OVER (PARTITION BY user_id) > 20 AS has_more FROM visible"""
 
 
-@query("run_list_view", sql("""
-SELECT user_id, run_id, page_row, has_more,
-  provider || ' · ' || trip_type || ' · ' || substr(query_hash, 1, 8) AS query_label, provider,
-  CASE status WHEN 'succeeded' THEN 'success' WHEN 'failed' THEN 'failed' WHEN 'canceled' THEN 'blocked'
-    ELSE 'running' END AS status,
-  coalesce(started_at, scheduled_at) AS started_at, finished_at, attempt,
-  date_diff('millisecond', started_at, finished_at) AS duration_ms,
-  CASE WHEN upstream_status = 'success_with_warnings' AND partial_data THEN 'partial_fare_data' END AS warning_code,
-  error_code
-FROM page JOIN query USING (query_id) WHERE page_row <= 20""", visible=_VISIBLE.format(where=""), page=_PAGE))
-def run_list_view(t):
-    return ru.run_list_view(ru.run_pages(t.runs(), t.subscriptions(), 20), t.queries())
-
-
 @query("run_second_page", sql("""
 SELECT user_id, run_id, scheduled_at, page_row - 20 AS page_row, total > 40 AS has_more
 FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM page) WHERE page_row BETWEEN 21 AND 40""",
@@ -100,12 +89,13 @@ def issues(t):
         "'decode' AS kind", "CASE WHEN l_linenumber % 2 = 0 THEN concat('text ', l_linenumber % 3) END AS message",
         "CASE WHEN l_suppkey % 2 = 0 THEN '$.data' END AS path",
         "CASE WHEN l_linestatus = 'O' THEN 'error' ELSE 'warning' END AS severity",
+        "CASE WHEN l_linenumber % 3 > 0 THEN concat('list', repeat('x', 30 * l_linenumber)) END AS observed_type",
         "CASE WHEN l_partkey % 3 = 0 THEN 'True' WHEN l_partkey % 3 = 1 THEN 'false' END AS retryable",
     )
 
 
-@query("run_diagnostics", sql("""
-SELECT run_id, code, message, path, severity, retryable, from_last FROM (
+_DIAGNOSTICS = """
+SELECT run_id, code, message, path, severity, observed_type, retryable, from_last FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY late DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC,
       l_quantity DESC) AS from_last
   FROM (SELECT l_orderkey AS run_id, coalesce('code_' || nullif(l_linenumber, 5) % 4, 'decode') AS code,
@@ -114,15 +104,56 @@ SELECT run_id, code, message, path, severity, retryable, from_last FROM (
       CASE WHEN l_suppkey % 2 = 0 THEN '$.data' END AS path, l_returnflag = 'R' AS late,
       CASE WHEN l_linestatus = 'O' OR l_returnflag = 'R' THEN 'error' ELSE 'warning' END AS severity,
       CASE WHEN l_partkey % 3 = 0 THEN true WHEN l_partkey % 3 = 1 THEN false END AS retryable,
+      CASE WHEN l_linenumber % 3 > 0 THEN substr('list' || repeat('x', 30 * l_linenumber), 1, 120) END AS observed_type,
       l_linenumber, l_partkey, l_suppkey, l_quantity
     FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY run_id, code, message, path
       ORDER BY late DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1))
-WHERE from_last <= 20"""))
+WHERE from_last <= 20"""
+
+
+@query("run_diagnostics", sql(_DIAGNOSTICS))
 def run_diagnostics(t):
     return ru.run_diagnostics(issues(t)).withColumn("from_last", F.col("from_last").cast("bigint"))
 
 
+@query("run_list_view", sql("""
+SELECT user_id, run_id, page_row, has_more,
+  provider || ' · ' || trip_type || ' · ' || substr(query_hash, 1, 8) AS query_label, provider,
+  CASE status WHEN 'succeeded' THEN 'success' WHEN 'failed' THEN 'failed' WHEN 'canceled' THEN 'blocked'
+    ELSE 'running' END AS status,
+  coalesce(started_at, scheduled_at) AS started_at, finished_at, attempt,
+  date_diff('millisecond', started_at, finished_at) AS duration_ms,
+  CASE WHEN upstream_status = 'success_with_warnings' AND partial_data THEN 'partial_fare_data' END AS warning_code,
+  error_code, max_attempts, upstream_status, schema_fingerprint, coalesce(c, 0) AS calendar_count,
+  coalesce(i, 0) AS itinerary_count, coalesce(i, 0) AS offer_count, diagnostics, last_success_at, success_rate_24h,
+  next_scheduled_at
+FROM page JOIN query USING (query_id) JOIN health USING (user_id)
+LEFT JOIN (SELECT run_id, count(*) AS c FROM calobs GROUP BY 1) USING (run_id)
+LEFT JOIN (SELECT run_id, count(*) AS i FROM offer GROUP BY 1) USING (run_id)
+LEFT JOIN (SELECT run_id, string_agg(code || ':' || severity, ',' ORDER BY from_last DESC) AS diagnostics
+  FROM diagnostic GROUP BY 1) USING (run_id)
+LEFT JOIN (SELECT event_id // 5 AS run_id, min('shape' || event_type) AS schema_fingerprint FROM event GROUP BY 1) USING (run_id)
+WHERE page_row <= 20""", visible=_VISIBLE.format(where=""), page=_PAGE, diagnostic=_DIAGNOSTICS,
+    visible_enabled=_VISIBLE.format(where="AND s.enabled"), health=_HEALTH.replace("visible)", "visible_enabled)")))
+def run_list_view(t):
+    """Counts, diagnostics and the header are joined to the pages only."""
+    pages = ru.run_pages(t.runs(), t.subscriptions(), 20)
+    listed = pages.select("run_id").distinct()
+
+    def of_pages(rows):
+        return rows.join(listed, "run_id", "left_semi")
+
+    counts = wr.run_summary_counts(
+        of_pages(t.runs()), of_pages(t.calendar_observations()), of_pages(t.itineraries()), of_pages(t.offers()),
+        of_pages(t.observations()))
+    shapes = t.events().selectExpr("event_id div 5 AS run_id", "event_type").groupBy("run_id").agg(
+        F.min(F.concat(F.lit("shape"), "event_type")).alias("schema_fingerprint"))
+    return ru.run_list_view(
+        pages, t.queries(), counts.drop("observation_count"), of_pages(shapes), ru.run_diagnostics(of_pages(issues(t))),
+        ru.collection_health(t.runs(), t.subscriptions(), NOW))
+
+
 # Captured payloads, one per event, in five forms; one of them is no JSON.
 CAPTURED = (
     "event_id", "observed_at", "'alpha' AS provider", "concat('/search/', query_id % 3) AS endpoint",

@@ -132,10 +132,22 @@ def run_pages(
     return first_pages(visible_runs(kept, subscriptions), ["user_id"], keys, limit, descending=True, most=100)
 
 
-def run_list_view(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Public columns of a page of runs."""
+def run_list_view(
+    pages: DataFrame, queries: DataFrame, counts: DataFrame, shapes: DataFrame, diagnostics: DataFrame, health: DataFrame
+) -> DataFrame:
+    """Public columns of a page of runs, with what each run has stored and its user's health header.
+
+    ``counts`` (stored rows), ``shapes`` (``schema_fingerprint``) and ``diagnostics`` are asked for
+    the runs of the pages only.
+    """
     known = queries.select("query_id", "provider", "trip_type", "query_hash")
-    joined = pages.join(known, "query_id", "left")
+    listed = pages.select("run_id").distinct()
+    told = (
+        diagnostics.join(listed, "run_id", "left_semi").groupBy("run_id")
+        .agg(F.reverse(F.array_sort(F.collect_list(F.struct("from_last", "code", "severity")))).alias("diagnostics"))
+    )
+    stored = listed.join(counts, "run_id", "left").join(shapes, "run_id", "left").join(told, "run_id", "left")
+    joined = pages.join(known, "query_id", "left").join(stored, "run_id", "left").join(health, "user_id", "left")
     return joined.select(
         "user_id", "run_id", "page_row", "has_more",
         query_label(F.col("provider"), F.col("trip_type"), F.col("query_hash")).alias("query_label"),
@@ -144,6 +156,10 @@ def run_list_view(pages: DataFrame, queries: DataFrame) -> DataFrame:
         F.coalesce("started_at", "scheduled_at").alias("started_at"), "finished_at", "attempt",
         run_duration_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"),
         warning_code(F.col("upstream_status"), F.col("partial_data")).alias("warning_code"), "error_code",
+        "max_attempts", "upstream_status", "schema_fingerprint",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("calendar_count", "itinerary_count", "offer_count")],
+        F.array_join(F.transform("diagnostics", lambda d: F.concat(d["code"], F.lit(":"), d["severity"])), ",").alias("diagnostics"),
+        "last_success_at", "success_rate_24h", "next_scheduled_at",
     )
 
 
@@ -159,15 +175,16 @@ def run_diagnostics(issues: DataFrame, most: int = 20) -> DataFrame:
         F.substring("path", 1, 240).alias("path"),
         F.when((F.col("severity") == "error") | (F.col("source") == "failure"), "error")
         .otherwise("warning").alias("severity"),
+        F.substring("observed_type", 1, 120).alias("observed_type"),
         F.when(flag == "true", True).when(flag == "false", False).alias("retryable"),
         F.struct((F.col("source") == "failure").alias("late"), "seq").alias("place"),
     )
     last = rows.groupBy("run_id", "code", "message", "path").agg(
-        F.max_by(F.struct("severity", "retryable"), "place").alias("v"), F.max("place").alias("place")
+        F.max_by(F.struct("severity", "observed_type", "retryable"), "place").alias("v"), F.max("place").alias("place")
     )
     kept = first_pages(last, ["run_id"], ["place"], most, descending=True, most=100)
     backwards = F.col("page_row")
-    return kept.select("run_id", "code", "message", "path", "v.severity", "v.retryable",
+    return kept.select("run_id", "code", "message", "path", "v.severity", "v.observed_type", "v.retryable",
                        backwards.alias("from_last"))
 
 
