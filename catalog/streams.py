@@ -59,8 +59,8 @@ QUALIFY row_number() OVER (PARTITION BY query_id, currency, is_direct
   ORDER BY observed_at DESC, run_id DESC, total_price_minor, event_id) = 1""", o=_OBS))
 def stream_latest_snapshot(t):
     out, checkpoint = place(t, "snapshot")
-    jobs.latest_snapshots(observations(t), out, checkpoint)
-    return jobs.resolve_snapshots(t.spark.read.parquet(out)).drop("offer_fingerprint", "itinerary_id", "offer_id")
+    jobs.latest_snapshots(landed(t, observations), out, checkpoint)
+    return jobs.read_merged(t.spark, out).drop("offer_fingerprint", "itinerary_id", "offer_id")
 
 
 @query("stream_daily_trend", sql("""
@@ -89,8 +89,8 @@ def stream_hourly_history(t):
     return jobs.read_hourly(t.spark, f"{out}/hourly")
 
 
-def state_events(t):
-    return events(t).selectExpr("event_id", "observed_at", "query_id", "event_id div 5 AS run_id", "event_type AS state")
+def state_events(t, raw=None):
+    return events(t, raw).selectExpr("event_id", "observed_at", "query_id", "event_id div 5 AS run_id", "event_type AS state")
 
 
 @query("stream_run_states", sql("""
@@ -109,8 +109,8 @@ SELECT event_id // 5 AS run_id, event_type AS state, observed_at FROM event
 QUALIFY row_number() OVER (PARTITION BY event_id // 5 ORDER BY observed_at DESC, event_id DESC) = 1"""))
 def latest_run_state(t):
     out, checkpoint = place(t, "latest-state")
-    jobs.run_states(state_events(t), out, checkpoint)
-    return jobs.resolve_run_states(t.spark.read.parquet(out))
+    jobs.run_states(landed(t, state_events), out, checkpoint)
+    return jobs.read_merged(t.spark, out).drop("event_id")
 
 
 @query("stream_shape_drift", sql("SELECT DISTINCT endpoint, shape_fingerprint FROM shape", shape=cr._SHAPES))

@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skyledger.functions.payload import shape_fingerprint
 from skyledger.functions.times import bucket_start
 from skyledger.operators.history import RUN_KEYS
-from skyledger.operators.paging import newest
+from skyledger.operators.paging import least, newest
 from skyledger.operators.trends import DAILY_SCHEMA, daily_trend, trend_coverage
 from skyledger.operators.writes import PRICE_KEYS, append_new, price_batch
 from skyledger.sources.observations import month_of
@@ -112,34 +112,69 @@ def ingest(captures: DataFrame, path: str, checkpoint: str, normalize: Callable[
 # -- newest wins -------------------------------------------------------------------
 
 
+def merge_batch(rows: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame],
+                buckets: int = 16) -> None:
+    """Merge a batch into a keyed table: one row per key, however many batches there were.
+
+    Keys are dealt into ``buckets`` folders. A batch writes a new version of each bucket it touches,
+    made from the newest version and its own rows, and drops all versions before that one. Readers
+    take the newest version of each bucket, so a batch that dies leaves the old one. Merging
+    the same rows again changes nothing, which makes a repeat harmless.
+    """
+    spark = rows.sparkSession
+    numbered = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    schema = T.StructType([*numbered.schema.fields, T.StructField("version", T.LongType())])
+    stored = read_or_empty(spark, path, schema)
+    touched = numbered.select("bucket").distinct()
+    held = stored.groupBy("bucket").agg(F.max("version").alias("version"))
+    # One row per bucket: a list with a fixed bound.
+    versions = {r.bucket: r.version for r in held.join(touched, "bucket", "left_semi").collect()}
+    current = stored.join(F.broadcast(held), ["bucket", "version"], "left_semi").join(touched, "bucket", "left_semi")
+    merged = merge(current.drop("version").unionByName(numbered))
+    number = max(versions.values(), default=0) + 1
+    merged.withColumn("version", F.lit(number).cast("bigint")).write.mode("append").partitionBy("bucket", "version").parquet(path)
+    for bucket, version in versions.items():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            if int(status.getPath().getName().removeprefix("version=")) < version:
+                files.delete(status.getPath(), True)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every bucket."""
+    stored = spark.read.parquet(path)
+    held = stored.groupBy("bucket").agg(F.max("version").alias("version"))
+    return stored.join(F.broadcast(held), ["bucket", "version"], "left_semi").drop("bucket", "version")
+
+
 def latest_snapshots(observations: DataFrame, path: str, checkpoint: str) -> None:
-    """Each batch adds its reduced snapshot rows; reading picks the newest."""
-    run_available(
-        observations.writeStream.foreachBatch(lambda batch, n: write_batch(price_batch(batch), path, checkpoint, n)),
-        checkpoint,
-    )
+    """The newest cheapest offer per query, currency and kind, merged batch by batch."""
+    values = ["observed_at", "run_id", "total_price_minor", "offer_fingerprint", "itinerary_id", "offer_id"]
 
+    def merge(rows: DataFrame) -> DataFrame:
+        # Of one run in two batches the cheaper offer stays.
+        cheapest = least(rows, [*PRICE_KEYS, "bucket", "observed_at", "run_id"], ["total_price_minor", "offer_fingerprint"],
+                         ["total_price_minor", "offer_fingerprint", "itinerary_id", "offer_id"])
+        return newest(cheapest, [*PRICE_KEYS, "bucket"], ["observed_at", "run_id"], values)
 
-def resolve_snapshots(rows: DataFrame) -> DataFrame:
-    """Newest or equal wins, by observation time and then by run and batch."""
-    values = [c for c in rows.columns if c not in (*PRICE_KEYS, *BATCH_COLUMNS)]
-    return newest(rows, PRICE_KEYS, ["observed_at", "run_id", "batch_id"], values)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(price_batch(batch), path, list(PRICE_KEYS), merge)
+
+    run_available(observations.writeStream.foreachBatch(step), checkpoint)
 
 
 def run_states(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Each batch adds the newest state per run that it has seen."""
+    """The newest state of every run, merged batch by batch."""
+    order = ["observed_at", "event_id"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_batch(newest(batch, ["run_id"], ["observed_at", "event_id"], ["state", "observed_at", "event_id"]),
-                    path, checkpoint, batch_id)
+        states = newest(batch, ["run_id"], order, ["state", *order])
+        merge_batch(states, path, ["run_id"], lambda rows: newest(rows, ["run_id", "bucket"], order, ["state", *order]))
 
     run_available(events.writeStream.foreachBatch(step), checkpoint)
 
 
-def resolve_run_states(rows: DataFrame) -> DataFrame:
-    return newest(rows, ["run_id"], ["observed_at", "event_id"], ["state", "observed_at"])
-
-
 # -- daily rows and hourly buckets ---------------------------------------------------
 
 
