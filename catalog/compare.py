@@ -121,6 +121,39 @@ def comparison_snapshot(t):
     return snapshot(t)
 
 
+_SERIES = """(SELECT subscription_id, string_agg(strftime(bucket, '%Y-%m-%d') || ':' || low, ',' ORDER BY bucket)
+    FILTER (bucket >= {as_of}::DATE - trend_days::INT) AS points FROM {source} JOIN view_item USING (subscription_id)
+    GROUP BY subscription_id)"""
+_CALENDAR_DAYS = f"""
+SELECT subscription_id, observed_at::DATE AS bucket, min(price)::BIGINT AS low
+FROM (SELECT subscription_id, run_id, max(observed_at) AS observed_at,
+        min(CASE WHEN round_trip THEN total_price_minor ELSE lowest_price_minor END) AS price
+  FROM route_dates r JOIN calobs o ON o.query_id = r.query_id AND o.currency = r.currency
+    AND o.departure_date = r.departure_date AND o.return_date IS NOT DISTINCT FROM r.return_date
+  WHERE observed_at BETWEEN {AS_OF} - INTERVAL 90 DAY AND {AS_OF}
+    AND (NOT round_trip OR total_price_minor IS NOT NULL) GROUP BY 1, 2) GROUP BY 1, 2"""
+
+
+@query("comparison_series", sql(f"""
+SELECT view_id, v.position, v.subscription_id, origin, destination, l.departure_date, return_date,
+  coalesce(d.points, '') AS detailed_points, coalesce(k.points, '') AS calendar_points
+FROM view_item v JOIN context c USING (subscription_id)
+LEFT JOIN (SELECT query_id, arg_min(origin, position) AS origin, arg_min(destination, position) AS destination,
+    arg_min(departure_date, position) AS departure_date, max(departure_date) FILTER (position = 1) AS return_date
+  FROM leg GROUP BY 1) l USING (query_id)
+LEFT JOIN {_SERIES.format(as_of=AS_OF, source="detail")} d USING (subscription_id)
+LEFT JOIN {_SERIES.format(as_of=AS_OF, source="calendar_day")} k USING (subscription_id)""",
+    detail=_DETAIL, route_dates=cl._ROUTE, calendar_day=_CALENDAR_DAYS))
+def comparison_series(t):
+    rows = re.comparison_series(
+        t.comparison_items(), contexts(t), t.legs(), detailed_trends(t), calendar_trends(t), NOW)
+    for name in ("detailed_points", "calendar_points"):
+        text = F.transform(name, lambda x: F.concat(
+            F.date_format(x["bucket"], "yyyy-MM-dd"), F.lit(":"), x["lowest_price_minor"].cast("string")))
+        rows = rows.withColumn(name, F.array_join(text, ","))
+    return rows
+
+
 def _place(mode: str) -> str:
     column, descending = co.SORTS[mode]
     order = "position" if column is None else f"{column} {'DESC' if descending else 'ASC'} NULLS LAST, position"
@@ -165,6 +198,33 @@ def dashboard_overview(t):
         la.lowest_route_price(latest), tr.dashboard_change(minima, rows, "CNY", NOW))
 
 
+@query("dashboard_view", sql(f"""
+SELECT s.user_id, active_subscriptions, coalesce(trend, '') AS trend, coalesce(routes, '') AS routes
+FROM (SELECT user_id, count(*) FILTER (enabled) AS active_subscriptions FROM sub GROUP BY 1) s
+LEFT JOIN (SELECT user_id, string_agg(strftime(bucket, '%Y-%m-%d') || ':' || low || ':' || n, ',' ORDER BY bucket) AS trend
+  FROM (SELECT user_id, observed_at::DATE AS bucket, min(price)::BIGINT AS low, count(*) AS n FROM branch_sample GROUP BY ALL)
+  GROUP BY 1) USING (user_id)
+LEFT JOIN (SELECT user_id, string_agg(subscription_id || ':' || coalesce(low::VARCHAR, '-') || ':' || n, ',' ORDER BY subscription_id)
+    AS routes
+  FROM (SELECT c.user_id, c.subscription_id, min(price)::BIGINT AS low, count(price) AS n
+    FROM context c LEFT JOIN (SELECT * FROM sample WHERE {ct._IN_RANGE}) p USING (subscription_id) GROUP BY ALL)
+  GROUP BY 1) USING (user_id)""", branch_sample=ct._BRANCH_SAMPLE))
+def dashboard_view(t):
+    """One set of priced points gives the trend of a user and the numbers of the routes."""
+    rows, points = ct.raw_points(t)
+    _, minima = samples(t, NOW - timedelta(hours=48), NOW)
+    owners = rows.select("subscription_id", "user_id")
+    routes = tr.route_summary(points, minima, rows, NOW).join(owners, "subscription_id")
+    counts = ru.subscription_counts(t.subscriptions()).select("user_id", "active_subscriptions")
+    view = re.dashboard_view(counts, tr.dashboard_trend(points, rows, "CNY"), routes)
+    day = F.transform("trend", lambda x: F.concat_ws(
+        ":", F.date_format(x["bucket"], "yyyy-MM-dd"), x["lowest_price_minor"].cast("string"), x["sample_count"].cast("string")))
+    route = F.transform("routes", lambda x: F.concat_ws(
+        ":", x["subscription_id"].cast("string"), F.coalesce(x["minimum_price_minor"].cast("string"), F.lit("-")),
+        x["sample_count"].cast("string")))
+    return view.select("user_id", "active_subscriptions", F.array_join(day, ",").alias("trend"), F.array_join(route, ",").alias("routes"))
+
+
 @query("subscription_view", sql(f"""
 SELECT user_id, subscription_id, page_row, trip_type, max_stops::BIGINT AS max_stops, target_price_minor, legs FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, subscription_id DESC) AS page_row

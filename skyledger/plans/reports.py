@@ -49,6 +49,39 @@ def comparison_snapshot(
     )
 
 
+def comparison_series(
+    items: DataFrame, context_rows: DataFrame, legs: DataFrame, detailed: DataFrame, calendar: DataFrame, as_of: datetime
+) -> DataFrame:
+    """Where every route of a view goes and when, and both its series over the view's trend days.
+
+    A series has one point per day at most, so the arrays are bounded by the longest window.
+    """
+    place = F.struct("origin", "destination", "departure_date")
+    ends = legs.groupBy("query_id").agg(
+        F.min_by(place, "position").alias("out"), F.max(F.when(F.col("position") == 1, F.col("departure_date"))).alias("return_date")
+    )
+    routes = (
+        items.select("view_id", "position", "subscription_id", "trend_days")
+        .join(context_rows.select("subscription_id", "query_id"), "subscription_id")
+        .join(ends, "query_id", "left")
+        .select("view_id", "position", "subscription_id", "trend_days", "out.*", "return_date")
+    )
+    first = F.date_sub(F.lit(as_of).cast("date"), F.col("trend_days").cast("int"))
+    for name, points in (("detailed_points", detailed), ("calendar_points", calendar)):
+        points = points.select("subscription_id", "bucket", "lowest_price_minor")
+        routes = attach(routes, points, "subscription_id", "bucket", ["lowest_price_minor"], name)
+        routes = routes.withColumn(name, F.filter(name, lambda x: x["bucket"].cast("date") >= first))
+    return routes.drop("trend_days")
+
+
+def dashboard_view(overview: DataFrame, trend: DataFrame, routes: DataFrame) -> DataFrame:
+    """The headline numbers of a user with the trend of all routes and each route's numbers, in order."""
+    with_trend = attach(overview, trend, "user_id", "bucket", ["lowest_price_minor", "sample_count"], "trend")
+    return attach(
+        with_trend, routes, "user_id", "subscription_id", ["minimum_price_minor", "sample_count", "price_change_percent"], "routes"
+    )
+
+
 def dashboard_overview(
     counts: DataFrame, health: DataFrame, lowest: DataFrame, change: DataFrame
 ) -> DataFrame:
