@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.duck import AS_OF, sql
-from catalog.history import contexts, few_subscriptions
+from catalog.history import contexts
 from catalog.registry import query
 from skyledger.operators import alerts as al
 from skyledger.operators import delivery as de
 from skyledger.operators import filters as fl
 from skyledger.operators.paging import first_pages
+from skyledger.skew import fits_broadcast
 from skyledger.sources.testdata import AS_OF as NOW
 
 # The SQL answer computes each rule on its own, run by run.
@@ -63,12 +64,20 @@ QUALIFY cooldown_seconds = 0 OR row_number() OVER (PARTITION BY rule_id ORDER BY
 _EVENTS = f"SELECT * FROM ({_EVENTS}) WHERE NOT {_TOLD}"
 
 
-def history(t):
-    """Rules with their wishes, and the priced run history of their branches."""
+def history(t, asked=None):
+    """Rules with their wishes, and the priced run history of their branches; with ``asked`` runs,
+    only of queries that have one, and answered for those runs."""
     rules = al.rule_contexts(t.alert_rules(), contexts(t))
-    features = fl.itinerary_features(t.itineraries(), t.segments())
-    best = al.best_offers(t.observations(), features, al.rule_branches(rules), small=few_subscriptions(t))
-    return rules, al.previous_minimum(best, al.rule_windows(rules))
+    observations, itineraries, segments = t.observations(), t.itineraries(), t.segments()
+    if asked is not None:
+        due = asked.select("query_id").distinct()
+        rules = rules.join(due, "query_id", "left_semi")
+        observations, itineraries, segments = (x.join(due, "query_id", "left_semi") for x in (observations, itineraries, segments))
+    # Rules are counted here: a subscription may have many.
+    branches = al.rule_branches(rules)
+    features = fl.itinerary_features(itineraries, segments)
+    best = al.best_offers(observations, features, branches, small=fits_broadcast(branches))
+    return rules, al.previous_minimum(best, al.rule_windows(rules), asked)
 
 
 @query("alert_pending_runs", sql("SELECT run_id, finished_at FROM run WHERE status = 'succeeded' AND NOT evaluated"))
@@ -87,7 +96,7 @@ def alert_previous_minimum(t):
 
 
 def evaluated(t):
-    rules, rows = history(t)
+    rules, rows = history(t, al.pending_runs(t.runs()))
     return al.evaluate_alerts(rules, rows, t.runs())
 
 

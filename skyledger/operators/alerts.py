@@ -85,8 +85,8 @@ def _running(order):
     return order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _days_low(days: DataFrame) -> DataFrame:
-    """Lowest daily price over the whole days of each look-back.
+def _days_low(days: DataFrame, asked_days: DataFrame) -> DataFrame:
+    """Lowest daily price over the whole days of each look-back that ends at one of ``asked_days``.
 
     A look-back of N days holds the N - 1 whole days before the day itself. The
     days are cut into blocks of that length: every look-back then is the end of
@@ -95,15 +95,15 @@ def _days_low(days: DataFrame) -> DataFrame:
     """
     whole = F.col("window_days") - 1
     block = F.when(F.col("window_days").isNull(), F.lit(0)).otherwise(F.floor(F.col("place") / whole))
-    usable = days.where("window_days IS NULL OR window_days > 1")
+    usable, asked = (rows.where("window_days IS NULL OR window_days > 1") for rows in (days, asked_days))
     keys = ["branch_key", "window_days"]
     none = F.lit(None).cast("bigint")
     data = usable.select(*keys, F.col("number").alias("place"), "day_low", none.alias("ends"), none.alias("starts"))
-    ends = usable.select(
+    ends = asked.select(
         *keys, (F.col("number") - 1).alias("place"), none.alias("day_low"), F.col("number").alias("ends"),
         none.alias("starts"),
     )
-    starts = usable.where("window_days IS NOT NULL").select(
+    starts = asked.where("window_days IS NOT NULL").select(
         *keys, (F.col("number") - whole).alias("place"), none.alias("day_low"), none.alias("ends"),
         F.col("number").alias("starts"),
     )
@@ -118,9 +118,11 @@ def _days_low(days: DataFrame) -> DataFrame:
     return answered.groupBy(*keys, F.coalesce("ends", "starts").alias("number")).agg(F.min("low").alias("days_low"))
 
 
-def previous_minimum(best: DataFrame, windows: DataFrame) -> DataFrame:
+def previous_minimum(best: DataFrame, windows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Lowest earlier price before every run of a branch, strictly before it.
 
+    ``asked`` (``run_id``) bounds the answer to some runs: other runs then count with their prices, but
+    only the days on which an asked run or its look-back begins are walked run by run.
     ``windows`` names the look-back in days per branch (null means no bound). A
     look-back is the same day up to the run, whole days, and a partial first day.
     Running minima are kept per branch and day and, for whole days, over one row
@@ -130,21 +132,32 @@ def previous_minimum(best: DataFrame, windows: DataFrame) -> DataFrame:
     price = F.col("price_minor")
     number = F.datediff(F.to_date("observed_at"), F.lit("1970-01-01").cast("date")).cast("bigint")
     # Read five times below, so it is written once instead of being priced again.
-    runs = cut_lineage(best.join(windows, "branch_key").withColumn("number", number))
-    own = runs.select(*keys, "run_id", "number", F.col("observed_at").alias("at"), price.alias("price"),
-                      F.lit(False).alias("probe"))
+    rows = best.join(windows, "branch_key").withColumn("number", number)
+    if asked is None:
+        rows = rows.withColumn("asked", F.lit(True))
+    else:
+        rows = rows.join(asked.select("run_id", F.lit(True).alias("asked")), "run_id", "left").fillna(False, ["asked"])
+    everything = cut_lineage(rows)
+    runs = everything.where("asked")
     first_day = runs.where("window_days IS NOT NULL").select(
         *keys, "run_id", (F.col("number") - F.col("window_days")).alias("number"),
         F.timestamp_add("DAY", -F.col("window_days"), F.col("observed_at")).alias("at"),
-        F.lit(None).cast("bigint").alias("price"), F.lit(True).alias("probe"),
+        F.lit(None).cast("bigint").alias("price"), F.lit(True).alias("probe"), F.lit(True).alias("asked"),
     )
+    own = everything.select(*keys, "run_id", "number", F.col("observed_at").alias("at"), price.alias("price"),
+                            F.lit(False).alias("probe"), "asked")
+    if asked is not None:
+        walked = runs.select(*keys, "number").unionByName(first_day.select(*keys, "number")).distinct()
+        same_day = [F.col(f"o.{k}").eqNullSafe(F.col(f"w.{k}")) for k in (*keys, "number")]
+        own = own.alias("o").join(walked.alias("w"), same_day, "left_semi")
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     day_rows = Window.partitionBy(*keys, "number")
     earlier = F.min("price").over(day_rows.orderBy(micros).rangeBetween(Window.unboundedPreceding, -1))
     onward = F.min("price").over(_running(day_rows.orderBy(micros.desc())))
     partial = own.unionByName(first_day).withColumn("low", F.when(F.col("probe"), onward).otherwise(earlier))
-    per_run = partial.groupBy(*keys, "run_id").agg(F.min("low").alias("partial_low"))
-    whole = _days_low(runs.groupBy(*keys, "number").agg(F.min(price).alias("day_low")))
+    per_run = partial.where("asked").groupBy(*keys, "run_id").agg(F.min("low").alias("partial_low"))
+    days = everything.groupBy(*keys, "number").agg(F.min(price).alias("day_low"))
+    whole = _days_low(days, days if asked is None else runs.select(*keys, "number").distinct())
 
     def same(left: str, right: str, *names: str) -> Column:
         tests = [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
