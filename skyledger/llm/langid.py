@@ -26,7 +26,7 @@ MOST_LANGUAGES, STEPS, PSEUDO = 3, 12, 0.5
 #: Beyond this many languages the model does not fit a task, and training refuses.
 MODEL_LANGUAGES = 1000
 #: Code points that are worked on at once.
-POINTS = 1 << 21
+POINTS = 1 << 19
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []

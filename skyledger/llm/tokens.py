@@ -38,7 +38,7 @@ NULL_ID = -(1 << 63)
 #: Ids that a block holds at most, unless one document has more.
 BLOCK_IDS = 1 << 16
 #: Spans whose ids a worker remembers; then it starts anew.
-CACHE_SPANS = 500_000
+CACHE_SPANS = 300_000
 
 
 #: Classes of bytes between which every pre-tokenization in use cuts: letters, digits and
