@@ -22,7 +22,7 @@ from skyledger.llm import common
 
 #: Documents that the lexicon and the scorers are fitted on, about; all others count in the
 #: statistics of votes and are judged.
-SAMPLE = 9_000
+SAMPLE = 6_000
 #: Documents of the sample that must have a feature.
 SUPPORT = 5
 #: Bytes of the word beginnings that are features besides the whole word.
