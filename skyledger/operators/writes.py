@@ -30,14 +30,11 @@ def mark_lowest(observations: DataFrame) -> DataFrame:
     """Mark every offer that has the lowest price of its run, currency and kind.
 
     A minimum per key joined back instead of a window: a run with very many offers
-    is combined on the map side and its rows stay spread over many tasks.
+    is combined on the map side, and the join, with one row per key on one side, is
+    split by adaptive execution where a key is hot. The input is read twice.
     """
-    minima = observations.groupBy(*LOWEST_KEYS).agg(
-        F.min("total_price_minor").alias("__low"), F.count(F.lit(1)).alias("weight")
-    )
-    joined = salted_join(
-        observations, minima.drop("weight"), LOWEST_KEYS, weights=minima.select(*LOWEST_KEYS, "weight")
-    )
+    minima = observations.groupBy(*LOWEST_KEYS).agg(F.min("total_price_minor").alias("__low"))
+    joined = observations.join(minima, list(LOWEST_KEYS))
     return joined.withColumn("is_lowest", F.col("total_price_minor") == F.col("__low")).drop("__low")
 
 
