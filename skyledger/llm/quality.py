@@ -414,8 +414,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
             )
 
     described_by = F.arrow_udf(describe, "m array<double>, n bigint, features array<int>, counts array<int>, junk string")
+    # One row per id, so that an id that many rows share brings no more than one.
+    one = F.min_by("d", "k").alias("d")
     got = (
-        drawn.select("doc_id", _of_text(described_by).alias("d"))
+        drawn.select("doc_id", _of_text(described_by).alias("d"), F.xxhash64("text").alias("k"))
+        .groupBy("doc_id").agg(one)
         .join(names, "doc_id", "left")
         .select("doc_id", "d.*", "person_junk", "person_toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
         .toArrow()
@@ -470,11 +473,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
         .count()
         .toArrow()
     )
-    # Of rows that share an id, the worst votes count for the sample.
-    own_toxic = {}
-    drawn_votes = voted.join(F.broadcast(names.select("doc_id")), "doc_id", "left_semi").select("doc_id", TOXIC).toArrow()
-    for name, v in zip(drawn_votes.column("doc_id").to_pylist(), drawn_votes.column(TOXIC).to_pylist()):
-        own_toxic[name] = max(own_toxic.get(name, ""), v)
+    # Of rows that share an id, the last votes in letter order count for the sample.
+    drawn_votes = voted.join(F.broadcast(names.select("doc_id")), "doc_id", "left_semi")
+    drawn_votes = drawn_votes.groupBy("doc_id").agg(F.max(TOXIC).alias(TOXIC)).toArrow()
+    own_toxic = dict(zip(drawn_votes.column("doc_id").to_pylist(), drawn_votes.column(TOXIC).to_pylist()))
     ids = got.column("doc_id").to_pylist()
     own = {JUNK: got.column(JUNK).to_pylist(), TOXIC: [own_toxic[i] for i in ids]}
     intervals = _intervals(m) if rows_got else np.zeros((0, len(MEASURES)), np.int64)

@@ -150,7 +150,8 @@ def op2_language_mixture(spark, sf_dir):
     # A null doc_id has no remainder, so its row is not held out.
     rows = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     model = langid.train(rows.where("NOT held_out").select("text", "lang"))
-    return langid.identify(rows.select("doc_id", "held_out", "text"), model).drop("text")
+    found = langid.identify(rows.select("doc_id", "held_out", "text"), model).drop("text")
+    return found.withColumn("mixture", F.to_json("mixture"))
 
 
 @query("op6_quality_classifier")
