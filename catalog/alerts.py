@@ -85,6 +85,12 @@ def alert_pending_runs(t):
     return al.pending_runs(t.runs()).select("run_id", "finished_at")
 
 
+@query("alert_pending_batch", sql("""
+SELECT run_id, finished_at FROM run WHERE status = 'succeeded' AND NOT evaluated ORDER BY finished_at, run_id LIMIT 200"""))
+def alert_pending_batch(t):
+    return al.pending_runs(t.runs(), 200).select("run_id", "finished_at")
+
+
 @query("alert_previous_minimum", sql("""
 SELECT rule_id, run_id, price_minor, is_direct, previous_minimum FROM previous""",
     rule_context=_RULE_CONTEXT, rule_price=_RULE_PRICE, previous=_PREVIOUS))

@@ -243,6 +243,13 @@ def pending_runs(t):
     return ru.pending_runs(t.runs(), NOW).select("run_id", "scheduled_at")
 
 
+@query("pending_batch", sql(f"""
+SELECT run_id, scheduled_at FROM run
+WHERE status = 'pending' AND scheduled_at <= {AS_OF} AND attempt < max_attempts ORDER BY scheduled_at, run_id LIMIT 25"""))
+def pending_batch(t):
+    return ru.pending_runs(t.runs(), NOW, 25).select("run_id", "scheduled_at")
+
+
 @query("expired_runs", sql(f"""
 SELECT run_id, query_id, status AS previous_status, CASE WHEN attempt >= 3 THEN 'failed' ELSE 'pending' END AS status,
   CASE WHEN attempt >= 3 THEN scheduled_at ELSE {AS_OF} END AS scheduled_at,
@@ -277,6 +284,15 @@ def retry_schedule(t):
     return ru.retry_schedule(t.runs(), 30, 50)
 
 
+@query("retry_schedule_jitter", sql("""
+SELECT run_id, attempt, CASE WHEN attempt < 3 THEN delay END AS delay_seconds,
+  CASE WHEN attempt < 3 THEN finished_at + to_seconds(delay) END AS retry_at
+FROM (SELECT *, ceil(least(50.0, least(30 * 2 ** (attempt - 1), 50) * (1 + (run_id % 97) / 97)))::BIGINT AS delay
+  FROM run WHERE status = 'failed')"""))
+def retry_schedule_jitter(t):
+    return ru.retry_schedule(t.runs(), 30, 50, (F.col("run_id") % 97) / 97)
+
+
 @query("bucket_key", sql("""
 SELECT run_id, 'scheduled:' || query_id || ':' || (floor(epoch(scheduled_at) / 900)::BIGINT) AS idempotency_key FROM run"""))
 def bucket_key(t):

@@ -21,9 +21,10 @@ RULE_TYPES = (
 )
 
 
-def pending_runs(runs: DataFrame) -> DataFrame:
-    """Succeeded runs that no rule has seen yet."""
-    return runs.where("status = 'succeeded' AND alerts_evaluated_at IS NULL")
+def pending_runs(runs: DataFrame, batch: int | None = None) -> DataFrame:
+    """Succeeded runs that no rule has seen yet; the oldest ones when a batch is asked."""
+    pending = runs.where("status = 'succeeded' AND alerts_evaluated_at IS NULL")
+    return pending if batch is None else pending.orderBy("finished_at", "run_id").limit(batch)
 
 
 def rule_contexts(rules: DataFrame, context_rows: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.times import add_seconds, advance_due_at, bucket_index, retry_delay
@@ -96,16 +97,42 @@ def subscription_counts(subscriptions: DataFrame) -> DataFrame:
 def duration_percentiles(rows: DataFrame, value: str) -> DataFrame:
     """p50, p95 and p99 with linear interpolation.
 
-    Equal values are counted first, so the last step holds one entry per distinct
-    value and not one per row.
+    Equal values are counted; the counts of ``BUCKETS`` intervals, a list of fixed size, tell in which
+    intervals the asked ranks lie, and only those intervals are sorted.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    points = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
-    return counted.agg(
-        points.alias("p"), F.min(value).alias("min"), F.max(value).alias("max")
-    ).select(
-        "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max"
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    low, high, total = counted.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    kind = dict(rows.dtypes)[value]
+    ends = [F.lit(x).cast(kind).alias(n) for x, n in ((low, "min"), (high, "max"))]
+    names = [f"p{round(100 * p)}" for p in PERCENTILES]
+    if not total:
+        return counted.agg(ends[0], *[F.lit(None).cast("double").alias(n) for n in names], ends[1])
+    width = (high - low) / BUCKETS or 1.0
+    bucket = F.least(F.floor((F.col("v") - low) / width), F.lit(BUCKETS - 1))
+    sizes = counted.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).orderBy("b").collect()
+    targets, before, at = [], 0, 0
+    ranks = sorted({r for p in PERCENTILES for r in (math.floor(p * (total - 1)), math.ceil(p * (total - 1)))})
+    for rank in ranks:
+        while before + sizes[at]["n"] <= rank:
+            before, at = before + sizes[at]["n"], at + 1
+        targets.append((rank, sizes[at]["b"], rank - before))
+    asked = counted.sparkSession.createDataFrame(targets, "rank bigint, b bigint, inside bigint")
+    ordered = Window.partitionBy("b").orderBy("v")
+    walked = (
+        counted.withColumn("b", bucket).join(F.broadcast(asked.select("b").distinct()), "b", "left_semi")
+        .withColumn("upto", F.sum("n").over(ordered))
     )
+    found = walked.join(F.broadcast(asked), "b").where("upto > inside").groupBy("rank").agg(F.min("v").alias("v"))
+    values = {r: F.max(F.when(F.col("rank") == r, F.col("v"))) for r in ranks}
+    points = []
+    for p, name in zip(PERCENTILES, names, strict=True):
+        place = p * (total - 1)
+        left, right = values[math.floor(place)], values[math.ceil(place)]
+        points.append((left + (right - left) * (place - math.floor(place))).alias(name))
+    return found.agg(ends[0], *points, ends[1])
+
+
+PERCENTILES, BUCKETS = (0.5, 0.95, 0.99), 4096
 
 
 RUN_ORDER = ("scheduled_at", "run_id")
@@ -287,9 +314,12 @@ def reuse_or_create(requests: DataFrame, runs: DataFrame, now: datetime, bucket_
     )
 
 
-def retry_schedule(runs: DataFrame, base: float, maximum: float) -> DataFrame:
-    """When a failed run may be tried again; null after the last attempt."""
-    delay = F.ceil(retry_delay(F.col("attempt"), base, maximum)).cast("bigint")
+def retry_schedule(runs: DataFrame, base: float, maximum: float, jitter: Column | None = None) -> DataFrame:
+    """When a failed run may be tried again; null after the last attempt.
+
+    ``jitter`` (0 to 1, best from a hash of the run) spreads runs that failed together.
+    """
+    delay = F.ceil(retry_delay(F.col("attempt"), base, maximum, jitter=jitter)).cast("bigint")
     again = F.col("attempt") < F.col("max_attempts")
     return runs.where("status = 'failed'").select(
         "run_id", "attempt", F.when(again, delay).alias("delay_seconds"),

@@ -34,6 +34,24 @@ def freeze_manifest(runs: DataFrame, start: datetime, end: datetime) -> DataFram
     return runs.where(done).select("query_id", "run_id", "finished_at")
 
 
+def frozen_manifest(runs: DataFrame, start: datetime, end: datetime, path: str, max_runs: int) -> DataFrame:
+    """The manifest as it was when it was first asked for, stored in the order of query, time and run.
+
+    A query with more than ``max_runs`` runs is refused, and nothing is stored then. Once
+    stored, the manifest stays as it is, whatever happens to the runs.
+    """
+    spark = runs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        manifest = freeze_manifest(runs, start, end)
+        too_large = manifest_overflow(manifest, max_runs).agg(F.count(F.lit(1)), F.max("runs")).first()
+        if too_large[0]:
+            raise ExportTooLarge(f"{too_large[0]} queries have up to {too_large[1]} runs, more than {max_runs}")
+        ordered = manifest.repartitionByRange("query_id").sortWithinPartitions("query_id", "finished_at", "run_id")
+        ordered.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def manifest_overflow(manifest: DataFrame, max_runs: int) -> DataFrame:
     """Queries whose manifest is larger than one export may be."""
     return manifest.groupBy("query_id").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > max_runs)

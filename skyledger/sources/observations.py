@@ -89,7 +89,7 @@ def plan_partition_lifecycle(
 def archive_months(spark: SparkSession, hot: str, archive: str, months: Sequence[date]) -> int:
     """Copy closed months to the archive and check the copy; return the row count.
 
-    The hot months are to be dropped by the caller only after this has returned.
+    The hot months are dropped (``drop_months``) only after this has returned.
     Running it again replaces the same archived months, so nothing is doubled.
     """
     wanted = [F.lit(m) for m in months]
@@ -107,18 +107,29 @@ def archive_months(spark: SparkSession, hot: str, archive: str, months: Sequence
     return source[0]
 
 
-def read_hot_and_archive(hot: DataFrame, archive: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Rows of ``[start, end)`` from both; of the same (time, id) the hot row counts."""
-    values = [c for c in hot.columns if c not in ("observed_at", "obs_id")]
+def drop_months(spark: SparkSession, path: str, months: Sequence[date]) -> None:
+    """Delete whole months of a table; a month that is not there is no fault."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for month in months:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/obs_month={month.isoformat()}"), True)
+
 
-    def part(df: DataFrame, priority: int) -> DataFrame:
-        rows = time_range(df, start, end, closed=False)
-        return rows.select("observed_at", "obs_id", F.struct(*values).alias("v"), F.lit(priority).alias("p"))
+def read_hot_and_archive(hot: DataFrame, archive: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Rows of ``[start, end)`` from both; of the same (time, id) the hot row counts.
 
-    both = part(hot, 0).unionByName(part(archive, 1))
-    return both.groupBy("observed_at", "obs_id").agg(F.min_by("v", "p").alias("v")).select(
-        "observed_at", "obs_id", "v.*"
+    Only months that both tables hold are compared row by row; all others are read as they
+    are, without a shuffle. The lists of months have one row per month.
+    """
+    keys = ["observed_at", "obs_id"]
+    young, old = (time_range(df, start, end, closed=False) for df in (hot, archive))
+    held = F.broadcast(young.select("obs_month").distinct())
+    doubled = F.broadcast(old.join(held, "obs_month", "left_semi").select("obs_month").distinct())
+    alone = old.join(held, "obs_month", "left_anti")
+    shared = old.join(held, "obs_month", "left_semi").join(
+        young.join(doubled, "obs_month", "left_semi").select(*keys), keys, "left_anti"
     )
+    return young.unionByName(alone).unionByName(shared)
 
 
 def missing_source_months(

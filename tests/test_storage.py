@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import runs as runs_operators
 from skyledger.operators import trends, writes
 from skyledger.session import work_dir
 from skyledger.sources import exports, observations
@@ -83,6 +84,30 @@ def test_export_refuses_instead_of_cutting(spark, obs, tmp_path):
     assert header == '{"a":"ü","b":1}'
 
 
+def test_a_manifest_is_frozen_once_or_refused(spark, plain):
+    schema = "query_id long, run_id long, status string, finished_at timestamp_ntz"
+    day = datetime(2026, 1, 1)
+    runs = spark.createDataFrame([(1, n, "succeeded", day + timedelta(hours=n)) for n in range(4)], schema)
+    path, end = f"{work_dir(spark, 't-manifest')}/frozen", day + timedelta(days=1)
+    with pytest.raises(exports.ExportTooLarge):
+        exports.frozen_manifest(runs, day, end, path, 3)
+    first = plain(exports.frozen_manifest(runs, day, end, path, 4))
+    later = runs.unionByName(spark.createDataFrame([(1, 9, "succeeded", day)], schema))
+    assert plain(exports.frozen_manifest(later, day, end, path, 1)) == first and len(first) == 4
+
+
+def test_percentiles_of_spread_and_equal_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values in (rng.lognormal(3, 3, 700), [5.0] * 9, [1.0, 2.0], [7.5], np.repeat([1.0, 1e9], [99, 2])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = runs_operators.duration_percentiles(df, "v").first()
+        want = [np.min(values), *np.percentile(values, [50, 95, 99]), np.max(values)]
+        assert np.allclose([got["min"], got["p50"], got["p95"], got["p99"], got["max"]], want)
+    assert runs_operators.duration_percentiles(df.limit(0), "v").first()["p50"] is None
+
+
 def test_lifecycle_limits(spark):
     parts = spark.createDataFrame([], "parent string, month date, state string")
     ranges = spark.createDataFrame([], "range_start timestamp_ntz, range_end timestamp_ntz")
