@@ -374,27 +374,45 @@ class SourceIncomplete(RuntimeError):
     """A month that the backfill needs is not there."""
 
 
+class OtherScope(RuntimeError):
+    """The progress belongs to another source, target or range."""
+
+
+def stored_months(spark: SparkSession, path: str) -> set[date]:
+    """Months of a table, from the names of its folders: no file is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return {date.fromisoformat(n.removeprefix("obs_month=")) for n in names if n.startswith("obs_month=")}
+
+
 def backfill_daily_trend(spark: SparkSession, raw_path: str, daily_path: str, progress_path: str,
-                         months: list[date], most: int | None = None) -> list[date]:
-    """Rebuild daily rows month by month and note each finished month.
+                         months: list[date], most: int | None = None, coverage_path: str | None = None) -> list[date]:
+    """Rebuild daily rows, and the coverage of their query days, month by month; note each finished month.
 
     A restart goes on after the last noted month; at most one month is rebuilt
-    twice, with the same result. Nothing is changed when a month is missing.
-    ``months`` is a short list; each month is one distributed job.
+    twice, with the same result. Nothing is changed when a month is missing, or when the progress
+    was made for another source, target or range. ``months`` is a short list; each month is one distributed job.
     """
-    raw = spark.read.parquet(raw_path)
-    held = {r.obs_month for r in raw.select("obs_month").distinct().collect()}
-    missing = sorted(set(months) - held)
+    scope = f"{raw_path} {daily_path} {min(months)} {max(months)} {len(set(months))}"
+    missing = sorted(set(months) - stored_months(spark, raw_path))
     if missing:
         raise SourceIncomplete(f"missing months: {missing}")
-    done = {r.obs_month for r in read_or_empty(spark, progress_path, "obs_month DATE").collect()}
+    progress = read_or_empty(spark, progress_path, "obs_month DATE, scope STRING").collect()
+    if {r.scope for r in progress} - {scope}:
+        raise OtherScope(f"the progress is of {progress[0].scope}")
+    done = {r.obs_month for r in progress}
+    raw = spark.read.parquet(raw_path)
     finished = []
     for month in sorted(set(months) - done)[:most]:
-        rows = daily_trend(raw.where(F.col("obs_month") == F.lit(month)).drop("obs_month"))
-        (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("observation_date").parquet(daily_path)
-        )
-        spark.createDataFrame([(month,)], "obs_month DATE").write.mode("append").parquet(progress_path)
+        rows = raw.where(F.col("obs_month") == F.lit(month)).drop("obs_month")
+        outputs = [(daily_trend(rows), daily_path)]
+        if coverage_path is not None:
+            outputs.append((observed_coverage(rows), coverage_path))
+        for output, path in outputs:
+            (
+                output.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("observation_date").parquet(path)
+            )
+        spark.createDataFrame([(month, scope)], "obs_month DATE, scope STRING").write.mode("append").parquet(progress_path)
         finished.append(month)
     return finished

@@ -220,5 +220,7 @@ def test_backfill_refuses_missing_months_and_resumes(spark, obs, plain):
     assert jobs.backfill_daily_trend(spark, *paths, months, most=1) == [date(2026, 1, 1)]
     assert jobs.backfill_daily_trend(spark, *paths, months) == [date(2026, 2, 1)]
     assert jobs.backfill_daily_trend(spark, *paths, months) == []
+    with pytest.raises(jobs.OtherScope):
+        jobs.backfill_daily_trend(spark, *paths, [date(2026, 1, 1)])
     want = trends.daily_trend(obs).where("observation_date BETWEEN DATE'2026-01-01' AND DATE'2026-02-28'")
     assert plain(jobs.read_daily(spark, paths[1]), *trends.DAILY_KEYS) == plain(want, *trends.DAILY_KEYS)
