@@ -201,8 +201,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     number, copies = common.spare(docs, "row_number"), common.spare(docs, "copies")
     rows = common.written(docs.withColumn(number, F.monotonically_increasing_id()), "mixing-rows")
     taken = mix(rows, number, **options).where("copies > 0").select(F.col(number), F.col("copies").alias(copies))
+    # A merge join at every size: what is taken grows with the documents, so it is never broadcast.
     return (
-        rows.join(taken, number)
+        rows.join(taken.hint("merge"), number)
         .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
