@@ -149,14 +149,21 @@ def unique_slugs(df: DataFrame, text: str, identifier: str, width: int = 64) ->
     """A unique name per row; all but the first row of equal names get a suffix.
 
     The suffix comes from the row's id, so the result does not depend on the row
-    order. Hashing the whole id keeps suffixed names distinct.
+    order. Hashing the whole id keeps suffixed names distinct; one that is another row's
+    plain name gets a longer suffix.
     """
     named = df.withColumn("__base", slug_base(F.col(text), F.col(identifier), width))
     first = named.groupBy("__base").agg(F.min(identifier).alias("__first"), F.count(F.lit(1)).alias("weight"))
     marked = salted_join(named, first.drop("weight"), ["__base"], weights=first.select("__base", "weight"))
     suffix = F.sha2(F.col(identifier).cast("string"), 256)
     short = F.regexp_replace(F.substring("__base", 1, width - 17), r"[._\-]+$", "")
-    slug = F.when(F.col(identifier) == F.col("__first"), F.col("__base")).otherwise(
-        F.concat(short, F.lit("-"), F.substring(suffix, 1, 16))
+    plain = F.col(identifier) == F.col("__first")
+    slug = F.when(plain, F.col("__base")).otherwise(F.concat(short, F.lit("-"), F.substring(suffix, 1, 16)))
+    taken = first.select(F.col("__base").alias("slug"), F.lit(True).alias("__taken"))
+    longer = F.concat(F.substring("__base", 1, max(1, width - 41)), F.lit("-"), F.substring(suffix, 1, 40))
+    return (
+        marked.withColumn("slug", slug)
+        .join(taken, "slug", "left")
+        .withColumn("slug", F.when(~plain & F.col("__taken").isNotNull(), longer).otherwise(F.col("slug")))
+        .select(*df.columns, "slug")
     )
-    return marked.withColumn("slug", slug).drop("__base", "__first")

@@ -108,6 +108,15 @@ def test_percentiles_of_spread_and_equal_values(spark):
     assert runs_operators.duration_percentiles(df.limit(0), "v").first()["p50"] is None
 
 
+def test_suffixed_names_do_not_meet_plain_ones(spark):
+    import hashlib
+
+    suffix = hashlib.sha256(b"2").hexdigest()
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, f"abc-{suffix[:16]}"), (4, "abc")], "id long, name string")
+    slugs = {r.id: r.slug for r in writes.unique_slugs(df, "name", "id").collect()}
+    assert slugs[1] == "abc" and slugs[3] == f"abc-{suffix[:16]}" and len(set(slugs.values())) == 4
+
+
 def test_lifecycle_limits(spark):
     parts = spark.createDataFrame([], "parent string, month date, state string")
     ranges = spark.createDataFrame([], "range_start timestamp_ntz, range_end timestamp_ntz")
