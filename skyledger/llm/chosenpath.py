@@ -3,18 +3,18 @@
 Equal sets are one set with a number of copies. Each run starts one path per set, on a sampled
 token: the ``RUNS`` smallest hashes of each set. Near sets share most of their starts, so they
 also share one among the rarest: a set follows only as many starts, rarest first, as leave fewer than
-near sets share. The bound on shared starts follows from the target recall. Sets that meet on a path are a bucket. A bucket of two is a
+near sets share. Sets that meet on a path are a bucket. A bucket of two is a
 candidate pair. In a larger one, all sets are compared with one of them by sketches: if none is
-unlike it the bucket is settled, else those that are not close to it go on, on paths extended by more sampled
+unlike it the bucket is settled, else all whose sketch differs from its go on, on paths extended by more sampled
 tokens of theirs, until buckets are small. What is left after the last extension stays
-together. Candidate pairs make groups; inside each group, all sets are compared exactly by brute force in tiles.
+together. The target recall is divided among the three places where a near pair can be lost: the starts, the
+estimate from sketches, and the extensions. Candidate pairs make groups; inside each group, all sets are compared exactly by brute force in tiles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +23,61 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import common
 
-WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9998
-#: Starts of a set, tokens of a sketch, sampled tokens of a path that goes on, and extensions.
-RUNS, SKETCH, BRANCH, DEPTH = 32, 48, 2.0, 2
-#: Estimated overlap from which two sets may be near, and from which one settles the other.
-MAYBE, CLOSE = 0.5, 0.85
+WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999999
+#: Starts of a set, tokens of a sketch, and extensions of a path.
+RUNS, SKETCH, DEPTH = 32, 48, 2
+#: Places where a near pair can be lost.
+PLACES = 3
 #: Tokens and sets of a tile of brute force.
 TILE_TOKENS, TILE_SETS = 500_000, 1500
 
 
+def shared_at_least(sample: int, threshold: float, loss: float) -> int:
+    """How many of so many smallest hashes of their union near sets share, but for a probability of ``loss``.
+
+    Each of them is shared with a probability of ``threshold`` or more: an exact binomial tail.
+    """
+    below, number = 0.0, 0
+    while number < sample:
+        below += math.comb(sample, number) * threshold**number * (1 - threshold) ** (sample - number)
+        if below > loss:
+            break
+        number += 1
+    return number
+
+
 def starts_followed(size: int, runs: int = RUNS, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """How many of its rarest starts a set of some size follows.
 
     If two sets share t of their m starts, they share one of the first m - t + 1 in any order
-    that both follow. Near sets share threshold * m of m sampled starts on average, or more;
-    the normal bound of the recall is taken off. Where no set that could be near has more tokens than
-    there are starts, nothing is sampled and nothing taken off.
+    that both follow. Where no set that could be near has more tokens than
+    there are starts, nothing is sampled and near sets share threshold * m or more.
     """
     starts = min(size, runs)
-    shared = threshold * starts
     if size > threshold * runs:
-        shared -= NormalDist().inv_cdf(recall) * math.sqrt(starts * threshold * (1 - threshold)) + 0.5
-    return starts - max(1, math.ceil(shared - 1e-9)) + 1
+        shared = shared_at_least(starts, threshold, (1 - recall) / PLACES)
+    else:
+        shared = math.ceil(threshold * starts - 1e-9)
+    return starts - max(1, shared) + 1
+
+
+def alike_from(threshold: float = THRESHOLD, recall: float = RECALL) -> float:
+    """The part of their sketches from which two sets may be near."""
+    return shared_at_least(SKETCH, threshold, (1 - recall) / PLACES) / SKETCH
+
+
+def tokens_drawn(size: int, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many tokens of its sketch, first in an order that hangs on the path, extend a path of a set of some size.
+
+    Two near sets go apart only if the first tokens of one of them are all not shared. Each is with a
+    probability of 1 - threshold at most, and all extensions together lose no more than their part of the recall.
+    Where sketches are whole sets, one token more than are not shared is enough.
+    """
+    loss = (1 - recall) / PLACES / max(1, depth) / 2
+    drawn = min(size, SKETCH, math.ceil(math.log(loss) / math.log(1 - threshold)))
+    if size <= threshold * SKETCH:
+        drawn = min(drawn, size - math.ceil(threshold * size - 1e-9) + 1)
+    return max(1, drawn)
 
 
 def token_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,10 +178,14 @@ def _first_paths(sets: DataFrame, recall: float, threshold: float) -> DataFrame:
     )
 
 
-def _candidates(sets: DataFrame, *, recall: float, threshold: float, branch: float, depth: int) -> DataFrame:
+def _candidates(sets: DataFrame, *, recall: float, threshold: float, depth: int) -> DataFrame:
     """Pairs ``a, b`` of sets that may be near: edges that keep each near pair in one group."""
     paths = common.written(_first_paths(sets, recall, threshold), "paths")
     sketches = sets.select("set_id", "n", "sketch")
+    maybe = alike_from(threshold, recall)
+    number = F.get(
+        F.array(*[F.lit(tokens_drawn(n, depth, threshold, recall)) for n in range(SKETCH + 1)]), F.least("n", F.lit(SKETCH))
+    )
     edges = []
     for level in range(depth + 1):
         # Sets alone on a path are gone after this aggregate.
@@ -173,10 +210,11 @@ def _candidates(sets: DataFrame, *, recall: float, threshold: float, branch: flo
             .select("rep", "set_id", shared.alias("alike")),
             "paths-alike",
         )
-        edges.append(alike.where(F.col("alike") >= MAYBE).select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
+        edges.append(alike.where(F.col("alike") >= maybe).select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
         judged = members.join(alike, ["rep", "set_id"])
-        unsettled = judged.where(F.col("alike") < MAYBE).select("node").distinct()
-        ongoing = judged.where(F.col("alike") < CLOSE).join(unsettled, "node", "left_semi").select("node", "rep", "set_id")
+        unsettled = judged.where(F.col("alike") < maybe).select("node").distinct()
+        # A set with the sketch of the one compared with shares as much of it with any third one, so it need not go on.
+        ongoing = judged.where(F.col("alike") < 1).join(unsettled, "node", "left_semi").select("node", "rep", "set_id")
         ongoing = common.written(ongoing, "paths-ongoing")
         if ongoing.isEmpty():
             break
@@ -184,11 +222,7 @@ def _candidates(sets: DataFrame, *, recall: float, threshold: float, branch: flo
             # Sets that shared so many sampled tokens stay together for the exact comparison.
             edges.append(ongoing.select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
             break
-        bound = F.lit(float(2**32) * branch) / F.size("sketch")
-        drawn = F.filter(
-            F.transform("sketch", lambda t: F.xxhash64("node", t)),
-            lambda h: F.shiftrightunsigned(h, 32).cast("double") < bound,
-        )
+        drawn = F.slice(F.array_sort(F.transform("sketch", lambda t: F.xxhash64("node", t))), F.lit(1), number)
         paths = common.written(ongoing.join(sketches, "set_id").select("set_id", F.explode(drawn).alias("node")), "paths")
     out = edges[0]
     for part in edges[1:]:
@@ -302,7 +336,7 @@ def _compared(rows: DataFrame, threshold: float, width: int) -> DataFrame:
 
 def near_classes(
     docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL,
-    branch: float = BRANCH, depth: int = DEPTH,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): doc_id, class_id, copy_id, n_links, and keys.
 
@@ -331,7 +365,7 @@ def near_classes(
         filled.join(copies.select(F.col("first.row").alias("row")), "row", "left_semi").select("set_id", "n", "roots", "sketch"),
         "shingle-distinct",
     )
-    groups = components(_candidates(sets, recall=recall, threshold=threshold, branch=branch, depth=depth))
+    groups = components(_candidates(sets, recall=recall, threshold=threshold, depth=depth))
     groups = groups.select(F.col("node").alias("set_id"), "component")
     sized = groups.join(sets.select("set_id", "n"), "set_id")
     tiles = sized.groupBy("component").agg(

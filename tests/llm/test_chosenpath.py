@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -93,6 +95,35 @@ def test_a_crowd_of_near_copies(spark):
     assert classes(documents(spark, rows)) == brute(rows)
 
 
+def test_near_pairs_survive_a_crowded_start(spark, monkeypatch):
+    # All sets meet on one start, so that only the extensions can bring the pairs together.
+    rows = []
+    for k in range(120):
+        base = prose(5000 + k, 20 + k)
+        rows += [(2 * k, base), (2 * k + 1, edited(base, k, k % 4))]
+    one = lambda sets, recall, threshold: sets.selectExpr("set_id", "1L AS node")
+    monkeypatch.setattr(chosenpath, "_first_paths", one)
+    assert classes(documents(spark, rows)) == brute(rows)
+
+
+def test_near_pairs_of_nothing_but_common_passages(spark):
+    passages = [prose(7000 + k, 50) for k in range(12)]
+    crowd = ["\n".join(passages[i] for i in some) for some in combinations(range(12), 3)]
+    rows = list(enumerate(crowd + [edited(text, k, 2) for k, text in enumerate(crowd[::4])]))
+    assert classes(documents(spark, rows)) == brute(rows)
+
+
+def test_losses_stay_within_the_recall():
+    loss = (1 - chosenpath.RECALL) / 3
+    assert chosenpath.RECALL >= 0.999999
+    for n in (50, 500):
+        # Two sides, each extension.
+        assert 2 * chosenpath.DEPTH * 0.2 ** chosenpath.tokens_drawn(n) <= loss
+        t = 32 - chosenpath.starts_followed(n) + 1
+        assert sum(math.comb(32, i) * 0.8**i * 0.2 ** (32 - i) for i in range(t)) <= loss
+    assert [chosenpath.tokens_drawn(n) for n in (1, 4, 5, 20)] == [1, 1, 2, 5]
+
+
 def test_starts_follow_the_recall():
     assert [chosenpath.starts_followed(n) for n in (1, 4, 5, 20)] == [1, 1, 2, 5]
     assert chosenpath.starts_followed(500, recall=0.9) < chosenpath.starts_followed(500) < chosenpath.RUNS
