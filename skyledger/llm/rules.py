@@ -4,8 +4,10 @@ Everything is DataFrame and SQL functions. The measures of a text are array expr
 inside its row; nothing of a text is shuffled. For every stratum, rule and cutoff, the holdout
 counts how many good documents the cutoff would reject. A cutoff is allowed only if the
 exact binomial test rejects "the false rejection rate is above the limit" at a level that is
-divided among all strata, rules and cutoffs (Bonferroni). Each stratum then takes, per rule,
-the strictest allowed cutoff.
+divided among all strata, rules and cutoffs (Bonferroni). Each stratum starts with the strictest
+allowed cutoff per rule. A text goes if any rule rejects it, so the same test then holds the good documents that
+any rule rejects against the limit, at the level of the single tests; cutoffs are loosened until it is passed.
+The choice follows from the same holdout, and the level is not divided among all choices of cutoffs.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from skyledger.llm import common
 
 SYMBOLS = r"[#*$%&|<>]"
 BLANK = r"[\x20\x09-\x0D]+"
-#: Limit of the false rejection rate per stratum and rule, and error level of all tests.
+#: Limit of the false rejection rate per stratum, for each rule and for all together, and error level of all tests.
 RISK, LEVEL = 0.05, 0.05
 #: Cutoffs that are tried, from the strictest on; a text is rejected above its cutoff.
 CUTOFFS = {
@@ -133,7 +135,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(holdout: DataFrame, *, risk: float = RISK, level: float = LEVEL, grid: dict = CUTOFFS) -> DataFrame:
-    """``stratum, rule, cutoff``: the strictest allowed cutoff of each stratum and rule.
+    """``stratum, rule, cutoff``: strict cutoffs that together keep the risk, of each stratum and rule.
 
     ``holdout`` has ``stratum`` and one column per rule, one row per good document that the
     base rules keep. A stratum without enough good documents gets no cutoff, and its rule
@@ -156,13 +158,89 @@ def cutoffs(holdout: DataFrame, *, risk: float = RISK, level: float = LEVEL, gri
     )
     each = counts.select("stratum", "n", F.inline(tests))
     hypotheses = max(1, counts.count()) * sum(map(len, grid.values()))
-    return (
+    alone = (
         each.where(
             (F.col("k") <= F.col("n") * risk) & (binomial_tail(F.col("k"), F.col("n"), risk) <= level / hypotheses)
         )
         .groupBy("stratum", "rule")
         .agg(F.min("cutoff").alias("cutoff"))
     )
+    return _together(holdout, alone, risk, level / hypotheses, grid)
+
+
+def _together(holdout: DataFrame, alone: DataFrame, risk: float, level: float, grid: dict) -> DataFrame:
+    """Cutoffs loosened until the good documents that any rule rejects keep the risk in each stratum.
+
+    A document is, per rule, the number of cutoffs that it is above. Equal ones are counted once, so what is
+    worked on has a row per stratum and choice of cutoffs at most. A rule's choice is the place of its cutoff, or
+    the number of cutoffs where it rejects nothing. Each round moves one rule of a stratum that fails to its next cutoff,
+    the one that saves most documents, or else the one that rejects most.
+    """
+    above = {
+        rule: F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(values)]), lambda c: F.col(rule) > c))
+        for rule, values in grid.items()
+    }
+    cells = common.written(
+        holdout.select("stratum", *[x.alias(rule) for rule, x in above.items()])
+        .groupBy("stratum", *grid).agg(F.count(F.lit(1)).alias("n")),
+        "quality-cells",
+    )
+    place = {
+        rule: F.coalesce(
+            F.min(F.when(F.col("rule") == rule, F.array_position(F.array(*[F.lit(float(c)) for c in sorted(values)]), F.col("cutoff")) - 1)),
+            F.lit(len(values)),
+        ).cast("int")
+        for rule, values in grid.items()
+    }
+    chosen = common.written(alone.groupBy("stratum").agg(*[x.alias(f"at_{rule}") for rule, x in place.items()]), "quality-chosen")
+    settled = []
+    while True:
+        def rejected(looser=None):
+            # A document above j cutoffs is rejected by each of the j strictest.
+            hits = [F.col(rule) > F.col(f"at_{rule}") + F.lit(int(rule == looser)) for rule in grid]
+            any_hit = hits[0]
+            for hit in hits[1:]:
+                any_hit = any_hit | hit
+            return F.coalesce(F.sum(F.when(any_hit, F.col("n"))), F.lit(0))
+
+        tested = common.written(
+            cells.join(chosen, "stratum").groupBy("stratum", *[f"at_{rule}" for rule in grid]).agg(
+                F.sum("n").alias("n"), rejected().alias("k"),
+                *[rejected(rule).alias(f"k_{rule}") for rule in grid],
+                *[F.coalesce(F.sum(F.when(F.col(rule) > F.col(f"at_{rule}"), F.col("n"))), F.lit(0)).alias(f"own_{rule}") for rule in grid],
+            ),
+            "quality-tested",
+        )
+        passed = (F.col("k") <= F.col("n") * risk) & (binomial_tail(F.col("k"), F.col("n"), risk) <= level)
+        settled.append(tested.where(passed))
+        failed = tested.where(~passed)
+        if failed.isEmpty():
+            break
+        # Rules without a cutoff left cannot be loosened; a stratum without any rule rejects nothing and is gone.
+        moves = F.array_max(F.array(*[
+            F.when(
+                F.col(f"at_{rule}") < len(values),
+                F.struct((-F.col(f"k_{rule}")).alias("saved"), F.col(f"own_{rule}").alias("own"), F.lit(rule).alias("rule")),
+            )
+            for rule, values in grid.items()
+        ]))
+        left = F.lit(False)
+        for rule, values in grid.items():
+            left = left | (F.col(f"at_{rule}") < len(values))
+        chosen = common.written(
+            failed.withColumn("move", moves["rule"])
+            .select("stratum", *[(F.col(f"at_{rule}") + (F.col("move") == rule).cast("int")).alias(f"at_{rule}") for rule in grid])
+            .where(left),
+            "quality-chosen",
+        )
+    found = settled[0]
+    for part in settled[1:]:
+        found = found.unionByName(part)
+    places = F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.get(F.array(*[F.lit(float(c)) for c in sorted(values)]), F.col(f"at_{rule}")).alias("cutoff"))
+        for rule, values in grid.items()
+    ])
+    return found.select("stratum", F.inline(places)).where("cutoff IS NOT NULL")
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", max_strata: int = 100_000, **options) -> DataFrame:

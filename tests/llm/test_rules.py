@@ -67,6 +67,18 @@ def test_cutoffs_keep_the_risk(spark):
     assert strict["a", "symbol_share"] == 0.2
 
 
+def test_all_rules_together_keep_the_risk(spark):
+    # Each rule's strictest cutoff rejects other good documents: 3 % each, 15 % together.
+    names = list(rules.RULES)
+    rows = [("a", *[100.0 if k % 100 // 3 == i else 0.0 for i in range(5)]) for k in range(5000)]
+    rows += [("b", *[0.0] * 5)] * 1000
+    holdout = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{n} double" for n in names))
+    got = {(s, r): c for s, r, c in collected(rules.cutoffs(holdout), "stratum", "rule", "cutoff")}
+    hit = sum(any(x > got.get((r[0], n), 1e9) for n, x in zip(names, r[1:])) for r in rows if r[0] == "a")
+    assert 0 < hit <= 0.05 * 5000
+    assert {r: c for (s, r), c in got.items() if s == "b"} == {n: min(rules.CUTOFFS[n]) for n in names}
+
+
 def test_verdicts(spark, awkward, nothing):
     good = [(k, prose(k, 80), "en", "a") for k in range(400)]
     bad = [(1000 + k, prose(k, 80).replace(" ", " %%% "), "en", "a") for k in range(20)]
