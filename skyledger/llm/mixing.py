@@ -133,6 +133,66 @@ def _duels(group: pd.DataFrame) -> pd.DataFrame:
     return group
 
 
+def _large_limits(sizes: DataFrame, side: DataFrame) -> DataFrame | None:
+    """``name, rest, limit``: words of a source in documents up to the limit; those above it are drawn first.
+
+    ``sizes`` has ``name, size``. A document is large if it holds more than ``LARGE`` of the words of those that
+    are not larger ones; each round takes those out that are, 1 / LARGE + 1 per source at most, until none is. None: no source has one.
+    """
+    part = LARGE / (1 + LARGE)
+    limits = common.written(side.select("name", F.col("source_size").alias("rest"), (F.col("source_size") * part).alias("limit")), "mixing-limits")
+    first = True
+    while True:
+        kept = F.when(F.col("size") <= F.col("limit"), F.col("size")).otherwise(0)
+        after = (
+            join_checked(sizes, limits, ["name"]).groupBy("name")
+            .agg(F.sum(kept).alias("left"), F.first("rest").alias("rest"), F.first("limit").alias("limit"))
+        )
+        after = common.written(after, "mixing-limits")
+        if after.where("left < rest").isEmpty():
+            return None if first else after.select("name", "rest", "limit")
+        limits = common.written(after.select("name", F.col("left").alias("rest"), (F.col("left") * part).alias("limit")), "mixing-limits")
+        first = False
+
+
+def _drawn(group: pd.DataFrame) -> pd.DataFrame:
+    """Draw a source's large documents; a last row without size tells the number of copies of the rest."""
+    group = group.sort_values(["size", "u", "row"], ascending=[False, True, True], kind="stable")
+    rest, rate = float(group["rest"].iloc[0]), float(group["copies"].iloc[0])
+    odds = _largest_first(
+        np.append(group["size"].to_numpy(float), rest), np.append(group["copies"].to_numpy(float), rate), np.append(group["u"].to_numpy(), 0.0)
+    )
+    last = group.iloc[[-1]].copy()
+    last["tail"] = True
+    last["copies"] = odds[-1]
+    group["copies"] = odds[:-1]
+    return pd.concat([group, last])
+
+
+def _large_drawn(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """``rows`` of sources of many groups with their large documents drawn, and the rest at the rate that is left."""
+    many = side.where("source_n > `group`").drop("group")
+    limits = _large_limits(rows.where("NOT alone").select("name", "size"), many)
+    if limits is None:
+        return rows
+    marked = join_checked(rows.where("NOT alone"), limits, ["name"])
+    columns = rows.columns
+    large = marked.where("size > limit").select(*columns, "rest", F.lit(False).alias("tail"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.schema.fields)
+    drawn = common.written(large.groupBy("name").applyInPandas(_drawn, kind), "mixing-large")
+    rates = drawn.where("tail").select("name", F.col("copies").alias("rate"))
+    # Sources without a large document keep their rate.
+    small = join_checked(
+        marked.where("size <= limit").select(*columns),
+        limits.select("name").join(rates, "name", "left"), ["name"],
+    ).withColumn("copies", F.when(F.col("size") > 0, F.coalesce("rate", "copies")).otherwise(F.col("copies")))
+    return (
+        rows.where("alone")
+        .unionByName(drawn.where("NOT tail").select(*columns))
+        .unionByName(small.select(*columns))
+    )
+
+
 def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targets) -> DataFrame:
     """How often the mix takes each row of ``docs`` (``source``, ``text`` and an integer ``key``).
 
@@ -141,8 +201,8 @@ def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targe
     part says and count for nothing. A null source is a source. Equal rows are rounded each
     for itself. No rows: no rows. Draws and groups follow from hashes of the row's texts and
     ids, so a rerun, also with other partitions, decides alike as long as ``key`` stays.
-    A source's taken words miss its target by half of one document at most; where one group
-    holds a source, its large documents are drawn first, so that document is a small one. Rows that are equal in key and text share a group.
+    A source's taken words miss its target by half of one document at most; large documents are drawn
+    first where the others can make up for them, so that document is a small one. Rows that are equal in key and text share a group.
     """
     sizes = common.written(
         docs.select(
@@ -166,6 +226,7 @@ def mix(docs: DataFrame, key: str, *, group: int = GROUP, seed: int = 9, **targe
         .withColumn("alone", F.col("source_n") <= group)
         .select("row", "name", "size", "source_size", "target", "whole", "copies", "u", "bucket", "alone")
     )
+    rows = _large_drawn(common.written(rows, "mixing-odds"), side.withColumn("group", F.lit(group)))
     kind = (
         "row bigint, name string, size bigint, source_size bigint, target double, whole bigint, copies double, "
         "u double, bucket bigint, alone boolean, open boolean"

@@ -57,6 +57,18 @@ def test_sources_meet_their_targets(spark, corpus, group):
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_dominating_texts_are_made_up_for(spark):
+    # More documents than a group holds: two texts have 40 % and 10 % of the words, another source has none like that.
+    rows = [(k, prose(k, 30), "en", "a") for k in range(300)] + [(400, prose(400, 7000), "en", "a"), (401, prose(401, 1800), "en", "a")]
+    rows += [(500 + k, prose(k, 20), "en", "b") for k in range(90)]
+    df = documents(spark, rows)
+    for seed in range(3):
+        mixed = mixing.mix(df, "doc_id", group=40, seed=seed, weights=(1.0, 0.1)).join(df.select("doc_id", "source"), "doc_id")
+        assert mixed.count() == len(rows)
+        _, taken, target = summed(mixed)
+        assert all(abs(taken[s] - goal) <= 30 for s, (_, goal) in target.items())
+
+
 def test_reruns_agree_on_any_partitions(spark, corpus):
     def run(df):
         return sorted(collected(mixing.mix(df, "doc_id", group=50), "doc_id", "copies"))
