@@ -200,6 +200,73 @@ def op8_chosen_path(spark, sf_dir):
     return chosenpath.near_classes(common.table(spark, sf_dir, "documents")).drop("class_key", "text_key")
 
 
+def _clusters_sql() -> str:
+    """All rounds of the clustering, from the operator's own parameters."""
+    from skyledger.llm.zonemaps import CLUSTERS, DIMENSIONS, ROUNDS, SCALE
+
+    parts = [f"""
+WITH e AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {DIMENSIONS}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS i, v AS c FROM e QUALIFY i < {CLUSTERS})"""]
+    for k in range(ROUNDS + 1):
+        parts.append(f"""
+d{k} AS (SELECT id, vec_id, v, i, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+  FROM e, c{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, i) = 1)""")
+        if k < ROUNDS:
+            parts.append(f"""
+s{k} AS (SELECT i, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM d{k}) GROUP BY i, p),
+c{k + 1} AS (SELECT c{k}.i, coalesce(m.c, c{k}.c) AS c FROM c{k}
+  LEFT JOIN (SELECT i, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM s{k} GROUP BY i) m ON m.i = c{k}.i)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, i::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY i))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM d{ROUNDS} JOIN c{ROUNDS} USING (i)"""
+
+
+@query("op11_zone_maps", _clusters_sql())
+def op11_zone_maps(spark, sf_dir):
+    from skyledger.llm import zonemaps
+
+    return zonemaps.clustered(common.table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+  ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, len(units) AS n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+p AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
+)
+def op12_fill_in_middle(spark, sf_dir):
+    from skyledger.llm import middle
+
+    made = middle.fill_in_middle(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_window_packing")
+def op13_window_packing(spark, sf_dir):
+    from skyledger.llm import windows
+
+    pieces = windows.packed_documents(
+        common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2, drops_space=True
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
