@@ -26,6 +26,8 @@ CAPACITY = 4096
 UNITS, DEPTH = 64, 3
 #: Documents of a cell, on average. One task packs a cell, and holds its ids.
 CELL_ITEMS = 8192
+#: Ids that a task returns at once.
+OUT_IDS = 1 << 19
 
 Plan = list[tuple[int, list[tuple[tuple[int, ...], float]]]]
 
@@ -215,6 +217,14 @@ def pack_cell(
 # ---------------------------------------------------------------- all documents
 
 
+def _binary(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Runs of ids that follow each other, as binaries of little-endian unsigned 32-bit integers."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(4 * lengths, out=ends[1:])
+    data = np.ascontiguousarray(ids, "<u4")
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def token_items(docs: DataFrame, tokenizer: str, *, end: int, drops_space: bool, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, start, length, doc_tokens, ids`` of every document's ids and end id, cut where a full sequence is reached.
 
@@ -227,13 +237,18 @@ def token_items(docs: DataFrame, tokenizer: str, *, end: int, drops_space: bool,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_tokenizer(tokenizer, drops_space)
         for batch in batches:
-            rows = []
-            for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"), end)):
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
-                    rows.append((name, start, len(part), len(ids), part.astype("<u4").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            if not batch.num_rows:
+                continue
+            ids = encoder.encode_all(batch.column("text"), end)
+            whole = np.fromiter(map(len, ids), np.int64, len(ids))
+            parts = -(-whole // capacity)
+            owner = np.repeat(np.arange(len(ids)), parts)
+            start = capacity * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+            length = np.minimum(capacity, whole[owner] - start)
+            yield common.batch_of({
+                "doc_id": batch.column("doc_id").take(pa.array(owner)), "start": start, "length": length,
+                "doc_tokens": whole[owner], "ids": _binary(np.concatenate(ids), length),
+            }, schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
@@ -275,19 +290,22 @@ def packed_documents(
             item, start, length, sequence, offset = pack_cell(lengths, steps.value, capacity, units)
             order = np.lexsort((start, item))
             item, start, length, sequence, offset = (x[order] for x in (item, start, length, sequence, offset))
-            ids = group.column("ids")
-            for a in range(0, len(item), common.BATCH_ROWS):
-                b = min(len(item), a + common.BATCH_ROWS)
-                some = pa.array(item[a:b])
-                parts = [
-                    memoryview(v.as_buffer())[4 * s : 4 * (s + n)]
-                    for v, s, n in zip(ids.take(some), start[a:b].tolist(), length[a:b].tolist())
-                ]
+            names, whole = group.column("doc_id").combine_chunks(), group.column("doc_tokens").to_numpy()
+            packed = group.column("ids").combine_chunks()
+            ids = np.frombuffer(packed.buffers()[2], "<u4")
+            first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed)] // 4
+            ends = np.cumsum(length)
+            a = 0
+            while a < len(item):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + OUT_IDS)))
+                size = length[a:b]
+                places = np.arange(int(size.sum())) + np.repeat(first[item[a:b]] + start[a:b] - (np.cumsum(size) - size), size)
                 yield common.batch_of({
-                    "doc_id": group.column("doc_id").take(some).combine_chunks(), "start": starts[item[a:b]] + start[a:b], "length": length[a:b],
-                    "doc_tokens": group.column("doc_tokens").take(some).combine_chunks(), "ids": pa.array(parts, pa.binary()),
+                    "doc_id": names.take(pa.array(item[a:b])), "start": starts[item[a:b]] + start[a:b], "length": size,
+                    "doc_tokens": whole[item[a:b]], "ids": _binary(ids[places], size),
                     "sequence_id": cell * (1 << 20) + sequence[a:b], "offset": offset[a:b],
                 }, schema)
+                a = b
 
     packed = (
         loose.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells)))
