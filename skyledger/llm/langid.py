@@ -2,8 +2,8 @@
 
 Training counts hashed letter n-grams per language over all training texts. A document is a
 mixture of languages; its proportions are estimated by expectation-maximisation from the
-likelihoods of its n-grams, for growing sets of languages, and the set with the best
-penalised likelihood (Bayesian information criterion) is kept.
+likelihoods of its n-grams, for a set of languages that grows as long as the penalised likelihood
+(Bayesian information criterion) rises.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from skyledger.llm import common
 
 #: Hash values of an n-gram, letters per n-gram.
 BUCKETS, NGRAM = 1 << 15, 3
-#: Languages that a document's set may hold, steps per set, and the weight of unseen n-grams.
-MOST_LANGUAGES, STEPS, PSEUDO = 3, 12, 0.5
+#: Steps per set at most, how far below its top a log likelihood may stay, and the weight of unseen n-grams.
+STEPS, SLACK, PSEUDO = 500, 0.01, 0.5
 #: Beyond this many languages the model does not fit a task, and training refuses.
 MODEL_LANGUAGES = 1000
 #: Code points that are worked on at once.
@@ -127,30 +127,55 @@ def train(docs: DataFrame, *, pseudo: float = PSEUDO) -> Model:
     return Model(names, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32))
 
 
-def _mixtures(
-    like: np.ndarray, count: np.ndarray, first: np.ndarray, total: np.ndarray, theta: np.ndarray, steps: int
+def _climb(
+    like: np.ndarray, count: np.ndarray, sizes: np.ndarray, theta: np.ndarray, steps: int, slack: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions per text after some steps, and the log likelihood of the last one."""
-    sizes = np.diff(np.append(first, len(count)))
-    value = np.zeros(len(first))
-    for _ in range(steps):
-        part = like * np.repeat(theta, sizes, axis=0)
-        whole = part.sum(axis=1)
-        value = np.add.reduceat(count * np.log(whole), first)
-        theta = np.add.reduceat(part * (count / whole)[:, None], first, axis=0) / total[:, None]
-    return theta, value
-
-
-def proportions(model: Model, texts: list[str], *, most: int = MOST_LANGUAGES, steps: int = STEPS) -> np.ndarray:
-    """One row of language proportions per text, zero outside its chosen set; zeros without n-grams.
-
-    The larger sets are the languages with the largest proportions of the mixture over all
-    languages, which takes half the steps.
+    """The likeliest proportions of each text, and their log likelihoods.
+
+    Expectation-maximisation, every third step of which is extrapolated from the two before. The
+    likelihood is concave: its largest slope tells how far below its top it can still be. A text is done
+    when that is at most ``slack``.
+    """
+    out = theta.copy()
+    here, older, middle = np.arange(len(theta)), theta, theta
+    rows, left, n, now = like, count, sizes, theta
+    for step in range(steps):
+        total = np.add.reduceat(left, np.cumsum(n) - n)
+        whole = (rows * np.repeat(now, n, axis=0)).sum(axis=1)
+        slope = np.add.reduceat(rows * (left / whole)[:, None], np.cumsum(n) - n, axis=0)
+        out[here] = now
+        go = slope.max(axis=1) - total > slack
+        if not go.any():
+            break
+        following = now * slope / total[:, None]
+        if step % 3 == 0:
+            older, middle = now, following
+        elif step % 3 == 1:
+            first, bend = middle - older, following - 2 * middle + older
+            size = np.sqrt(np.square(first).sum(axis=1) / np.maximum(np.square(bend).sum(axis=1), 1e-300))
+            size = np.clip(size, 1, 64)[:, None]
+            following = np.maximum(older + 2 * size * first + size * size * bend, 1e-9)
+            following /= following.sum(axis=1, keepdims=True)
+        now = following
+        if go.mean() < 0.7:
+            keep = np.repeat(go, n)
+            rows, left = rows[keep], left[keep]
+            here, n, now, older, middle = here[go], n[go], now[go], older[go], middle[go]
+    value = np.add.reduceat(count * np.log((like * np.repeat(out, sizes, axis=0)).sum(axis=1)), np.cumsum(sizes) - sizes)
+    return out, value
+
+
+def mixtures(model: Model, texts: list[str], *, most: int | None = None, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """One row of language proportions per text, zero outside its chosen set, and the text's fit; zeros without n-grams.
+
+    A set begins with the likeliest single language and takes in the one in whose direction the likelihood rises most, as long as
+    the penalised likelihood rises: at most ``most`` languages, or all. The fit is the mean log likelihood
+    of an n-gram above that of n-grams drawn evenly: at zero or below, no mixture explains the text better than chance.
     """
-    out = np.zeros((len(texts), len(model.languages)))
+    out, fits = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     width = len(model.languages)
     if not width:
-        return out
+        return out, fits
     for text, gram, count in ngram_counts(texts):
         if not len(text):
             continue
@@ -160,49 +185,79 @@ def proportions(model: Model, texts: list[str], *, most: int = MOST_LANGUAGES, s
         total = np.add.reduceat(count, first)
         logs = model.table[gram].astype(np.float64)
         # Each n-gram is scaled by its largest likelihood, which moves all sets alike.
-        like = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-12
-        even = np.full((len(first), width), 1.0 / width)
-        theta, _ = _mixtures(like, count, first, total, even, max(2, steps // 2))
-        rank = np.argsort(-theta, axis=1, kind="stable")
-        best_value = np.full(len(first), -np.inf)
-        best = np.zeros_like(theta)
-        for k in range(1, min(most, width) + 1):
-            picked = rank[:, :k]
-            some = np.take_along_axis(like, np.repeat(picked, sizes, axis=0), axis=1)
-            share, value = _mixtures(some, count, first, total, np.full((len(first), k), 1.0 / k), 1 if k == 1 else steps)
-            value -= 0.5 * (k - 1) * np.log(total) + k * np.log(width)
-            better = value > best_value + 1e-9
-            best_value = np.where(better, value, best_value)
-            full = np.zeros_like(theta)
-            np.put_along_axis(full, picked, share, axis=1)
-            best = np.where(better[:, None], full, best)
-        out[owner] = best
-    return out
-
-
-def identify(docs: DataFrame, model: Model, *, most: int = MOST_LANGUAGES) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``mixture``, from nothing but ``text``.
+        top = logs.max(axis=1)
+        like = np.exp(logs - top[:, None]) + 1e-12
+        alone = np.add.reduceat(count[:, None] * np.log(like), first, axis=0)
+        picked = alone.argmax(axis=1)[:, None]
+        share, value = np.zeros_like(alone), alone.max(axis=1)
+        np.put_along_axis(share, picked, 1.0, axis=1)
+        # What one more language costs.
+        cost = 0.5 * np.log(total) + np.log(width)
+        alive = np.arange(len(first))
+        while len(alive) and picked.shape[1] < (most or width):
+            mine = np.repeat(np.isin(np.arange(len(first)), alive), sizes)
+            rows, left, n = like[mine], count[mine], sizes[alive]
+            whole = (rows * np.repeat(share[alive], n, axis=0)).sum(axis=1)
+            slope = np.add.reduceat(rows * (left / whole)[:, None], np.cumsum(n) - n, axis=0)
+            np.put_along_axis(slope, picked, -np.inf, axis=1)
+            # The slopes bound what any larger set can gain.
+            more = slope.max(axis=1) - total[alive] > cost[alive]
+            added = slope.argmax(axis=1)[more]
+            keep = np.repeat(more, n)
+            alive, rows, left, n = alive[more], rows[keep], left[keep], n[more]
+            if not len(alive):
+                break
+            picked = np.column_stack([picked[more], added])
+            start = np.full(picked.shape, 0.1 / (picked.shape[1] - 1))
+            start[:, 0] = 0.9
+            if picked.shape[1] > 2:
+                start = np.column_stack([0.9 * np.take_along_axis(share[alive], picked[:, :-1], axis=1), np.full(len(alive), 0.1)])
+            some = np.take_along_axis(rows, np.repeat(picked, n, axis=0), axis=1)
+            found, reached = _climb(some, left, n, start, steps, SLACK)
+            better = reached - value[alive] > cost[alive]
+            alive, picked = alive[better], picked[better]
+            value[alive] = reached[better]
+            share[alive] = 0
+            full = np.zeros((len(alive), width))
+            np.put_along_axis(full, picked, found[better], axis=1)
+            share[alive] = full
+        out[owner] = share
+        fits[owner] = (value + np.add.reduceat(count * top, first)) / total + np.log(BUCKETS)
+    return out, fits
+
+
+def proportions(model: Model, texts: list[str], *, most: int | None = None, steps: int = STEPS) -> np.ndarray:
+    return mixtures(model, texts, most=most, steps=steps)[0]
+
+
+def identify(docs: DataFrame, model: Model, *, most: int | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score``, ``mixture`` and ``fit``, from nothing but ``text``.
 
     ``mixture`` maps each language of the chosen set to its proportion; ``lang_pred`` is the
-    one with the largest (the first by name among equals), ``score`` that proportion. A text that is null or
-    has no letter is ``und`` with score 0 and an empty mixture, as is any text under a model
-    without languages. A column of ``docs`` that has one of the three names gives way. The
+    one with the largest (the first by name among equals), ``score`` that proportion, ``fit`` how much likelier an n-gram is
+    than by chance, as a logarithm. A text that is null or
+    has no letter is ``und`` with score and fit 0 and an empty mixture, as is any text under a model
+    without languages. A column of ``docs`` that has one of the four names gives way. The
     model (32,768 numbers per language) is broadcast.
     """
-    found = common.spare(docs, "found")
+    found, names = common.spare(docs, "found"), ("lang_pred", "score", "mixture", "fit")
     return docs.withColumn(found, _identified(docs, model, most)).select(
-        *common.others(docs, "lang_pred", "score", "mixture"), f"{found}.lang_pred", f"{found}.score", f"{found}.mixture"
+        *common.others(docs, *names), *[f"{found}.{name}" for name in names]
     )
 
 
-def keep(docs: DataFrame, model: Model, *, least: float = 0.5, most: int = MOST_LANGUAGES) -> DataFrame:
-    """The rows with a language that makes up at least the part ``least`` of their text, with the columns they have."""
+def keep(docs: DataFrame, model: Model, *, least: float = 0.0, most: int | None = None) -> DataFrame:
+    """The rows whose text some mixture of languages explains better than chance, with the columns they have.
+
+    Texts in several languages stay, whatever their proportions. Rows without letters go, and those whose
+    fit is ``least`` or lower.
+    """
     found = common.spare(docs, "found")
-    sure = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)
+    sure = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.fit") > least)
     return docs.withColumn(found, _identified(docs, model, most)).where(sure).drop(found)
 
 
-def _identified(docs: DataFrame, model: Model, most: int):
+def _identified(docs: DataFrame, model: Model, most: int | None):
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -210,7 +265,7 @@ def _identified(docs: DataFrame, model: Model, most: int):
         here = Model(languages, table)
         for column in texts:
             values = [t if t is not None else "" for t in column.to_pylist()]
-            share = proportions(here, values, most=most)
+            share, fit = mixtures(here, values, most=most)
             # Letters that this Python does not know tell nothing of the language.
             lost = (share.sum(axis=1) == 0) & np.array([bool(v) for v in values], bool)
             share[lost] = 1.0 / max(1, len(languages))
@@ -225,10 +280,11 @@ def _identified(docs: DataFrame, model: Model, most: int):
                     pa.array(names, pa.string()),
                     pa.array(np.minimum(score, 1.0), pa.float64()),
                     pa.array(mixture, pa.map_(pa.string(), pa.float64())),
+                    pa.array(fit, pa.float64()),
                 ],
-                names=["lang_pred", "score", "mixture"],
+                names=["lang_pred", "score", "mixture", "fit"],
             )
 
-    predicted = F.arrow_udf(predict, "lang_pred string, score double, mixture map<string,double>")
+    predicted = F.arrow_udf(predict, "lang_pred string, score double, mixture map<string,double>, fit double")
     there = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return predicted(F.when(there, F.col("text")))

@@ -51,6 +51,35 @@ def test_proportions_are_the_likeliest(model):
     assert share[b] == pytest.approx(best, abs=0.015)
 
 
+def test_production_defaults_reach_the_top(model):
+    """Four languages, of shares near each other and far apart: no direction improves the likelihood, and all are found."""
+    for words in ((40, 40, 40, 40), (200, 90, 40, 25), (55, 45, 3, 0)):
+        mixed = " ".join(text(lang, n, 20 + n) for lang, n in zip(SOUNDS, words))
+        share, fit = langid.mixtures(model, [mixed])
+        _, gram, count = next(iter(langid.ngram_counts([mixed])))
+        p = np.exp(model.table[gram].astype(float))
+        # The top over all four, by many plain steps.
+        theta = np.full(4, 0.25)
+        for _ in range(20_000):
+            part = p * theta
+            theta = (part * (count / part.sum(axis=1))[:, None]).sum(axis=0) / count.sum()
+        there = share[0] > 0
+        assert {k for k, n in zip(SOUNDS, words) if n > 3} <= {model.languages[k] for k in np.flatnonzero(there)}
+        if there.all():
+            assert np.abs(share[0] - theta).max() < 0.01
+        slope = (p[:, there] * (count / (p @ share[0]))[:, None]).sum(axis=0)
+        assert slope.max() - count.sum() <= 2 * langid.SLACK
+        assert fit[0] == pytest.approx((count * np.log(p @ share[0])).sum() / count.sum() + np.log(langid.BUCKETS)) and fit[0] > 0
+
+
+def test_mixed_texts_stay_and_noise_goes(spark, model):
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choices("bcdfgjkqwxzþđŋ", k=rng.randint(2, 9))) for _ in range(80))
+    mixed = " ".join(text(lang, 40, 5) for lang in SOUNDS)
+    rows = [(1, mixed), (2, noise), (3, text("xa", 40, 6)), (4, text("xa", 20, 6) + " " + text("xb", 20, 6)), (5, "12"), (6, None)]
+    assert sorted(collected(langid.keep(documents(spark, rows), model), "doc_id")) == [(1,), (3,), (4,)]
+
+
 def test_rows_without_letters_are_unknown(spark, model, awkward, nothing):
     rows = [(1, None), (2, ""), (3, "12 %% \U0001f600"), (4, "a")]
     got = {d: (p, s) for d, p, s in collected(langid.identify(documents(spark, rows), model), "doc_id", "lang_pred", "score")}
