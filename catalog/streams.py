@@ -28,8 +28,8 @@ def events(t, raw=None):
         "cast(round(value * 100) AS bigint) AS price_minor", "props")
 
 
-def landed(t, shape, files_per_batch: int = 2):
-    """The events as a stream of five files, the newest first."""
+def landed(t, shape, fifths_per_batch: int = 2):
+    """The events as a stream of five fifths, the newest first, each in as many files as it has partitions."""
     folder = f"{work_dir(t.spark, 'landed')}/events"
     rows = t.raw("events")
     low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
@@ -37,8 +37,9 @@ def landed(t, shape, files_per_batch: int = 2):
     # Runs of five events are cut by some of the bounds.
     for k in range(4, -1, -1):
         part = rows.where(F.col("event_id").between(low + k * step, low + (k + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return shape(t, jobs.stream_files(t.spark, folder, rows.schema, "*.parquet", files_per_batch))
+        part.write.mode("append").parquet(folder)
+    files = -(-len(t.spark.read.parquet(folder).inputFiles()) * fifths_per_batch // 5)
+    return shape(t, jobs.stream_files(t.spark, folder, rows.schema, "*.parquet", files))
 
 
 def observations(t, raw=None):
@@ -60,7 +61,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id, currency, is_direct
 def stream_latest_snapshot(t):
     out, checkpoint = place(t, "snapshot")
     jobs.latest_snapshots(landed(t, observations), out, checkpoint)
-    return jobs.read_merged(t.spark, out).drop("offer_fingerprint", "itinerary_id", "offer_id")
+    return jobs.read_newest(t.spark, out, jobs.snapshots_of).drop("offer_fingerprint", "itinerary_id", "offer_id")
 
 
 @query("stream_daily_trend", sql("""
@@ -110,7 +111,7 @@ QUALIFY row_number() OVER (PARTITION BY event_id // 5 ORDER BY observed_at DESC,
 def latest_run_state(t):
     out, checkpoint = place(t, "latest-state")
     jobs.run_states(landed(t, state_events), out, checkpoint)
-    return jobs.read_merged(t.spark, out).drop("event_id")
+    return jobs.read_newest(t.spark, out, jobs.states_of).drop("event_id")
 
 
 @query("stream_shape_drift", sql("SELECT DISTINCT endpoint, shape_fingerprint FROM shape", shape=cr._SHAPES))

@@ -1,7 +1,7 @@
 """Streaming jobs. Every sink can repeat a batch without changing its result.
 
 A batch writes the partition of its stream and its number and overwrites it when it is run
-again, or it rebuilds whole days. Progress lives in the checkpoint folder, and so does
+again, or it rebuilds whole days. What is newest per key is streaming state. Progress lives in the checkpoint folder, and so does
 the stream's id: a new checkpoint is another stream, so its batches, cut as they may be, never
 overwrite those of an older one.
 """
@@ -9,7 +9,7 @@ overwrite those of an older one.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date
 
 import pandas as pd
@@ -22,9 +22,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skyledger.functions.payload import shape_fingerprint
 from skyledger.functions.times import bucket_start
 from skyledger.operators.history import RUN_KEYS
-from skyledger.operators.paging import least, newest
 from skyledger.operators.trends import DAILY_SCHEMA, daily_trend, trend_coverage
-from skyledger.operators.writes import PRICE_KEYS, append_new, price_batch
+from skyledger.operators.writes import PRICE_KEYS, append_new
 from skyledger.sources.observations import month_of
 
 
@@ -112,67 +111,67 @@ def ingest(captures: DataFrame, path: str, checkpoint: str, normalize: Callable[
 # -- newest wins -------------------------------------------------------------------
 
 
-def merge_batch(rows: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame],
-                buckets: int = 16) -> None:
-    """Merge a batch into a keyed table: one row per key, however many batches there were.
+def newest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cheapest: Sequence[str],
+                   values: Sequence[str]) -> DataFrame:
+    """One row per key: the greatest ``order`` values (numbers and times), and of those the least ``cheapest`` ones.
 
-    Keys are dealt into ``buckets`` folders. A batch writes a new version of each bucket it touches,
-    made from the newest version and its own rows, and drops all versions before that one. Readers
-    take the newest version of each bucket, so a batch that dies leaves the old one. Merging
-    the same rows again changes nothing, which makes a repeat harmless.
+    A single minimum, so it adds up over tasks, batches and stored rows alike, in any cut.
     """
-    spark = rows.sparkSession
-    numbered = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    schema = T.StructType([*numbered.schema.fields, T.StructField("version", T.LongType())])
-    stored = read_or_empty(spark, path, schema)
-    touched = numbered.select("bucket").distinct()
-    held = stored.groupBy("bucket").agg(F.max("version").alias("version"))
-    # One row per bucket: a list with a fixed bound.
-    versions = {r.bucket: r.version for r in held.join(touched, "bucket", "left_semi").collect()}
-    current = stored.join(F.broadcast(held), ["bucket", "version"], "left_semi").join(touched, "bucket", "left_semi")
-    merged = merge(current.drop("version").unionByName(numbered))
-    number = max(versions.values(), default=0) + 1
-    merged.withColumn("version", F.lit(number).cast("bigint")).write.mode("append").partitionBy("bucket", "version").parquet(path)
-    for bucket, version in versions.items():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in files.listStatus(folder):
-            if int(status.getPath().getName().removeprefix("version=")) < version:
-                files.delete(status.getPath(), True)
-
-
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every bucket."""
-    stored = spark.read.parquet(path)
-    held = stored.groupBy("bucket").agg(F.max("version").alias("version"))
-    return stored.join(F.broadcast(held), ["bucket", "version"], "left_semi").drop("bucket", "version")
+    kinds = dict(rows.dtypes)
 
+    def descending(name: str):
+        return -(F.unix_micros(F.col(name).cast("timestamp")) if kinds[name].startswith("timestamp") else F.col(name))
 
-def latest_snapshots(observations: DataFrame, path: str, checkpoint: str) -> None:
-    """The newest cheapest offer per query, currency and kind, merged batch by batch."""
-    values = ["observed_at", "run_id", "total_price_minor", "offer_fingerprint", "itinerary_id", "offer_id"]
+    rank = [descending(name).alias(f"rank_{k}") for k, name in enumerate(order)]
+    kept = [name for name in values if name not in cheapest]
+    best = F.min(F.struct(*rank, *cheapest, *kept)).alias("best")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[f"best.{name}" for name in values])
 
-    def merge(rows: DataFrame) -> DataFrame:
-        # Of one run in two batches the cheaper offer stays.
-        cheapest = least(rows, [*PRICE_KEYS, "bucket", "observed_at", "run_id"], ["total_price_minor", "offer_fingerprint"],
-                         ["total_price_minor", "offer_fingerprint", "itinerary_id", "offer_id"])
-        return newest(cheapest, [*PRICE_KEYS, "bucket"], ["observed_at", "run_id"], values)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(price_batch(batch), path, list(PRICE_KEYS), merge)
+SNAPSHOT_VALUES = ("observed_at", "run_id", "total_price_minor", "offer_fingerprint", "itinerary_id", "offer_id")
+STATE_VALUES = ("state", "observed_at", "event_id")
 
-    run_available(observations.writeStream.foreachBatch(step), checkpoint)
 
+def snapshots_of(observations: DataFrame) -> DataFrame:
+    """The cheapest offer of the newest run per query, currency and kind; of one run in two batches the cheaper offer stays."""
+    return newest_per_key(observations, PRICE_KEYS, ["observed_at", "run_id"], ["total_price_minor", "offer_fingerprint"],
+                          SNAPSHOT_VALUES)
 
-def run_states(events: DataFrame, path: str, checkpoint: str) -> None:
-    """The newest state of every run, merged batch by batch."""
-    order = ["observed_at", "event_id"]
+
+def states_of(events: DataFrame) -> DataFrame:
+    """The newest state of every run."""
+    return newest_per_key(events, ["run_id"], ["observed_at", "event_id"], [], STATE_VALUES)
+
+
+def keep_newest(rows: DataFrame, path: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame]) -> None:
+    """Hold one row per key as streaming state, and store the keys that a batch touches.
+
+    The state has one row per key however long the stream runs, and late rows never win. Stored rows are partial
+    results of ``reduce``: ``read_newest`` reduces them once more, so neither a repeated batch
+    nor a stream that starts again in other cuts changes what is read.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        states = newest(batch, ["run_id"], order, ["state", *order])
-        merge_batch(states, path, ["run_id"], lambda rows: newest(rows, ["run_id", "bucket"], order, ["state", *order]))
+        write_batch(batch, path, checkpoint, batch_id)
 
-    run_available(events.writeStream.foreachBatch(step), checkpoint)
+    run_available(reduce(rows).writeStream.outputMode("update").foreachBatch(step), checkpoint)
+
+
+def read_newest(spark: SparkSession, path: str, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return reduce(spark.read.parquet(path))
+
+
+def compact_newest(spark: SparkSession, path: str, target: str, reduce: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the stored rows as a new table of one row per key, which ``read_newest`` reads as well."""
+    read_newest(spark, path, reduce).write.parquet(target)
+
+
+def latest_snapshots(observations: DataFrame, path: str, checkpoint: str) -> None:
+    keep_newest(observations, path, checkpoint, snapshots_of)
+
+
+def run_states(events: DataFrame, path: str, checkpoint: str) -> None:
+    keep_newest(events, path, checkpoint, states_of)
 
 
 # -- daily rows and hourly buckets ---------------------------------------------------

@@ -161,15 +161,31 @@ def test_stream_snapshot_ignores_late_rows(spark, obs, plain):
     stream = jobs.stream_files(spark, folder, obs.schema, "*.parquet", files_per_batch=1)
     jobs.latest_snapshots(stream, f"{base}/out", f"{base}/checkpoint")
     columns = ("query_id", "currency", "is_direct", "observed_at", "total_price_minor")
-    got = jobs.read_merged(spark, f"{base}/out")
     want = plain(writes.upsert_price_snapshot(None, obs), *columns)
-    assert plain(got, *columns) == want
-    # Again from an empty checkpoint, in other cuts: the table neither changes nor grows.
-    size = spark.read.parquet(f"{base}/out").count()
+    assert plain(jobs.read_newest(spark, f"{base}/out", jobs.snapshots_of), *columns) == want
+    # Again from an empty checkpoint, in other cuts: what is read stays the same.
     stream = jobs.stream_files(spark, folder, obs.schema, "*.parquet", files_per_batch=2)
     jobs.latest_snapshots(stream, f"{base}/out", f"{base}/checkpoint-2")
-    assert plain(jobs.read_merged(spark, f"{base}/out"), *columns) == want
-    assert spark.read.parquet(f"{base}/out").count() <= 2 * len(want) >= size
+    assert plain(jobs.read_newest(spark, f"{base}/out", jobs.snapshots_of), *columns) == want
+    # No batch stores more than one row per key, and a compacted table has one row per key.
+    batches = spark.read.parquet(f"{base}/out").groupBy("stream_id", "batch_id").count()
+    assert max(r["count"] for r in batches.collect()) <= len(want)
+    jobs.compact_newest(spark, f"{base}/out", f"{base}/compact", jobs.snapshots_of)
+    assert spark.read.parquet(f"{base}/compact").count() == len(want)
+    assert plain(jobs.read_newest(spark, f"{base}/compact", jobs.snapshots_of), *columns) == want
+
+
+def test_of_one_run_in_two_batches_the_cheaper_offer_stays(spark, plain):
+    schema = ("query_id long, currency string, is_direct boolean, observed_at timestamp_ntz, run_id long, total_price_minor long, "
+              "offer_fingerprint string, itinerary_id string, offer_id string")
+    at, base = datetime(2026, 4, 1), work_dir(spark, "t-split")
+    rows = [(1, "CNY", True, at, 7, 90, "b", "i", "o"), (1, "CNY", True, at, 7, 80, "c", "j", "p"), (1, "CNY", True, at, 6, 10, "a", "k", "q"),
+            (None, None, None, at, 5, 70, "z", "l", "r")]
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    jobs.latest_snapshots(jobs.stream_files(spark, f"{base}/in", schema, "*.parquet", 1), f"{base}/out", f"{base}/checkpoint")
+    got = plain(jobs.read_newest(spark, f"{base}/out", jobs.snapshots_of), "query_id", "run_id", "total_price_minor", "offer_id")
+    assert got == sorted([(1, 7, 80, "p"), (None, 5, 70, "r")], key=repr)
 
 
 def five_files(spark, rows, name):
