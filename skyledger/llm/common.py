@@ -83,55 +83,48 @@ def commit_file(fs: pafs.FileSystem, path: str, data: bytes) -> None:
 
 
 def range_cuts(
-    df: DataFrame, key: str, weight: Column, target: int, *, buckets: int = 4096, rounds: int = 6, most: int = 1 << 16
+    df: DataFrame, key: str, weight: Column, target: int, *, buckets: int = 4096, rounds: int = 24, most: int = 1 << 16
 ) -> list[int]:
     """Lower bounds of key ranges that hold about ``target`` of ``weight`` each.
 
     The bounds come from exact sums per key interval, so they depend on the rows alone and
     not on their order or partitions. Intervals that hold more than ``target`` are divided
-    again, in at most ``rounds`` jobs whose results are ``buckets`` rows at most. A single
+    again, each into at least as many parts as it needs ranges, twice over, until none is left or ``rounds`` jobs have run. A single
     key is never divided. Null keys belong to the first range. There are about ``most``
-    ranges at most; beyond that ``target`` grows, so the list has a fixed bound.
+    ranges at most; beyond that ``target`` grows, so the lists have a fixed bound.
     """
     bounds = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     if bounds is None or bounds[0] is None:
         return []
     target = max(target, -(-int(bounds[2]) // most))
-    edges = [(int(bounds[0]), int(bounds[1]))]
-    sums: dict[int, int] = {}
+    value = F.col(key).cast("bigint")
+    edges, sums = [(int(bounds[0]), int(bounds[1]))], {int(bounds[0]): int(bounds[2])}
     for _ in range(rounds):
         if not edges:
             break
-        each = max(1, buckets // len(edges))
         intervals = []
         for low, high in edges:
-            step = max(1, -(-(high - low + 1) // each))
-            intervals.append((low, high, step))
-        expr = F.lit(None).cast("bigint")
-        column = F.col(key).cast("bigint")
-        if len(intervals) == 1:
-            low, high, step = intervals[0]
-            expr = F.lit(low) + F.floor((column - low) / F.lit(step)) * step
-            counted = df.where(column.between(low, high)).groupBy(expr.cast("bigint").alias("k"))
-        else:
-            spark = df.sparkSession
-            side = spark.createDataFrame(intervals, "low bigint, high bigint, step bigint")
-            counted = (
-                df.select(column.alias("__key"), weight.alias("__weight"))
-                .join(F.broadcast(side), F.col("__key").between(F.col("low"), F.col("high")))
-                .groupBy((F.col("low") + F.floor((F.col("__key") - F.col("low")) / F.col("step")) * F.col("step")).cast("bigint").alias("k"))
-            )
-            weight_here = F.col("__weight")
-        found = counted.agg(F.sum(weight if len(intervals) == 1 else weight_here).alias("w")).collect()
-        width = {}
-        for low, high, step in intervals:
-            sums.pop(low, None)
-            for row in found:
-                if low <= row["k"] <= high:
-                    width[row["k"]] = min(high, row["k"] + step - 1)
+            parts = max(buckets // len(edges), 2 * -(-sums.pop(low) // target))
+            intervals.append((low, high, max(1, -(-(high - low + 1) // parts))))
+        lows, highs, steps = ([int(x[k]) for x in intervals] for k in range(3))
+        # The interval of a key is found by halving; keys of intervals that are small enough fall between them.
+        place = F.greatest(_rank(value, F.lit(lows), len(lows)) - 1, F.lit(0))
+        low, high, step = (F.get(F.lit(x), place) for x in (lows, highs, steps))
+        found = (
+            df.where(value.isNotNull()).select(value.alias("__key"), weight.alias("__weight"), low.alias("__low"), high.alias("__high"), step.alias("__step"))
+            .where(F.col("__key").between(F.col("__low"), F.col("__high")))
+            .groupBy("__low", F.expr("(__key - __low) div __step").alias("n")).agg(F.sum("__weight").alias("w"))
+            .select((F.col("__low")).alias("low"), "n", "w").collect()
+        )
+        size = {x[0]: x for x in intervals}
+        edges = []
         for row in found:
-            sums[row["k"]] = int(row["w"] or 0)
-        edges = [(k, width[k]) for k in sorted(width) if sums[k] > target and width[k] > k][:buckets]
+            low, high, step = size[row["low"]]
+            start = low + row["n"] * step
+            sums[start] = int(row["w"] or 0)
+            if sums[start] > target and step > 1 and start < high:
+                edges.append((start, min(high, start + step - 1)))
+        edges.sort()
     cuts, total = [], 0
     for k in sorted(sums):
         if total and total + sums[k] > target:

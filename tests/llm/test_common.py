@@ -50,6 +50,19 @@ def test_shards_cover_ranges_and_ignore_order(spark):
     assert common.range_cuts(df.limit(0), "k", F.col("w"), 10) == []
 
 
+def test_dense_and_lumpy_ranges_are_divided_to_the_end(spark):
+    # More intervals exceed the target at once than a round has buckets.
+    dense = spark.range(6000).selectExpr("id AS k", "10L AS w")
+    cuts = common.range_cuts(dense, "k", F.col("w"), 20, buckets=64)
+    assert len(cuts) == 2999 and max(b - a for a, b in zip(cuts, cuts[1:])) == 2
+    lumpy = spark.range(4000).selectExpr("CASE WHEN id < 2000 THEN id * 3 WHEN id < 3900 THEN 1000000000000 + id ELSE -id * 1000000007 END AS k", "1L AS w")
+    cuts = common.range_cuts(lumpy, "k", F.col("w"), 10, buckets=16)
+    sizes = lumpy.groupBy(common.shard_of("k", cuts)).agg(F.sum("w")).collect()
+    assert max(s[1] for s in sizes) <= 10 and len(cuts) < 850
+    one = spark.range(50).selectExpr("7L AS k", "1L AS w")
+    assert common.range_cuts(one, "k", F.col("w"), 3) == []
+
+
 def test_groups_come_whole():
     batches = [pa.RecordBatch.from_pydict({"k": k, "v": list(range(len(k)))}) for k in ([1, 1, 2], [], [2, 2], [3], [3, 4])]
     sizes = [(t.column("k")[0].as_py(), t.num_rows) for t in common.groups_of(iter(batches), ["k"])]
