@@ -1,8 +1,8 @@
 """Token ids of whole texts, and a word-aligned binary format for them (Simple-8b).
 
 Encoding: each 64-bit little-endian word holds a selector in its top four bits and as many
-ids of equal width as fit into the other 60. Selector 15 is an escape: its low 28 bits hold
-one id of more than 20 bits. File: ``S8B1``, then blocks. A block holds whole documents and
+ids of equal width as fit into the other 60. Selector 15 is an escape: its other bits hold
+one id that no selector has room for. File: ``S8B1``, then blocks. A block holds whole documents and
 begins with ``u32 documents, u32 ids, u32 words``, then the doc_ids (i64; the smallest value
 stands for null), the ids per document (u32) and the words. The manifest keeps the offset of
 every block, so blocks can be read alone, and a block is decoded selector by selector with
@@ -253,13 +253,13 @@ def crc_of(ids: np.ndarray) -> int:
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
-    """Simple-8b words of ids below 2^28; each word takes as many ids as it can."""
+    """Simple-8b words of unsigned 32-bit ids; each word takes as many ids as it can."""
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint64)
     values = ids.astype(np.uint64)
-    if int(values.max()) >= 1 << 28:
-        raise ValueError("ids must be below 2^28")
+    if int(values.max()) >= 1 << 32:
+        raise ValueError("ids must be below 2^32")
     bits = np.zeros(n, np.int64)
     some = values > 0
     bits[some] = np.floor(np.log2(values[some].astype(np.float64))).astype(np.int64) + 1
@@ -306,7 +306,7 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     for selector in np.unique(selectors).tolist():
         mine = np.flatnonzero(selectors == selector)
         if selector == ESCAPE:
-            out[first[mine]] = (words[mine] & np.uint64((1 << 28) - 1)).astype(np.uint32)
+            out[first[mine]] = (words[mine] & np.uint64((1 << 60) - 1)).astype(np.uint32)
             continue
         width = WIDTHS[selector]
         mask = np.uint64((1 << width) - 1)

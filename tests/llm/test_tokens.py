@@ -44,13 +44,17 @@ def test_words_hold_what_was_packed():
     rng = np.random.default_rng(4)
     for ids in (
         np.zeros(0, np.uint32), np.zeros(500, np.uint32), np.ones(61, np.uint32), np.array([(1 << 28) - 1, 0, 1 << 20], np.uint32),
-        rng.integers(0, 1 << 28, 1000).astype(np.uint32), (rng.integers(0, 1 << 28, 5000) >> rng.integers(0, 28, 5000)).astype(np.uint32),
+        rng.integers(0, 1 << 28, 1000).astype(np.uint32), rng.integers(0, 1 << 32, 1000).astype(np.uint32),
+        np.array([(1 << 32) - 1, 1 << 30, 5, (1 << 30) - 1, 1 << 31], np.uint32), (rng.integers(0, 1 << 28, 5000) >> rng.integers(0, 28, 5000)).astype(np.uint32),
     ):
         words = tokens.pack(ids)
         assert (tokens.unpack(words, len(ids)) == ids).all()
     assert len(tokens.pack(rng.integers(0, 1 << 15, 4000).astype(np.uint32))) <= 1010
-    with pytest.raises(ValueError, match="2\\^28"):
-        tokens.pack(np.array([1 << 28], np.uint32))
+    # What no selector has room for takes an escape.
+    words = tokens.pack(np.array([1, 1 << 30, 2], np.uint32))
+    assert tokens.ESCAPE in (words >> np.uint64(60)).tolist()
+    with pytest.raises(ValueError, match="2\\^32"):
+        tokens.pack(np.array([1 << 32], np.uint64))
 
 
 @pytest.mark.parametrize(("file_bytes", "block_ids"), [(1, 1), (2000, 300), (1 << 24, 1 << 16)])
