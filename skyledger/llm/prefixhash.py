@@ -90,8 +90,12 @@ class PrefixHash:
         """Do two spans hold the same code points (but for a hash collision)?"""
         if start + length > self.length or place + length > other.length:
             return False
-        a, b = self.spans(np.array([start]), length), other.spans(np.array([place]), length)
-        return bool(a[0] == b[0])
+        for mine, others, prime, (powers, _) in zip(self.sums, other.sums, PRIMES, _tables(max(self.length, other.length) + 1)):
+            a, b = int(mine[start + length]) - int(mine[start]), int(others[place + length]) - int(others[place])
+            # Both spans are moved to the same power of the base.
+            if (a * int(powers[place]) - b * int(powers[start])) % prime:
+                return False
+        return True
 
     def common_extension(self, start: int, other: PrefixHash, place: int) -> int:
         """How many code points from two places on are the same, by binary search."""
@@ -149,13 +153,13 @@ class _Document:
         self.sketch = sketch(self.windows, kept)
         self.name = _name(self.prefix, self.sketch)
 
-    def edited(self, following: _Document, span: int, kept: int) -> tuple[str, str, np.ndarray]:
+    def edited(self, following: _Document, span: int, kept: int) -> tuple[str, str, np.ndarray, int]:
         n = self.prefix.length
         cut = n // 4
         take = min(cut, following.prefix.length)
         text = self.text[: n - cut] + following.text[:take]
         if text == self.text:
-            return text, self.name, self.sketch
+            return text, self.name, self.sketch, n
         prefix = self.prefix.joined(n - cut, following.prefix, take)
         m = prefix.length
         if m >= span:
@@ -165,18 +169,21 @@ class _Document:
         else:
             hashes = prefix.windows(m) if m else np.zeros(0, np.uint64)
         least = sketch(hashes, kept)
-        return text, _name(prefix, least), least
+        return text, _name(prefix, least), least, self.prefix.common_extension(0, prefix, 0)
 
 
 RESULT = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, same_edited bigint, same_next bigint"
 )
 
 
 def fingerprints(docs: DataFrame, *, span: int = SPAN, kept: int = KEPT, shard_bytes: int = 4 << 20) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how alike fingerprints are.
 
+    ``same_edited`` and ``same_next`` count the code points from the beginning on that the text shares with its edited text and
+    with the next one: longest common extensions by binary search over the prefix arrays.
+
     The edited text has its last quarter replaced by the beginning of the next document in
     ascending doc_id order; the first one follows the last. Null doc_ids come first, equal
     ones are ordered by text, repeated rows follow each other. A null text is empty; an empty
@@ -201,6 +208,7 @@ def fingerprints(docs: DataFrame, *, span: int = SPAN, kept: int = KEPT, shard_b
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+        ("same_edited", pa.int64()), ("same_next", pa.int64()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +218,11 @@ def fingerprints(docs: DataFrame, *, span: int = SPAN, kept: int = KEPT, shard_b
             for ahead, k, text in zip(*(batch.column(c).to_pylist() for c in ("ahead", "k", "text"))):
                 now = _Document(None if k == -(1 << 63) else k, text, span, kept)
                 if before is not None:
-                    edited, name, least = before.edited(now, span, kept)
+                    edited, name, least, same = before.edited(now, span, kept)
                     out.append((
                         before.doc_id, before.prefix.length, hashlib.sha256(edited.encode()).hexdigest(), before.name, name,
                         likeness(before.sketch, least, kept), likeness(before.sketch, now.sketch, kept),
+                        same, before.prefix.common_extension(0, now.prefix, 0),
                     ))
                 before = None if ahead else now
             if out:

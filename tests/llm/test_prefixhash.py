@@ -47,13 +47,14 @@ def brute(rows):
         text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
-        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+        same = [next((k for k, (a, b) in enumerate(zip(text, x)) if a != b), min(len(text), len(x))) for x in (edited, after)]
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), *same))
     return out
 
 
 @pytest.mark.parametrize("shard_bytes", [1, 2000, 1 << 22])
 def test_every_row_meets_its_next(spark, awkward, shard_bytes):
-    got = collected(fingerprints(awkward, shard_bytes=shard_bytes), "doc_id", "n_chars", "edited_sha256")
+    got = collected(fingerprints(awkward, shard_bytes=shard_bytes), "doc_id", "n_chars", "edited_sha256", "same_edited", "same_next")
     assert sorted(got, key=repr) == sorted(brute(collected(awkward, "doc_id", "text")), key=repr)
 
 
