@@ -49,12 +49,17 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
+def in_few_files(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a partition gather in as few files as their size asks for; a large one is still written by many tasks."""
+    return df.hint("rebalance", *by) if by else df.hint("rebalance")
+
+
 def write_batch(df: DataFrame, path: str, checkpoint: str, batch_id: int, *also_by: str) -> None:
     """Write one batch into its own partition, replacing an earlier try of the same stream."""
     stream = stream_id(df.sparkSession, checkpoint)
     numbered = df.withColumns({"stream_id": F.lit(stream), "batch_id": F.lit(batch_id).cast("bigint")})
     (
-        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        in_few_files(numbered, *also_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("stream_id", "batch_id", *also_by).parquet(path)
     )
 
@@ -192,7 +197,7 @@ def rebuild_days(observations: DataFrame, raw_path: str, path: str, checkpoint:
         stored = batch.sparkSession.read.schema(with_batch_id(dated.schema)).parquet(raw_path).drop(*BATCH_COLUMNS)
         rebuilt = build(stored.join(touched, "observation_date", "left_semi").drop("observation_date"))
         (
-            rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            in_few_files(rebuilt, "observation_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("observation_date").parquet(path)
         )
 
@@ -409,7 +414,7 @@ def backfill_daily_trend(spark: SparkSession, raw_path: str, daily_path: str, pr
             outputs.append((observed_coverage(rows), coverage_path))
         for output, path in outputs:
             (
-                output.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                in_few_files(output, "observation_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("observation_date").parquet(path)
             )
         spark.createDataFrame([(month, scope)], "obs_month DATE, scope STRING").write.mode("append").parquet(progress_path)
