@@ -14,6 +14,8 @@ from skyledger.operators import filters as fl
 from skyledger.operators import runs as ru
 from skyledger.operators import writes as wr
 from skyledger.operators.paging import first_pages, page_ends
+from skyledger.session import cut_lineage
+from skyledger.skew import fits_broadcast, join_checked
 from skyledger.sources.testdata import AS_OF as NOW
 
 _VISIBLE = """SELECT DISTINCT s.user_id, r.* FROM run r JOIN sub s ON s.query_id = r.query_id {where}
@@ -137,20 +139,20 @@ LEFT JOIN (SELECT event_id // 5 AS run_id, min('shape' || event_type) AS schema_
 WHERE page_row <= 20""", visible=_VISIBLE.format(where=""), page=_PAGE, diagnostic=_DIAGNOSTICS,
     visible_enabled=_VISIBLE.format(where="AND s.enabled"), health=_HEALTH.replace("visible)", "visible_enabled)")))
 def run_list_view(t):
-    """Counts, diagnostics and the header are joined to the pages only."""
-    pages = ru.run_pages(t.runs(), t.subscriptions(), 20)
+    """Counts, diagnostics and the header are joined to the pages only, which are written once."""
+    pages = cut_lineage(ru.run_pages(t.runs(), t.subscriptions(), 20))
     listed = pages.select("run_id").distinct()
+    few = fits_broadcast(listed)
 
     def of_pages(rows):
-        return rows.join(listed, "run_id", "left_semi")
+        return join_checked(rows, listed, ["run_id"], "left_semi", small=few)
 
     counts = wr.run_summary_counts(
-        of_pages(t.runs()), of_pages(t.calendar_observations()), of_pages(t.itineraries()), of_pages(t.offers()),
-        of_pages(t.observations()))
+        of_pages(t.runs()), of_pages(t.calendar_observations()), of_pages(t.itineraries()), of_pages(t.offers()))
     shapes = t.events().selectExpr("event_id div 5 AS run_id", "event_type").groupBy("run_id").agg(
         F.min(F.concat(F.lit("shape"), "event_type")).alias("schema_fingerprint"))
     return ru.run_list_view(
-        pages, t.queries(), counts.drop("observation_count"), of_pages(shapes), ru.run_diagnostics(of_pages(issues(t))),
+        pages, t.queries(), counts, of_pages(shapes), ru.run_diagnostics(of_pages(issues(t))),
         ru.collection_health(t.runs(), t.subscriptions(), NOW))
 
 

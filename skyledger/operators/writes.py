@@ -117,14 +117,16 @@ def advance_subscriptions(subscriptions: DataFrame, finished: DataFrame) -> Data
 
 
 def run_summary_counts(runs: DataFrame, calendar: DataFrame, itineraries: DataFrame,
-                       offers: DataFrame, observations: DataFrame) -> DataFrame:
-    """Stored rows per run, zero where nothing was stored.
+                       offers: DataFrame, observations: DataFrame | None = None) -> DataFrame:
+    """Stored rows per run, zero where nothing was stored; observations are counted where they are given.
 
     All sources go through one aggregate, so the runs are shuffled once.
     """
-    names = ("calendar_count", "itinerary_count", "offer_count", "observation_count")
-    frames = (calendar, itineraries, offers, observations)
-    marks = [frame.select("run_id", F.lit(name).alias("kind")) for name, frame in zip(names, frames, strict=True)]
+    frames = {"calendar_count": calendar, "itinerary_count": itineraries, "offer_count": offers}
+    if observations is not None:
+        frames["observation_count"] = observations
+    names = list(frames)
+    marks = [frame.select("run_id", F.lit(name).alias("kind")) for name, frame in frames.items()]
     rows = runs.select("run_id", F.lit("run").alias("kind"))
     for part in marks:
         rows = rows.unionByName(part)
