@@ -11,6 +11,7 @@ from skyledger.functions.money import average, percent_change
 from skyledger.functions.times import bucket_start, full_utc_days
 from skyledger.operators.history import run_floor, run_minima, simple_minima, time_range
 from skyledger.operators.paging import page
+from skyledger.session import cut_lineage
 from skyledger.skew import BROADCAST_ROWS, join_checked
 
 DAILY_KEYS = ("query_id", "observation_date", "currency", "direct_only")
@@ -140,10 +141,10 @@ def trend_contributions(
     edges of the range. All other branches read the raw rows of their queries; when there are none, the
     raw rows of the whole range are not scanned. The time bounds of the edges are
     literals, so the edge scans prune to the months of their two days.
-    One job counts both kinds of branches while the plan is built.
+    The routed branches are written once while the plan is built, and both kinds counted.
     """
     start, end = full_utc_days(since, as_of)
-    routed = split_by_coverage(branch_rows, coverage, since, as_of)
+    routed = cut_lineage(split_by_coverage(branch_rows, coverage, since, as_of))
     covered, uncovered = routed.where("covered"), routed.where("NOT covered")
     n_covered, n_uncovered, n_wishing = routed.agg(
         F.count_if("covered"), F.count_if(~F.col("covered")), F.count_if("needs_scan")
