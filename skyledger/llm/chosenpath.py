@@ -4,8 +4,8 @@ Equal sets are one set with a number of copies. Each run starts one path per set
 token: the ``RUNS`` smallest hashes of each set. Near sets share most of their starts, so they
 also share one among the rarest: a set follows only as many starts, rarest first, as leave fewer than
 near sets share. Sets that meet on a path are a bucket. A bucket of two is a
-candidate pair. In a larger one, all sets are compared with one of them by sketches: if none is
-unlike it the bucket is settled, else all whose sketch differs from its go on, on paths extended by more sampled
+candidate pair. In a larger one, all sets are compared by sketches with the one that meets most others: if none is
+unlike it the bucket is settled, else the unlike ones go on, with those that one of them may be near, on paths extended by more sampled
 tokens of theirs, until buckets are small. What is left after the last extension stays
 together. The target recall is divided among the three places where a near pair can be lost: the starts, the
 estimate from sketches, and the extensions. Candidate pairs make groups; inside each group, all sets are compared exactly by brute force in tiles.
@@ -26,6 +26,8 @@ from skyledger.llm import common
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999999
 #: Starts of a set, tokens of a sketch, and extensions of a path.
 RUNS, SKETCH, DEPTH = 32, 48, 2
+#: Unlike sets of a bucket that share this part of their sketches join the alike ones if there are this many times as many of those or more.
+CLOSE, FEW = 0.25, 8
 #: Places where a near pair can be lost.
 PLACES = 3
 #: Tokens and sets of a tile of brute force.
@@ -132,12 +134,30 @@ def _described(docs: DataFrame, width: int, runs: int = RUNS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for undirected edges ``a, b``; the component is its smallest node.
 
-    Large-star and small-star steps in turn, each a minimum per node with partial sums in the tasks and a
-    join; each round's edges are a written table.
+    A node with smaller neighbours only hangs on the smallest of them and is set aside: what it tells is that its
+    neighbours belong together. Among the rest, large-star and small-star steps in turn, each a minimum per node with
+    partial sums in the tasks and a join; each round's edges are a written table.
     """
     edges = common.written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-edges"
     )
+    least = common.written(edges.groupBy("u").agg(F.min("v").alias("m")), "component-least")
+    inner = edges.select(F.col("v").alias("u")).distinct()
+    apart = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    core = _starred(apart.unionByName(least.join(inner, "u", "left_semi").withColumnRenamed("m", "v")).distinct())
+    core = common.written(core, "component-core")
+    hung = least.join(inner, "u", "left_anti").join(core.withColumnRenamed("node", "m"), "m", "left").select(
+        F.col("u").alias("node"), "m", F.coalesce("component", "m").alias("component")
+    )
+    hung = common.written(hung, "component-hung")
+    # A node that only others hang on is in no edge of the core, and a component of its own.
+    tops = hung.where("m = component").select(F.col("m").alias("node"), "component").distinct().join(core, "node", "left_anti")
+    return core.unionByName(hung.drop("m")).unionByName(tops)
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """``node, component`` for different edges ``u > v``."""
+    edges = common.written(edges, "component-edges")
     size = edges.count()
     if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -162,19 +182,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _first_paths(sets: DataFrame, recall: float, threshold: float) -> DataFrame:
-    """``set_id, node`` of the starts that each set follows, but for those it is alone on."""
+    """``set_id, weight, node`` of the starts that each set follows, but for those it is alone on.
+
+    The weight of a set tells how many others it meets on its starts.
+    """
     starts = sets.select("set_id", F.explode("roots").alias("node"))
     met = starts.groupBy("node").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     followed = F.array(*[F.lit(starts_followed(n, RUNS, threshold, recall)) for n in range(RUNS + 1)])
     # Starts on which a set is alone are its rarest. At most RUNS rows meet per set.
-    rarest = starts.join(met, "node").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("met", "node"))).alias("shared"))
+    rarest = starts.join(met, "node").groupBy("set_id").agg(
+        F.sort_array(F.collect_list(F.struct("met", "node"))).alias("shared"), F.sum("met").alias("weight")
+    )
     number = F.get(followed, F.least("n", F.lit(RUNS)))
     alone = F.least("n", F.lit(RUNS)) - F.size("shared")
     return (
         rarest.join(sets.select("set_id", "n"), "set_id")
         .where(number > alone)
-        .select("set_id", F.explode(F.slice("shared", F.lit(1), F.greatest(number - alone, F.lit(1)))).alias("x"))
-        .select("set_id", "x.node")
+        .select("set_id", "weight", F.explode(F.slice("shared", F.lit(1), F.greatest(number - alone, F.lit(1)))).alias("x"))
+        .select("set_id", "weight", "x.node")
     )
 
 
@@ -188,42 +213,68 @@ def _candidates(sets: DataFrame, *, recall: float, threshold: float, depth: int)
     )
     edges = []
     for level in range(depth + 1):
-        # Sets alone on a path are gone after this aggregate.
+        # Sets alone on a path are gone after this aggregate. The one that a bucket is compared with meets most others: it
+        # lies in the middle of a group of near copies, if there is one.
         met = common.written(
-            paths.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("met > 1"),
+            paths.groupBy("node").agg(
+                F.count(F.lit(1)).alias("met"), F.min("set_id").alias("a"), F.max("set_id").alias("b"),
+                F.max(F.struct("weight", "set_id"))["set_id"].alias("rep"),
+            ).where("met > 1"),
             "paths-met",
         )
         members = common.written(
-            paths.join(met.where("met > 2").select("node", F.col("a").alias("rep")), "node")
+            paths.join(met.where("met > 2").select("node", "rep"), "node")
             .where("set_id <> rep")
-            .select("node", "rep", "set_id"),
+            .select("node", "rep", "set_id", "weight"),
             "paths-crowded",
         )
         pairs = met.where("met = 2 AND a <> b").select(F.col("a").alias("rep"), F.col("b").alias("set_id"))
-        pairs = common.written(pairs.unionByName(members.select("rep", "set_id")).distinct(), "paths-pairs")
+        if level == depth:
+            # Sets that shared so many sampled tokens stay together for the exact comparison.
+            edges.append(members.select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
+        else:
+            pairs = pairs.unionByName(members.select("rep", "set_id"))
+        pairs = common.written(pairs.distinct(), "paths-pairs")
         active = pairs.select("set_id").unionByName(pairs.select(F.col("rep").alias("set_id"))).distinct()
         sketches = common.written(sketches.join(active, "set_id", "left_semi"), "paths-sketches")
-        shared = F.size(F.array_intersect("sketch", "rep_sketch")) / F.least(F.lit(SKETCH), F.greatest("n", "rep_n"))
-        alike = common.written(
+        compared = (
             pairs.join(sketches, "set_id")
             .join(sketches.select(F.col("set_id").alias("rep"), F.col("n").alias("rep_n"), F.col("sketch").alias("rep_sketch")), "rep")
-            .select("rep", "set_id", shared.alias("alike")),
-            "paths-alike",
+            .select(
+                "rep", "set_id", F.size(F.array_intersect("sketch", "rep_sketch")).alias("shared"), F.least("n", F.lit(SKETCH)).alias("size"),
+                F.least(F.lit(SKETCH), F.greatest("n", "rep_n")).alias("whole"),
+            )
         )
-        edges.append(alike.where(F.col("alike") >= maybe).select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
+        alike = common.written(compared.withColumn("unlike", F.col("shared") < maybe * F.col("whole")), "paths-alike")
+        edges.append(alike.where("NOT unlike").select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
+        if level == depth:
+            break
         judged = members.join(alike, ["rep", "set_id"])
-        unsettled = judged.where(F.col("alike") < maybe).select("node").distinct()
-        # A set with the sketch of the one compared with shares as much of it with any third one, so it need not go on.
-        ongoing = judged.where(F.col("alike") < 1).join(unsettled, "node", "left_semi").select("node", "rep", "set_id")
-        ongoing = common.written(ongoing, "paths-ongoing")
+        # Sets that are half alike join the group of those that are alike, to be compared exactly with all of it, unless they are
+        # more: that leaves the bucket settled, and at most doubles what is compared.
+        close = F.col("unlike") & (F.col("shared") >= CLOSE * F.col("whole"))
+        buckets = judged.groupBy("node").agg(
+            (FEW * F.count_if(close) <= F.count_if(~F.col("unlike"))).alias("joins"),
+            F.max(F.when(F.col("unlike"), F.col("shared"))).alias("most"),
+            F.max(F.when(F.col("unlike") & ~close, F.col("shared"))).alias("most_far"),
+        )
+        buckets = buckets.withColumn("most", F.when(F.col("joins"), F.col("most_far")).otherwise(F.col("most"))).drop("most_far")
+        judged = common.written(
+            judged.join(buckets, "node").select(
+                "node", "rep", "set_id", "weight", "shared", "size", "most", (F.col("unlike") & ~(close & F.col("joins"))).alias("apart"),
+                (close & F.col("joins")).alias("joined"),
+            ),
+            "paths-judged",
+        )
+        edges.append(judged.where("joined").select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
+        # Near sets share a part of maybe of their sketches. Of a set that has so much of its sketch from the one compared with
+        # that any near set would share more with that one than what is apart in the bucket does, none of that is near.
+        far = F.col("shared") - F.col("size") + F.ceil(maybe * F.col("size") - 1e-9) > F.col("most")
+        ongoing = judged.where(F.col("most").isNotNull() & (F.col("apart") | ~far)).select("node", "rep", "set_id", "weight")
         if ongoing.isEmpty():
             break
-        if level == depth:
-            # Sets that shared so many sampled tokens stay together for the exact comparison.
-            edges.append(ongoing.select(F.col("rep").alias("a"), F.col("set_id").alias("b")))
-            break
         drawn = F.slice(F.array_sort(F.transform("sketch", lambda t: F.xxhash64("node", t))), F.lit(1), number)
-        paths = common.written(ongoing.join(sketches, "set_id").select("set_id", F.explode(drawn).alias("node")), "paths")
+        paths = common.written(ongoing.join(sketches, "set_id").select("set_id", "weight", F.explode(drawn).alias("node")), "paths")
     out = edges[0]
     for part in edges[1:]:
         out = out.unionByName(part)

@@ -101,7 +101,7 @@ def test_near_pairs_survive_a_crowded_start(spark, monkeypatch):
     for k in range(120):
         base = prose(5000 + k, 20 + k)
         rows += [(2 * k, base), (2 * k + 1, edited(base, k, k % 4))]
-    one = lambda sets, recall, threshold: sets.selectExpr("set_id", "1L AS node")
+    one = lambda sets, recall, threshold: sets.selectExpr("set_id", "1L AS weight", "1L AS node")
     monkeypatch.setattr(chosenpath, "_first_paths", one)
     assert classes(documents(spark, rows)) == brute(rows)
 
