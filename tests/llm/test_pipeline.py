@@ -86,5 +86,5 @@ def test_stages_take_awkward_rows(spark, awkward):
 
 
 def test_registered(spark):
-    assert {re.match(r"op\d+|pipeline", q)[0] for q in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {re.match(r"op\d+|pipeline", q)[0] for q in queries.QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
