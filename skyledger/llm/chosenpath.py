@@ -27,7 +27,7 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999999
 #: Starts of a set, tokens of a sketch, and extensions of a path.
 RUNS, SKETCH, DEPTH = 32, 48, 2
 #: Unlike sets of a bucket that share this part of their sketches join the alike ones if there are this many times as many of those or more.
-CLOSE, FEW = 0.25, 8
+CLOSE, FEW = 0.25, 1
 #: Places where a near pair can be lost.
 PLACES = 3
 #: Tokens and sets of a tile of brute force.
