@@ -65,3 +65,14 @@ def test_no_cross_join_and_no_row_python(spark):
     for word in ("crossJoin", "localCheckpoint", "toPandas", "F.udf(", ".rdd"):
         assert word not in text
     assert F is not None
+
+
+def test_rules_are_evaluated_once_for_their_events(spark, monkeypatch):
+    import catalog.alerts as ca
+    from skyledger.sources.testdata import FareTables
+
+    calls = []
+    real = ca.evaluated
+    monkeypatch.setattr(ca, "evaluated", lambda t: calls.append(1) or real(t))
+    ca.events(FareTables(spark, "/root/testdata/sf0.001"))
+    assert len(calls) == 1

@@ -109,3 +109,25 @@ def test_cooldown_and_fallback_channels(spark, plain):
     channels = spark.createDataFrame([(50, 5, True), (51, 5, False), (52, 5, True), (60, 6, True)],
                                      "channel_id long, user_id long, enabled boolean")
     assert plain(alerts.rule_targets(rules, links, channels)) == [(1, 50), (2, 50), (2, 52), (3, 60)]
+
+
+def test_previous_minimum_travels_with_numbers(spark):
+    """Names of branches are long hashes: after the first join rows go on with a number."""
+    at = datetime(2026, 1, 1)
+    best = spark.createDataFrame(
+        [("b0", 1, at, 5, True), ("b0", 2, at + timedelta(days=3), 4, True)],
+        "branch_key string, run_id long, observed_at timestamp_ntz, price_minor long, is_direct boolean")
+    windows = spark.createDataFrame([("b0", None), ("b0", 7)], "branch_key string, window_days long")
+    rows = alerts.previous_minimum(best, windows)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pair" in plan and "hashpartitioning(branch_key" not in plan
+    assert sorted((r.window_days or 0, r.run_id, r.previous_minimum) for r in rows.collect()) == [
+        (0, 1, None), (0, 2, 5), (7, 1, None), (7, 2, 5)]
+
+
+def test_written_copy_is_compressed(spark):
+    from skyledger.session import cut_lineage
+
+    copy = cut_lineage(spark.range(100).selectExpr("id", "repeat('x', 1000) AS text"))
+    assert copy.inputFiles() and all(f.endswith(".snappy.parquet") for f in copy.inputFiles())
+    assert copy.where("length(text) = 1000").count() == 100
