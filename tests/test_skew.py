@@ -52,3 +52,20 @@ def test_mark_lowest_marks_ties_of_a_hot_run(spark):
     hot = marked.where("run_id = 1 AND is_lowest")
     assert hot.select("total_price_minor").distinct().collect()[0][0] == 100
     assert hot.count() == obs.where("run_id = 1 AND total_price_minor = 100").count()
+
+
+def test_weights_are_counted_before_the_join(spark):
+    """The pass that looks for hot keys reads the offers alone, not their join with the features."""
+    from skyledger.operators import filters
+
+    offers = spark.createDataFrame([("i1", 1, "CNY"), ("i2", 1, "CNY"), ("i3", 2, "CNY")],
+                                   "itinerary_id string, query_id long, currency string")
+    features = spark.createDataFrame([("i1", 0), ("i2", 1), ("i3", 2)], "itinerary_id string, stop_count int")
+    branches = spark.createDataFrame([("b1", 1, "CNY"), ("b2", 1, "CNY"), ("b3", 2, "JPY")],
+                                     "branch_key string, query_id long, currency string")
+    rows = filters.with_branches(offers, features, branches, small=False)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # Facts with features, facts and branches with the hot keys, both salted: no second join with the features.
+    assert plan.count("Join ") == 4
+    assert sorted((r.itinerary_id, r.branch_key) for r in rows.collect()) == [
+        ("i1", "b1"), ("i1", "b2"), ("i2", "b1"), ("i2", "b2")]
