@@ -69,3 +69,21 @@ def test_weights_are_counted_before_the_join(spark):
     assert plan.count("Join ") == 4
     assert sorted((r.itinerary_id, r.branch_key) for r in rows.collect()) == [
         ("i1", "b1"), ("i1", "b2"), ("i2", "b1"), ("i2", "b2")]
+
+
+def test_rows_outside_a_range_are_dropped_before_their_shuffle(spark, tmp_path):
+    """A shuffle join with a filtered side tests the other side's keys right behind its scan."""
+    from skyledger.session import prepare
+
+    spark.range(1000).selectExpr("id AS run_id", "id % 100 AS day").write.parquet(str(tmp_path / "runs"))
+    spark.range(5000).selectExpr("id % 1000 AS key", "id AS line").write.parquet(str(tmp_path / "lines"))
+    prepare(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = spark.read.parquet(str(tmp_path / "runs")).where("day < 3")
+        joined = spark.read.parquet(str(tmp_path / "lines")).join(runs, F.col("key") == F.col("run_id"))
+        assert "might_contain" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
