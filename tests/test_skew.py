@@ -73,11 +73,11 @@ def test_weights_are_counted_before_the_join(spark):
 
 def test_rows_outside_a_range_are_dropped_before_their_shuffle(spark, tmp_path):
     """A shuffle join with a filtered side tests the other side's keys right behind its scan."""
-    from skyledger.session import prepare
+    from skyledger.session import prepare_fares
 
     spark.range(1000).selectExpr("id AS run_id", "id % 100 AS day").write.parquet(str(tmp_path / "runs"))
     spark.range(5000).selectExpr("id % 1000 AS key", "id AS line").write.parquet(str(tmp_path / "lines"))
-    prepare(spark)
+    prepare_fares(spark)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
