@@ -142,3 +142,21 @@ def test_search_rules(spark, plain):
         "invalid_airline_code", "provider_missing"]
     assert got[0].query_hash == got[1].query_hash != got[2].query_hash
     assert got[0].airline_codes == ["CA", "MU"]
+
+
+def test_fields_are_read_as_from_variant_values(spark):
+    """Types and texts of found fields are those of VARIANT values of the found nodes, odd numbers included; none is written."""
+    values = ["1", "-7", "1.50", "12.0", "0.0", "-0.0", "0.00001", "1e20", "1E-9", "1e400", "NaN", str(2**63), "9" * 38, "9" * 39,
+              "true", "null", '"x"', '" 5 "', '"\\u00e9\\ud83d\\ude00"', '"\\ud800"', "[]", "[1,2]", '{"code":"A"}', '{"code":null}', "{}"]
+    bodies = [f'{{"x":[{{"date":"d","price":1,"back":{value}}}]}}' for value in values]
+    rows = captures(spark, *bodies).coalesce(1)
+    spec = pl.Record({"back": ["none", "back"], "money": ["back"]}, ("money",))
+    found = pl.find_objects(F.col("payload"), [["date"], ["price"]], ["currency"], spec)
+    got = pl.with_fields(rows.select("capture_id", F.explode(found).alias("h")).select("capture_id", "h.found.*"), ["back", "money"])
+    nodes = captures(spark, *[json.dumps(json.loads(x)) for x in bodies]).select("capture_id", pl.parsed(F.col("payload")).alias("v"))
+    back = F.try_variant_get("v", "$.x[0].back", "variant")
+    code = F.when(F.schema_of_variant(back).startswith("OBJECT"), F.try_variant_get(back, "$.code", "variant")).otherwise(back)
+    want = pl.with_scalars(nodes.select("capture_id", back.alias("back"), code.alias("money")), ["back", "money"])
+    names = ["capture_id", "back_type", "back_text", "money_type", "money_text"]
+    assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted(map(tuple, want.select(names).collect()), key=repr)
+    assert "variant" not in no.parse_items(rows).schema.simpleString()
