@@ -8,6 +8,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import filters as fl
 from skyledger.functions import money, text, times
 from skyledger.operators import delivery
 
@@ -116,3 +117,16 @@ def test_next_delivery_matches_a_minute_search(spark):
     column = delivery.next_delivery_at(*[F.col(c) for c in ("at", "zone", "s", "e", "days")])
     got = values(spark, cases, schema, column)
     assert got == [_search(*case) for case in cases]
+
+
+def test_branch_keys_are_sixteen_bytes(spark):
+    """Keys of branches travel with every price, so they are short; equal wishes have equal keys."""
+    subscriptions = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "subscription_id long, query_id long")
+    queries = spark.createDataFrame([(5, "CNY", False), (6, "CNY", False)], "query_id long, currency string, direct_only boolean")
+    wishes = ("airline_codes array<string>, departure_airports array<string>, arrival_airports array<string>, max_price_minor long, "
+              "max_stops long, max_duration_minutes long, departure_minute_start long, departure_minute_end long")
+    rows = [(k, ["MU"], None, None, 5, None, None, None, None) for k in (1, 2, 3)]
+    keys = [bytes(r[0]) for r in fl.contexts(
+        subscriptions, queries, spark.createDataFrame(rows, f"subscription_id long, {wishes}")
+    ).orderBy("subscription_id").select("branch_key").collect()]
+    assert [len(k) for k in keys] == [16] * 3 and keys[0] == keys[1] != keys[2]
