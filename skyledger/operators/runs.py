@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from skyledger.operators.filters import (
     public_run_status, query_label, run_duration_ms, visible_runs, warning_code,
 )
 from skyledger.operators.paging import first_pages
-from skyledger.skew import join_checked
+from skyledger.session import cut_lineage
+from skyledger.skew import fits_broadcast, join_checked
 
 # Run states.
 ACTIVE = ("pending", "leased", "running")
@@ -143,20 +145,31 @@ def run_pages(
 ) -> DataFrame:
     """The newest visible runs of every user, or those behind each user's cursor.
 
-    A first page of a user can only hold the newest runs of each query, so runs are cut
-    per query before they are joined to the users. On-demand runs are kept.
+    Users are paired with the keys of runs alone, and these tell which runs lie on any page. Only those few runs are read
+    with all their columns. A first page of a user can only hold the newest runs of each query, so there the
+    keys are cut per query before they are joined to the users. On-demand runs are kept.
     """
     keys = list(RUN_ORDER)
     if cursors is not None:
-        behind = runs.where(F.col(keys[0]) <= cursors.agg(F.max(keys[0])).first()[0]) if not cursors.isEmpty() else runs.limit(0)
-        return first_pages(
-            visible_runs(behind, subscriptions), ["user_id"], keys, limit, descending=True, most=100, cursors=cursors
-        )
-    flagged = runs.withColumn("asked", F.size("on_demand_user_ids") > 0)
-    recent = first_pages(flagged, ["query_id"], keys, limit + 1, descending=True).drop("page_row", "has_more")
-    asked = flagged.where("asked").join(recent.select("run_id"), "run_id", "left_anti")
-    kept = recent.unionByName(asked).drop("asked")
-    return first_pages(visible_runs(kept, subscriptions), ["user_id"], keys, limit, descending=True, most=100)
+        runs = runs.where(F.col(keys[0]) <= cursors.agg(F.max(keys[0])).first()[0]) if not cursors.isEmpty() else runs.limit(0)
+    watched = subscriptions.select("user_id", "query_id").distinct()
+    listed = runs.select("query_id", *keys)
+    if cursors is None:
+        listed = first_pages(listed, ["query_id"], keys, limit + 1, descending=True).select("query_id", *keys)
+    subscribed = join_checked(listed, watched, ["query_id"]).select("user_id", *keys)
+    asked = (
+        runs.select(F.explode("on_demand_user_ids").alias("user_id"), "query_id", *keys)
+        .join(watched, ["user_id", "query_id"], "left_anti")
+        .select("user_id", *keys).dropDuplicates(["user_id", "run_id"])
+    )
+    seen = first_pages(
+        subscribed.unionByName(asked), ["user_id"], keys, limit + 1, descending=True, most=101, cursors=cursors
+    )
+    paged = cut_lineage(seen.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct())
+    on_page = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    near = runs.join(F.broadcast(paged) if fits_broadcast(paged) else paged, on_page, "left_semi")
+    return first_pages(
+        visible_runs(near, subscriptions), ["user_id"], keys, limit, descending=True, most=100, cursors=cursors)
 
 
 def run_list_view(
