@@ -130,3 +130,13 @@ def test_branch_keys_are_sixteen_bytes(spark):
         subscriptions, queries, spark.createDataFrame(rows, f"subscription_id long, {wishes}")
     ).orderBy("subscription_id").select("branch_key").collect()]
     assert [len(k) for k in keys] == [16] * 3 and keys[0] == keys[1] != keys[2]
+
+
+def test_strip_removes_all_white_space_without_a_pattern(spark):
+    """Every character of the first plane is kept or removed at both ends as by the pattern of white space."""
+    points = spark.range(1, 0x10000).where("id NOT BETWEEN 55296 AND 57343")
+    sign = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    rows = points.select(F.concat(sign, F.lit(" a "), sign, F.lit("b"), sign, F.lit(chr(0x3000)), sign).alias("t"))
+    want = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert rows.where(~text.strip(F.col("t")).eqNullSafe(want)).collect() == []
+    assert "regexp" not in rows.select(text.strip(F.col("t")))._jdf.queryExecution().toString()

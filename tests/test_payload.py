@@ -160,3 +160,34 @@ def test_fields_are_read_as_from_variant_values(spark):
     names = ["capture_id", "back_type", "back_text", "money_type", "money_text"]
     assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted(map(tuple, want.select(names).collect()), key=repr)
     assert "variant" not in no.parse_items(rows).schema.simpleString()
+
+
+def test_entries_of_every_kind_keep_their_order(spark):
+    """Objects that name their fields differently, values that are no objects and a refused list stand where the payload has them."""
+    body = {"itineraries": [
+        {"id": "a", "legs": [{"flightNo": "MU1"}, 3, [1]], "offers": [{"price": 5}]}, 7, {"routeId": 2**70, "offers": []}, None,
+        {"sequenceId": "b", "legs": [{"flights": [{"flightNo": 1, "stops": [1, 2]}, "x", {"marketFlightNo": "NH2"}]}]},
+        {"id": "c", "duration": True, "offers": [{"totalPrice": None, "currency": {"code": "eur"}}, {"currency": {}}]}]}
+    rows = captures(spark, body, '{"itineraries":[{"id":1e999}]}').coalesce(1)
+    found = pl.find_lists(F.col("payload"), no.ITINERARY_LISTS, no.CURRENCY_KEYS, no.ITEM)
+    (good,), (refused,) = [r[0] for r in rows.select(found).collect()]
+    assert (refused.path, refused.code, refused.found) == ("$.itineraries", None, None)
+    assert (good.path, good.code) == ("$.itineraries", "EUR")
+    assert [(x.kind, x.id, x.length) for x in good.found] == [
+        ("o", "sa", None), ("i7", None, None), ("o", f"n{2**70}", None), ("v", None, None), ("o", "sb", None), ("o", "sc", "b")]
+    assert [[(leg.kind, [f.flight_number for f in leg.flights] if leg.flights is not None else None) for leg in x.legs]
+            for x in good.found if x.legs] == [
+        [("o", ["sMU1"]), ("i3", None), ("a", None)], [("o", ["i1", None, "sNH2"])]]
+    assert [x.offers if not x.offers else [(o.money, o.given, o.fallback) for o in x.offers] for x in good.found] == [
+        [(None, None, "i5")], None, [], None, None, [("seur", "v", None), (None, None, None)]]
+
+
+def test_first_entries_are_found_without_sorting(spark, plain):
+    """Their numbers travel as one value, which a hash aggregate holds; the list counts before the entry."""
+    items = spark.createDataFrame(
+        [(1, "c", (1, 0), "a"), (1, "c", (0, 9), "a"), (1, "c", (0, 11), "a"), (1, "c", (1, 1), "b")],
+        "run_id long, capture_id string, itinerary_no struct<list_no:int,item_no:int>, provider_itinerary_id string")
+    first = no.dedupe_itineraries(items)
+    assert plain(first.select("itinerary_no.*")) == [(0, 9), (1, 1)]
+    assert first.schema["itinerary_no"].dataType.simpleString() == "struct<list_no:int,item_no:int>"
+    assert "SortAggregate" not in first._jdf.queryExecution().toString()
