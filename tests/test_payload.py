@@ -191,3 +191,31 @@ def test_first_entries_are_found_without_sorting(spark, plain):
     assert plain(first.select("itinerary_no.*")) == [(0, 9), (1, 1)]
     assert first.schema["itinerary_no"].dataType.simpleString() == "struct<list_no:int,item_no:int>"
     assert "SortAggregate" not in first._jdf.queryExecution().toString()
+
+
+def test_parts_of_itineraries_are_worked_out_within_a_capture(spark, plain):
+    """Which entries are kept is found where the entries of a capture lie together, without a join or a second shuffle."""
+    def entry(name, *flights):
+        return {"id": name, "legs": [{"flights": list(flights)}], "offers": [{"id": name, "price": 5}]}
+    first = {"itineraries": [entry("a", flight(flightNo=...)), entry("a", flight()), entry("a", flight(flightNo="MU9")), {"id": "b"}]}
+    rows = captures(spark, first, {"itineraries": [entry("a", flight())]}, {"none": 1})
+    again = rows.where("capture_id = 'c0'")
+    twice = rows.unionByName(again).unionByName(again.withColumn("run_id", F.lit(None).cast("long"))).coalesce(1)
+    parts = no.parse_itineraries(twice, cp.AIRPORT_ZONES, ["itineraries"])
+    assert plain(parts.itineraries, "capture_id", "itinerary_no.item_no", "leg_count") == [("c0", 1, 1), ("c0", 1, 1), ("c1", 0, 1)]
+    plan = parts.itineraries._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_stops_of_an_entry_are_counted_over_its_legs(spark, plain):
+    """Legs and flights are counted in one step: a leg of one flight has no stop, technical stops count, two legs may both be direct."""
+    late = {"departureDateTime": "2026-08-01T20:00:00", "arrivalDateTime": "2026-08-01T22:00:00"}
+    body = {"itineraries": [
+        {"id": "a", "legs": [{"flights": [flight()]}, {"flights": [flight(**late)]}]},
+        {"id": "b", "legs": [{"flights": [flight(), flight(**late)]}, {"flights": [flight(stops=[1, 2])]}]}]}
+    parts = no.parse_itineraries(captures(spark, body).coalesce(1), cp.AIRPORT_ZONES, ["itineraries", "segments"])
+    assert parts.offers is None and parts.issues is None
+    trips = no.normalize_itineraries(parts.itineraries, no.normalize_segments(parts.segments))
+    assert plain(trips, "provider_itinerary_id", "leg_count", "stop_count", "is_direct") == [("a", 2, 0, True), ("b", 2, 3, False)]
+    plan = trips._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
