@@ -435,18 +435,41 @@ def _escaped(key: str) -> str:
     return key
 
 
+# Names (first group), texts (second group: their quote) and numbers of a valid JSON text. A number of more digits
+# stays, as Python may refuse it.
+_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_LEAVES = re.compile(
+    rf'({_STRING}[ \t\n\r]*+:)|(?=(")){_STRING}|'
+    r'(?<![^\[:, \t\n\r])-?(?:0|[1-9][0-9]{0,299})(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![^\],} \t\n\r])')
+# Stands behind every leaf.
+_MARK = "\x00"
+
+
+def _described(text: str) -> str | None:
+    try:
+        return "\n".join(sorted(_places(json.loads(text))))
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def payload_shape(texts: pd.Series) -> pd.Series:
     """Value-free description of each JSON text: its places and their kinds, one per line, sorted.
 
-    Null and broken texts give null.
+    Null and broken texts give null. Texts that differ only in the values of their leaves have one shape (or are
+    broken alike), which is worked out once in a batch.
     """
+    known: dict[str, str | None] = {}
 
     def describe(text: str | None) -> str | None:
-        try:
-            return None if text is None else "\n".join(sorted(_places(json.loads(text))))
-        except ValueError:
-            return None
+        if text is None or _MARK in text:
+            return None if text is None else _described(text)
+        bare = _LEAVES.sub(rf"\1\2{_MARK}", text)
+        if bare not in known:
+            if len(known) == 1000:
+                known.clear()
+            known[bare] = _described(text)
+        return known[bare]
 
     return texts.map(describe)
 

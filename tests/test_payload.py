@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import date, datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from skyledger.functions import payload as pl
@@ -97,6 +98,23 @@ def test_shape_ignores_values_and_list_order(spark):
     assert shapes[2:] == [None, None]
 
 
+def test_shapes_worked_out_once_are_those_of_each_text(monkeypatch):
+    """Texts that differ only in leaves share one walk; broken ones and ones that look alike keep their own result."""
+    texts = ['{"a":1,"b":"x"}', '{"a":-2.5e3,"b":"\\u00e9 \\" : 7"}', '{"a":"1","b":"x"}', '{"a":,"b":"x"}', '{"a":01,"b":"x"}', '{"a":1.,"b":""}',
+             '{"a":1 2,"b":"x"}', '{"a":+1,"b":"x"}', '{"a":"x","a":1}', '{"a":1,"a":"x"}', '["a",1]', '["a":1]', '["b" ,\n2]', '["\\x"]', '["\\u-1AB"]',
+             '["\\u12"]', '["a\tb"]', '["a]', '"5', '"', '""', '7', '-', 'NaN', '[NaN]', '[1]', '[-Infinity]', f'[{"9" * 5000}]', f'[{"9" * 200}]',
+             '{"a:":{"1":[]}}', '{"a:":{"2":[]}}', '{"a\x00":1}', '["\x00"]', '[\x00]', '[true,null]', '[false,null]', '[1,{}]', '{"k" : "v"}', '{"k":"v"}', None, '']
+    want = [None if x is None else pl._described(x) for x in texts]
+    walks, places = [], pl._places
+    monkeypatch.setattr(pl, "_places", lambda root: walks.append(root) or places(root))
+    for order in (1, -1):
+        got = pl.payload_shape.func(pd.Series(texts[::order], dtype=object))
+        assert [None if x is None or x != x else x for x in got][::order] == want
+    walks.clear()
+    pl.payload_shape.func(pd.Series([json.dumps({"a": i, "b": [f"{i}", {"c": i / 7}]}) for i in range(500)]))
+    assert len(walks) == 1
+
+
 def test_top_level_fields_of_odd_keys(spark):
     keys = ["a/b", "~0", "[]", "x y", "", "n\nl", "k" * 200]
     df = spark.createDataFrame([(json.dumps({k: 1 for k in keys}),), ('[{"k":1}]',), ("3",)], "p string")
