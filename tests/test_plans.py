@@ -76,3 +76,18 @@ def test_rules_are_evaluated_once_for_their_events(spark, monkeypatch):
     monkeypatch.setattr(ca, "evaluated", lambda t: calls.append(1) or real(t))
     ca.events(FareTables(spark, "/root/testdata/sf0.001"))
     assert len(calls) == 1
+
+
+def test_days_that_are_walked_are_told_without_a_join(spark, plain):
+    """Rows of the days of asked runs and of the first days of their look-backs are shuffled once."""
+    from skyledger.operators import alerts as al
+
+    best = spark.sql("""SELECT unhex('01') AS branch_key, * FROM VALUES (1L, TIMESTAMP_NTZ'2026-01-01 08:00:00', 10L, true),
+      (2L, TIMESTAMP_NTZ'2026-01-01 09:00:00', 12L, true), (3L, TIMESTAMP_NTZ'2026-01-03 10:00:00', 11L, true),
+      (4L, TIMESTAMP_NTZ'2026-01-03 11:00:00', 9L, true) AS t(run_id, observed_at, price_minor, is_direct)""")
+    windows = spark.sql("SELECT unhex('01') AS branch_key, * FROM VALUES (cast(null AS bigint)), (2L) AS t(window_days)")
+    asked = spark.sql("SELECT * FROM VALUES (2L), (4L) AS t(run_id)")
+    rows = al.previous_minimum(best, windows, asked)
+    assert plain(rows, "window_days", "run_id", "previous_minimum") == sorted(
+        [(None, 2, 10), (None, 4, 10), (2, 2, 10), (2, 4, 11)], key=repr)
+    assert "LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
